@@ -4,18 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palate.llm import sharding
+from palate.llm import licences, pii, sharding, toxicity
 from palate.llm.common import table
 
 
+def op3_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_jump_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
 
 
-QUERIES = {
-    "op6_jump_hash_sharding": op6_jump_hash_sharding,
-}
+def op7_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op10_suffix_automaton_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_counterfactual_toxicity, op6_jump_hash_sharding, op7_deobfuscated_pii, op10_suffix_automaton_licenses)}
 
-ORACLE_SQL = {
-    "op6_jump_hash_sharding": sharding.ORACLE_SQL,
-}
+ORACLE_SQL = {"op6_jump_hash_sharding": sharding.ORACLE_SQL}

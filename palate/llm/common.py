@@ -64,44 +64,59 @@ def map_texts(
     return arrow_rows(df, rows).mapInArrow(run, schema)
 
 
-def map_sorted_groups(df: DataFrame, keys: list[str], work: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame | None], schema: str) -> DataFrame:
-    """Rows dealt out and sorted by keys; work() gets whole groups, many at a time, and where each begins.
+def map_sorted_groups(
+    df: DataFrame, keys: list[str], work: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame | None], schema: str, least: int = 50_000
+) -> DataFrame:
+    """Rows dealt out and sorted by keys; work() gets whole groups, `least` rows or more at a time, and where each begins.
 
     For many small groups this saves the cost that applyInPandas has for each. A group must fit in memory."""
 
+    def begins(part: pd.DataFrame) -> np.ndarray:
+        change = np.zeros(len(part), bool)
+        change[0] = True
+        for k in keys:
+            v = part[k].to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(change)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-
-        def groups(part: pd.DataFrame) -> np.ndarray:
-            change = np.zeros(len(part), bool)
-            change[0] = True
-            for k in keys:
-                v = part[k].to_numpy()
-                change[1:] |= v[1:] != v[:-1]
-            return np.flatnonzero(change)
-
+        n = 0
         for frame in frames:
-            if not len(frame):
-                continue
             held.append(frame)
-            if not all(frame[k].iloc[0] == frame[k].iloc[-1] for k in keys) or len(held) > 1 and any(
-                held[0][k].iloc[0] != frame[k].iloc[-1] for k in keys
-            ):
+            n += len(frame)
+            if n >= least:
                 part = pd.concat(held, ignore_index=True)
-                starts = groups(part)
-                held = [part.iloc[starts[-1] :]]
-                out = work(part.iloc[: starts[-1]].reset_index(drop=True), starts[:-1])
-                if out is not None and len(out):
-                    yield out
+                starts = begins(part)
+                last = starts[-1]  # this group may go on
+                held, n = [part.iloc[last:]], 0
+                if last:
+                    out = work(part.iloc[:last], starts[:-1])
+                    if out is not None and len(out):
+                        yield out
+        held = [h for h in held if len(h)]
         if held:
             part = pd.concat(held, ignore_index=True)
-            out = work(part, groups(part))
+            out = work(part, begins(part))
             if out is not None and len(out):
                 yield out
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
+def in_blocks(df: DataFrame, key: str, id_: str, limit: int) -> DataFrame:
+    """df with block_a and block_b, so that the groups of (key, block_a, block_b) are small and any two rows of one key meet.
+
+    A key of up to `limit` rows is one group. A larger one is cut into blocks by the hash of id_, and each pair of
+    blocks is a group. Only keys over the limit are counted out to the join, so their table stays small."""
+    large = df.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > limit)
+    blocks = large.select(key, F.ceil(F.col("n") / limit).cast("int").alias("blocks"))
+    cut = df.join(blocks, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64(id_), F.col("blocks")).cast("int")
+    cut = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return cut.withColumn("block_a", F.least("own", "other")).withColumn("block_b", F.greatest("own", "other")).drop("own", "other", "blocks")
+
+
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest index of each of n nodes' component under the links a-b, all numbered from 0."""
     root = np.arange(n)

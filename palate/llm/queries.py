@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palate.llm import licences, pii, sharding, toxicity
+from palate.llm import licences, packing, pii, sharding, simhash, toxicity
 from palate.llm.common import table
 
 
+def op2_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4, seed=42)
+
+
 def op3_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_jump_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
 
@@ -24,6 +32,12 @@ def op10_suffix_automaton_licenses(spark: SparkSession, sf_dir: str) -> DataFram
     return licences.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_counterfactual_toxicity, op6_jump_hash_sharding, op7_deobfuscated_pii, op10_suffix_automaton_licenses)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_simhash_bk_trees, op3_counterfactual_toxicity, op4_cutting_stock_packing, op6_jump_hash_sharding,
+        op7_deobfuscated_pii, op10_suffix_automaton_licenses,
+    )
+}
 
 ORACLE_SQL = {"op6_jump_hash_sharding": sharding.ORACLE_SQL}

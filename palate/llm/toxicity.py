@@ -79,7 +79,7 @@ def held_out(key) -> F.Column:
     return F.coalesce(F.crc32(key.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 3000, swap_penalty: float = 1.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 1000, swap_penalty: float = 1.0) -> Model:
     """Logistic regression over features that toxic documents hold more often, learned from training_rows().
 
     The loss adds swap_penalty times the mean squared change of the logit when a text's identity terms are swapped.
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features
     return Model({f: float(w[i]) for f, i in place.items() if w[i]}, b)
 
 
-def _descend(rows: list, n_features: int, swap_penalty: float, steps: int = 500, ridge: float = 2e-4) -> tuple[np.ndarray, float]:
+def _descend(rows: list, n_features: int, swap_penalty: float, steps: int = 500, ridge: float = 2e-6) -> tuple[np.ndarray, float]:
     """Adam over the whole sample. rows: (toxic, features, features once swapped)."""
     rows = sorted(rows)  # Spark may deliver them in any order
     y = np.array([r[0] for r in rows], float)

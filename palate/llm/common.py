@@ -105,7 +105,7 @@ def map_sorted_groups(
 
 
 def in_blocks(df: DataFrame, key: str, id_: str, limit: int) -> DataFrame:
-    """df with block_a and block_b, so that the groups of (key, block_a, block_b) are small and any two rows of one key meet.
+    """df with own (a row's block), block_a and block_b, so that the groups of (key, block_a, block_b) are small and any two rows of one key meet.
 
     A key of up to `limit` rows is one group. A larger one is cut into blocks by the hash of id_, and each pair of
     blocks is a group. Only keys over the limit are counted out to the join, so their table stays small."""
@@ -114,7 +114,7 @@ def in_blocks(df: DataFrame, key: str, id_: str, limit: int) -> DataFrame:
     cut = df.join(blocks, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64(id_), F.col("blocks")).cast("int")
     cut = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return cut.withColumn("block_a", F.least("own", "other")).withColumn("block_b", F.greatest("own", "other")).drop("own", "other", "blocks")
+    return cut.withColumn("block_a", F.least("own", "other")).withColumn("block_b", F.greatest("own", "other")).drop("other", "blocks")
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palate.llm import licences, packing, pii, sharding, simhash, toxicity
+from palate.llm import embeddings, licences, packing, pii, sharding, simhash, toxicity
 from palate.llm.common import table
 
 
+def op1_sign_hash_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4, seed=42)
 
@@ -28,6 +32,10 @@ def op7_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op8_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.search(table(spark, sf_dir, "embeddings"), every=50, nearest=5)
+
+
 def op10_suffix_automaton_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -35,8 +43,8 @@ def op10_suffix_automaton_licenses(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_simhash_bk_trees, op3_counterfactual_toxicity, op4_cutting_stock_packing, op6_jump_hash_sharding,
-        op7_deobfuscated_pii, op10_suffix_automaton_licenses,
+        op1_sign_hash_embedding_dedup, op2_simhash_bk_trees, op3_counterfactual_toxicity, op4_cutting_stock_packing, op6_jump_hash_sharding,
+        op7_deobfuscated_pii, op8_inverted_multi_index, op10_suffix_automaton_licenses,
     )
 }
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palate.llm import embeddings, licences, packing, pii, sharding, simhash, toxicity
+from palate.llm import embeddings, licences, packing, paragraphs, pieces, pii, sharding, simhash, toxicity
 from palate.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op4_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_minhash_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_jump_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
 
@@ -36,6 +40,10 @@ def op8_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.search(table(spark, sf_dir, "embeddings"), every=50, nearest=5)
 
 
+def op9_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_and_check(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_automaton_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -43,8 +51,8 @@ def op10_suffix_automaton_licenses(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_sign_hash_embedding_dedup, op2_simhash_bk_trees, op3_counterfactual_toxicity, op4_cutting_stock_packing, op6_jump_hash_sharding,
-        op7_deobfuscated_pii, op8_inverted_multi_index, op10_suffix_automaton_licenses,
+        op1_sign_hash_embedding_dedup, op2_simhash_bk_trees, op3_counterfactual_toxicity, op4_cutting_stock_packing, op5_minhash_paragraphs,
+        op6_jump_hash_sharding, op7_deobfuscated_pii, op8_inverted_multi_index, op9_sampled_pieces, op10_suffix_automaton_licenses,
     )
 }
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,11 +20,13 @@ _ODD = re.compile("[^\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
 
 
+@lru_cache(2)
 def word_encoder(path: str | None = None, most_words: int = 250_000) -> Callable[[str], bytes]:
     """A function from a text to its ids as little-endian 32-bit numbers, equal to the tokenizer's own.
 
     The tokenizer cuts a text at white space and each word into pieces before anything else, so ids of words and of
-    pieces are kept and joined. Both stores are bounded; a word beyond them is encoded again each time."""
+    pieces are kept and joined. Both stores are bounded and serve all tasks of a worker; a word beyond them is encoded
+    again each time."""
     from tokenizers import Tokenizer
 
     if path is None:

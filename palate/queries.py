@@ -1,14 +1,10 @@
-"""Registry of the engine's queries and of the SQL that each is held against."""
+"""The engine's registered queries and the SQL that each is held against."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from palate.plans import taste  # noqa: F401
+from palate.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = QUERIES["top_preferences"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    raise NotImplementedError
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

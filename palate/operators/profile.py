@@ -98,7 +98,7 @@ def genre_interactions(inter: DataFrame, attrs: DataFrame, least: int = 3) -> Da
 def preference_momentum(inter: DataFrame, attrs: DataFrame, asof: Column, window_days: int = 180) -> DataFrame:
     """(username, attr_type, attr_value, momentum) for directors and genres rated twice or more both lately and before.
 
-    A side with two ratings or fewer counts as mean 0."""
+    A side with two ratings or fewer counts as mean 0. Nine decimals, so that the order of sums can't move it over a bound."""
     rated = inter.filter("rating is not null and scraped_at is not null").withColumn("x", (F.col("rating") - 2.5) / 2.5)
     rated = rated.withColumn("recent", F.col("scraped_at") > asof - F.make_dt_interval(F.lit(window_days)))
     joined = rated.join(attrs.filter("attr_type in ('director', 'genre')"), "slug")
@@ -107,7 +107,7 @@ def preference_momentum(inter: DataFrame, attrs: DataFrame, asof: Column, window
         F.sum(of(True)).alias("sr"), F.count(of(True)).alias("nr"), F.sum(of(False)).alias("so"), F.count(of(False)).alias("no")
     )
     mean = lambda s, n: F.when(F.col(n) > 2, F.col(s) / F.col(n)).otherwise(0.0)
-    return sums.filter("nr >= 2 and no >= 2").select("username", "attr_type", "attr_value", (mean("sr", "nr") - mean("so", "no")).alias("momentum"))
+    return sums.filter("nr >= 2 and no >= 2").select("username", "attr_type", "attr_value", F.round(mean("sr", "nr") - mean("so", "no"), 9).alias("momentum"))
 
 
 def profile_stats(weights: DataFrame, films: DataFrame) -> DataFrame:

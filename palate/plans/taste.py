@@ -208,7 +208,7 @@ def _(v: Views):
     return P.genre_interactions(v.interactions, v.film_attrs).select("username", "a", "b", *r4("effect"), "n")
 
 
-PARTS["momentum"] = f"""select username, attr_type, attr_value, case when nr > 2 then sr / nr else 0 end - case when no_ > 2 then so / no_ else 0 end as momentum from (
+PARTS["momentum"] = f"""select username, attr_type, attr_value, round(case when nr > 2 then sr / nr else 0 end - case when no_ > 2 then so / no_ else 0 end, 9) as momentum from (
   select username, attr_type, attr_value, sum(x) filter (recent) as sr, count(*) filter (recent) as nr, sum(x) filter (not recent) as so, count(*) filter (not recent) as no_ from (
     select *, (rating - 2.5) / 2.5 as x, scraped_at > timestamp '{ASOF}' - interval 180 days as recent from interactions where rating is not null and scraped_at is not null)
   join film_attrs using (slug) where attr_type in ('director', 'genre') group by all) where nr >= 2 and no_ >= 2"""

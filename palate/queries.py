@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palate.plans import taste  # noqa: F401
+from palate.plans import scores, similar, taste  # noqa: F401
 from palate.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = QUERIES["top_preferences"]

@@ -200,13 +200,15 @@ def recommend_metadata(
         row = {s: j for j, s in enumerate(f["slug"])}
         for i, seen in enumerate(u["seen"]):
             total[i, [row[s] for s in (seen if seen is not None else ()) if s in row]] = -1.0
-        out = []
+        names, slugs, scores = [], [], []
         keep = min(n, len(f))
         for i, name in enumerate(u["username"]):
             bar = np.partition(total[i], len(f) - keep)[len(f) - keep]
             at = np.flatnonzero((total[i] >= bar - 1e-9) & (total[i] > 0))
-            out.append(pd.DataFrame({"username": name, "slug": f["slug"].to_numpy()[at], "score": total[i, at]}))
-        return pd.concat(out)
+            names += [name] * len(at)
+            slugs += [f["slug"].iloc[j] for j in at]
+            scores += total[i, at].tolist()
+        return pd.DataFrame({"username": np.array(names, object), "slug": np.array(slugs, object), "score": np.array(scores, float)})
 
     blocks = people.groupBy("ub", "fb").cogroup(items.groupBy("ub", "fb")).applyInPandas(score, "username string, slug string, score double")
     return top_n(blocks.withColumn("score", F.round("score", 9)), n).select("username", "rank", "slug", "score")

@@ -21,7 +21,7 @@ _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
 
 
 @lru_cache(2)
-def word_encoder(path: str | None = None, most_words: int = 250_000) -> Callable[[str], bytes]:
+def word_encoder(path: str | None = None, most_words: int = 600_000) -> Callable[[str], bytes]:
     """A function from a text to its ids as little-endian 32-bit numbers, equal to the tokenizer's own.
 
     The tokenizer cuts a text at white space and each word into pieces before anything else, so ids of words and of
@@ -53,9 +53,9 @@ def word_encoder(path: str | None = None, most_words: int = 250_000) -> Callable
         if _ODD.search(text) or "<|" in text:
             return plain(text)
         split = text.split()
-        fresh: dict[str, bytes] = {}
-        if new := set(split).difference(words):
-            cut = {w: _PIECE.findall(w.lower()) for w in new}
+        found = list(map(words.get, split))
+        if None in found:
+            cut = {w: _PIECE.findall(w.lower()) for w, f in zip(split, found) if f is None}
             unknown = set().union(*cut.values()).difference(pieces)
             learned = learn(sorted(unknown)) if unknown else {}
             if len(pieces) < 2 * most_words:
@@ -63,8 +63,8 @@ def word_encoder(path: str | None = None, most_words: int = 250_000) -> Callable
             fresh = {w: b"".join([pieces[p] if p in pieces else learned[p] for p in c]) for w, c in cut.items()}
             if len(words) < most_words:
                 words.update(fresh)
-                fresh = {}
-        return b"".join([words[w] if w in words else fresh[w] for w in split]) if fresh else b"".join([words[w] for w in split])
+            found = [fresh[w] if f is None else f for w, f in zip(split, found)]
+        return b"".join(found)
 
     return encode
 

@@ -159,7 +159,7 @@ def recommend_metadata(
 
     def score(u: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
         if not len(u) or not len(f):
-            return pd.DataFrame({"username": [], "slug": [], "score": []})
+            return pd.DataFrame({"username": pd.Series([], dtype=object), "slug": pd.Series([], dtype=object), "score": np.zeros(0)})
         f = f.sort_values("slug", kind="stable").reset_index(drop=True)
         place: dict[str, dict[str, int]] = {}
         for v in f["v"]:
@@ -208,7 +208,7 @@ def recommend_metadata(
             names += [name] * len(at)
             slugs += [f["slug"].iloc[j] for j in at]
             scores += total[i, at].tolist()
-        return pd.DataFrame({"username": np.array(names, object), "slug": np.array(slugs, object), "score": np.array(scores, float)})
+        return pd.DataFrame({"username": pd.Series(names, dtype=object), "slug": pd.Series(slugs, dtype=object), "score": np.array(scores, float)})
 
     blocks = people.groupBy("ub", "fb").cogroup(items.groupBy("ub", "fb")).applyInPandas(score, "username string, slug string, score double")
     return top_n(blocks.withColumn("score", F.round("score", 9)), n).select("username", "rank", "slug", "score")

@@ -96,6 +96,19 @@ def near_duplicates(vectors: DataFrame, id_: str = "vec_id", vector: str = "embe
     return rows.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
+# All pairs, and the smallest id that a walk over links reaches.
+ORACLE_SQL = """
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.9
+), r as (select a, b from l union select r.a, l.b from r join l on r.b = l.a)
+select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(m, vec_id)) as component_id, vec_id = least(vec_id, coalesce(m, vec_id)) as kept
+from embeddings left join (select a, count(*) as n from l group by a) x on x.a = vec_id left join (select a, min(b) as m from r group by a) y on y.a = vec_id
+"""
+
+
 # ---- nearest neighbours ----------------------------------------------------------------------------------------
 
 

@@ -56,4 +56,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL = {"op6_jump_hash_sharding": sharding.ORACLE_SQL}
+ORACLE_SQL = {"op1_sign_hash_embedding_dedup": embeddings.ORACLE_SQL, "op6_jump_hash_sharding": sharding.ORACLE_SQL}

@@ -5,6 +5,6 @@ from __future__ import annotations
 from palate.plans import scores, similar, social, taste  # noqa: F401
 from palate.plans.registry import ORACLE_SQL, QUERIES
 
-FLAGSHIP = QUERIES["top_preferences"]
+FLAGSHIP = QUERIES["recommend_metadata"]
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

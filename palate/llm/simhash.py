@@ -183,10 +183,31 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, see
     return prints.select("doc_id", "content").join(named, "content").select("doc_id", "keep")
 
 
+def jaccard(sets: list[set], step: int = 8192) -> np.ndarray:
+    """The similarity of every two sets (not of one with itself); two empty ones are alike. Counts are exact, in slices of `step` members."""
+    number: dict = {}
+    column = np.array([number.setdefault(x, len(number)) for s in sets for x in s], np.int64)
+    size = np.array([len(s) for s in sets], np.float64)
+    row = np.repeat(np.arange(len(sets)), size.astype(np.int64))
+    shared = np.bincount(column, minlength=len(number)) > 1
+    place = np.cumsum(shared) - 1
+    row, column = row[shared[column]], place[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(sets), len(sets)))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        a, b = np.searchsorted(column, [low, low + step])
+        has = np.zeros((len(sets), step), np.float32)
+        has[row[a:b], column[a:b] - low] = 1
+        common += has @ has.T
+    total = size[:, None] + size[None] - common
+    return np.where(total > 0, common / np.maximum(total, 1), 1.0)
+
+
 def verify_groups(docs: DataFrame, rough: DataFrame, words: int, similarity: float, limit: int = 256) -> DataFrame:
     """Links (a, b) with at least that Jaccard similarity, enough to span each exact group. rough: (node, component).
 
-    Two documents that are linked already aren't compared again, so a group of near copies costs about its size."""
+    Common shingles of all pairs of a block are one matrix product over the shingles that it has twice or more."""
     blocks = in_blocks(rough, "component", "node", limit)
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
     rows = blocks.join(texts, "node").select("component", "block_a", "block_b", F.col("node").alias("id"), "text")
@@ -196,22 +217,10 @@ def verify_groups(docs: DataFrame, rough: DataFrame, words: int, similarity: flo
         for a, b in zip(starts, np.append(starts[1:], len(part))):
             ids = part["id"].to_numpy()[a:b]
             sets = [set(shingles(t, words)) for t in part["text"].iloc[a:b]]
-            root = list(range(len(ids)))
-
-            def top(i: int, root=root) -> int:
-                while root[i] != i:
-                    root[i] = root[root[i]]
-                    i = root[i]
-                return i
-
-            for i in np.argsort([len(s) for s in sets], kind="stable"):
-                for j in range(len(ids)):
-                    small, large = len(sets[i]), len(sets[j])
-                    if i != j and (small < large or small == large and i < j) and small >= similarity * large and top(i) != top(j):
-                        both = len(sets[i] & sets[j])
-                        if both >= similarity * (small + large - both) - 1e-9:
-                            root[max(top(i), top(j))] = min(top(i), top(j))
-                            out.append((ids[i], ids[j]))
+            i, j = np.nonzero(np.triu(jaccard(sets) >= similarity - 1e-9, 1))
+            root = forest(len(ids), i, j)
+            own = np.flatnonzero(root != np.arange(len(ids)))
+            out += zip(ids[own].tolist(), ids[root[own]].tolist())
         return pd.DataFrame(out, columns=["a", "b"]) if out else None
 
     return map_sorted_groups(rows, ["component", "block_a", "block_b"], search, "a long, b long", least=1000)

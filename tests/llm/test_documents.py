@@ -334,3 +334,19 @@ def test_sampled_pieces_decode_and_follow_the_lattice(spark):
     encoded = pieces.encode_documents(frame(spark, ODD))
     back = {r["doc_id"]: r["text"] for r in pieces.decode_documents(encoded).collect()}
     assert all(back[k] == t for k, t in ODD)
+
+
+def test_near_passages_go_whole(spark):
+    rng = random.Random(9)
+    rows, kinds = [], []
+    for n, changes in [(51, 0), (12, 0), (60, 1), (100, 2), (200, 4)] * 20:
+        passage = words(rng, n)
+        copy = list(passage)
+        for c in range(changes):
+            copy[(2 * c + 1) * n // (2 * changes)] = f"changed{c}"
+        key = len(rows)
+        rows += [(key, " ".join([*words(rng, 30), *passage, *words(rng, 30)])), (key + 1, " ".join([*words(rng, 40), *copy, *words(rng, 20)]))]
+        kinds.append((n, changes, key, rows[-1][1].split()))
+    out = {r["doc_id"]: r["text"].split() for r in paragraphs.drop_repeated(frame(spark, rows)).collect()}
+    assert all(out[key] == rows[key][1].split() for _, _, key, _ in kinds)
+    assert all(out[key + 1] == [*old[:40], *old[-20:]] for _, _, key, old in kinds)

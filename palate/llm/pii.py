@@ -88,7 +88,7 @@ _AT_DOT = re.compile(
 )
 _DOT_WORD = re.compile(r"\s{1,3}dot\s{1,3}", re.IGNORECASE)
 _ADDRESS_TAIL = re.compile(r"@[A-Za-z0-9-]{1,63}(?:(?:\s{1,3}dot\s{1,3}|\.)[A-Za-z0-9-]{1,63}){1,8}", re.IGNORECASE)
-_HINT = re.compile(rf"[\[({{<]\s{{0,3}}(?:at|dot|@|\.)\s{{0,3}}[\])}}>]|\sdot\s|(?<![a-z])(?:{_NAME})[\s,.-]{{1,3}}(?:{_NAME})(?![a-z])", re.IGNORECASE)
+_HINT = re.compile(rf"[\[({{<]\s{{0,3}}(?:at|dot|@|\.)\s{{0,3}}[\])}}>]|\sdot\s|\sat\s{{1,3}}[a-z0-9-]{{1,63}}\.|(?<![a-z])plus\s{{1,3}}[0-9]|(?<![a-z])(?:{_NAME})[\s,.-]{{1,3}}(?:{_NAME})(?![a-z])", re.IGNORECASE)
 
 
 class Tape:

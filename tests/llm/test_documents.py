@@ -350,3 +350,12 @@ def test_near_passages_go_whole(spark):
     out = {r["doc_id"]: r["text"].split() for r in paragraphs.drop_repeated(frame(spark, rows)).collect()}
     assert all(out[key] == rows[key][1].split() for _, _, key, _ in kinds)
     assert all(out[key + 1] == [*old[:40], *old[-20:]] for _, _, key, old in kinds)
+
+
+@pytest.mark.parametrize("text,found", [
+    ("write to john at example.com today", "john at example.com"), ("call plus 44 20 7946 0958 now", "plus 44 20 7946 0958"),
+    ("write to john[at]example.com today", "john[at]example.com"), ("write to john@example(dot)com today", "john@example(dot)com"),
+    ("write to john@example dot com today", "john@example dot com"), ("card four one one one 1111 1111 1111 now", "four one one one 1111 1111 1111"),
+])
+def test_each_disguise_alone(text, found):
+    assert [text[a:b] for a, b, _ in pii.disguised_spans(text, pii.plain_spans(text))] == [found]

@@ -17,15 +17,17 @@ DEBIAS = 0.15
 TOKEN_KINDS = ("genre", "director", "theme", "country", "language", "writer")
 
 
-def tfidf_vectors(attrs: DataFrame, min_df: int = 2, max_features: int = 20_000) -> DataFrame:
+def tfidf_vectors(attrs: DataFrame, min_df: int = 2, max_features: int | None = None) -> DataFrame:
     """(slug, token, w): unit vectors over one vocabulary of lower-cased values; tf is over all of a film's tokens.
 
-    The vocabulary's size is a parameter of the model: the max_features tokens of largest idf."""
+    max_features, where given, keeps that many tokens of largest idf."""
     tokens = attrs.filter(F.col("attr_type").isin(*TOKEN_KINDS)).select("slug", F.lower("attr_value").alias("token"))
     tf = tokens.groupBy("slug", "token").agg(F.count("*").alias("c")).withColumn("tf", F.col("c") / F.sum("c").over(Window.partitionBy("slug")))
     n = F.broadcast(attrs.agg(F.countDistinct("slug").alias("n_docs")))  # one row
     df = tf.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df).crossJoin(n)
-    idf = df.select("token", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf")).orderBy(F.desc("idf"), "token").limit(max_features)
+    idf = df.select("token", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    if max_features is not None:
+        idf = idf.orderBy(F.desc("idf"), "token").limit(max_features)
     raw = tf.join(idf, "token").withColumn("x", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("slug")))
     return raw.select("slug", "token", (F.col("x") / norm).alias("w"))
@@ -119,12 +121,14 @@ def recommend_collaborative(inter: DataFrame, films: DataFrame, n: int = 20, min
 # ---- items ----
 
 
-def item_similarity(inter: DataFrame, k: int = 50, max_items: int = 20_000) -> DataFrame:
+def item_similarity(inter: DataFrame, k: int = 50, max_items: int | None = None) -> DataFrame:
     """(slug, other, sim): adjusted cosine over common users only, two at least, above 0.3, the k best.
 
-    max_items, a parameter of the model, keeps the films with most ratings."""
+    max_items, where given, keeps that many films with most ratings."""
     c = centered_ratings(inter).filter("rating <> 0").select("username", "slug", "c")
-    many = c.groupBy("slug").agg(F.count("*").alias("n")).filter("n >= 2").orderBy(F.desc("n"), "slug").limit(max_items)
+    many = c.groupBy("slug").agg(F.count("*").alias("n")).filter("n >= 2")
+    if max_items is not None:
+        many = many.orderBy(F.desc("n"), "slug").limit(max_items)
     c = c.join(many.select("slug"), "slug", "left_semi")
     other = c.select("username", F.col("slug").alias("other"), F.col("c").alias("c2"))
     met = c.join(other, "username").filter("slug < other").groupBy("slug", "other").agg(

@@ -202,3 +202,12 @@ def test_svd_recovers_a_low_rank_matrix(spark):
     pairs = spark.createDataFrame([("alice", "c"), ("nobody", "c")], "username string, slug string")
     got = {r["username"]: r["prediction"] for r in Q.predict_svd(pairs, Q.bias_model(matrix), users, items).collect()}
     assert got["nobody"] is None and 0.5 <= got["alice"] <= 5
+
+
+def test_no_film_or_token_is_dropped_by_number(spark):
+    groups = 10_001  # two users rate three films, two of them alike
+    rated = spark.range(groups * 6).selectExpr("concat('u', id div 3) as username", "concat('f', id div 6, '-', id % 3) as slug", "if(id % 3 = 2, 1.0D, 5.0D) as rating")
+    assert N.item_similarity(rated).select("slug").distinct().count() == 2 * groups
+    assert N.item_similarity(rated, max_items=30).select("slug").distinct().count() <= 30
+    attrs = spark.range(2 * 20_001).selectExpr("concat('f', id) as slug", "'genre' as attr_type", "concat('g', id div 2) as attr_value")
+    assert N.tfidf_vectors(attrs).select("token").distinct().count() == 20_001

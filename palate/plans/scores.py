@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from palate.operators import catalogue as C
@@ -163,5 +164,5 @@ def _(v: Views):
 
 @query("diversify")
 def _(v: Views):
-    ranked = S.top_n(v.interactions.filter("rating is not null").withColumn("score", F.col("rating")), 40)
-    return S.diversify(ranked, v.film_attrs, 10)
+    whole = F.row_number().over(Window.partitionBy("username").orderBy(F.desc("rating"), "slug"))
+    return S.diversify(v.interactions.filter("rating is not null").withColumn("rank", whole), v.film_attrs, 10)

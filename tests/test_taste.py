@@ -211,3 +211,13 @@ def test_no_film_or_token_is_dropped_by_number(spark):
     assert N.item_similarity(rated, max_items=30).select("slug").distinct().count() <= 30
     attrs = spark.range(2 * 20_001).selectExpr("concat('f', id) as slug", "'genre' as attr_type", "concat('g', id div 2) as attr_value")
     assert N.tfidf_vectors(attrs).select("token").distinct().count() == 20_001
+
+
+def test_diversify_query_walks_the_whole_ranking(spark, monkeypatch):
+    from palate.plans import registry, scores  # noqa: F401
+
+    inter = spark.createDataFrame([seen("u", f"f{i:03}", 4.0) for i in range(100)], INTER)
+    attrs = spark.createDataFrame([x for i in range(100) for x in attr(f"f{i:03}", director="one" if i < 60 else f"d{i}")], ATTRS)
+    monkeypatch.setattr(registry, "Views", lambda *_: type("V", (), {"interactions": inter, "film_attrs": attrs}))
+    got = registry.QUERIES["diversify"](spark, "")
+    assert [r["slug"] for r in got.orderBy("rank").collect()] == ["f000", "f001", *(f"f{i:03}" for i in range(60, 68))]

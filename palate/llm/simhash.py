@@ -30,9 +30,11 @@ def shingles(text: str | None, words: int) -> list[bytes]:
     return [joined[a : b - 1] for a, b in zip(starts, ends[words - 1 :])]
 
 
-def fingerprint(text: str | None, words: int, seeds: tuple[int, ...]) -> list[int]:
-    """A 64-bit number for each seed: a bit is 1 if over half the shingles' XXH64 have it."""
+def fingerprint(text: str | None, words: int, seeds: tuple[int, ...], distinct: bool = False) -> list[int]:
+    """A 64-bit number for each seed: a bit is 1 if over half the shingles' XXH64 have it; distinct counts repeats once."""
     runs = shingles(text, words)
+    if distinct:
+        runs = list(set(runs))
     out = []
     for seed in seeds:
         h = np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(seed)), np.uint64, len(runs))
@@ -97,9 +99,9 @@ def block_tables(bits: int, radius: int, extra: int = 2) -> list[list[int]]:
 
 def sampled_tables(bits: int, radius: int, rows: int, recall: float = 0.98) -> list[list[int]]:
     """For a radius too wide for blocks: keys of log2(rows / 64) random bits, in as many tables as give that recall at
-    three quarters of the radius."""
+    the radius itself, whatever the number of rows."""
     width = int(np.clip(np.ceil(np.log2(max(rows, 1) / 64)), 6, 28))
-    agree = (1 - 0.75 * radius / bits) ** width
+    agree = (1 - radius / bits) ** width
     n = int(np.ceil(np.log(1 - recall) / np.log(1 - agree)))
     pick = np.random.default_rng(7)
     return [pick.choice(bits, width, replace=False).tolist() for _ in range(n)]
@@ -140,10 +142,10 @@ def link_fingerprints(nodes: DataFrame, tables: list[list[int]], radius: int) ->
     return map_sorted_groups(in_blocks(keyed, "key", "id", SHARD), ["key", "block_a", "block_b"], search, "a long, b long")
 
 
-def fingerprints(docs: DataFrame, words: int, seeds: tuple[int, ...]) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int, seeds: tuple[int, ...], distinct: bool = False) -> DataFrame:
     """(doc_id, fp, content): the fingerprints of each whole text and a hash of its words; a shared table."""
     def work(columns: list[list]) -> list[tuple]:
-        return [(k, fingerprint(t, words, seeds), xxhash.xxh3_128_hexdigest(b" ".join(shingles(t, 1)))) for k, t in zip(*columns)]
+        return [(k, fingerprint(t, words, seeds, distinct), xxhash.xxh3_128_hexdigest(b" ".join(shingles(t, 1)))) for k, t in zip(*columns)]
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return shared_table(map_texts(kept, "doc_id long, fp array<long>, content string", work), "fingerprints")
@@ -172,7 +174,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, see
 
     128-bit fingerprints give candidates: at that similarity they differ in about angle / pi of the bits, and the radius
     allows for two standard deviations more. Each candidate group is then linked anew by exact similarities."""
-    prints = fingerprints(docs, words, seeds).filter("doc_id is not null")
+    prints = fingerprints(docs, words, seeds, distinct=True).filter("doc_id is not null")
     bits = 64 * len(seeds)
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     radius = int(np.ceil(bits * share + 2 * np.sqrt(bits * share * (1 - share))))

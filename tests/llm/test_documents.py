@@ -359,3 +359,14 @@ def test_near_passages_go_whole(spark):
 ])
 def test_each_disguise_alone(text, found):
     assert [text[a:b] for a, b, _ in pii.disguised_spans(text, pii.plain_spans(text))] == [found]
+
+
+def test_simhash_stage_recall_holds_at_the_radius_and_ignores_repeats():
+    for rows in (100, 200_000, 15_000_000):
+        tables = simhash.sampled_tables(128, 28, rows)
+        assert 1 - (1 - (1 - 28 / 128) ** len(tables[0])) ** len(tables) >= 0.98
+    base = words(random.Random(5), 300)
+    often = " ".join([*base, *base[:30] * 15])
+    twice = " ".join([*base, *base[:30] * 2])
+    assert set(simhash.shingles(often, 5)) == set(simhash.shingles(twice, 5))
+    assert simhash.fingerprint(often, 5, (42, 43), distinct=True) == simhash.fingerprint(twice, 5, (42, 43), distinct=True)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pandas as pd
@@ -13,13 +15,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_folder: dict[str, str] = {}
+_stored: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()  # where shared tables lie
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or an own one where the session names none (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only a local session, whose executors are threads of this machine, gets a folder of its own where none is named."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
         _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
@@ -30,19 +37,29 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: the lineage ends, and a lost executor loses nothing."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    _stored[stored] = path
+    return stored
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete shared tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_stored.pop(df))
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def arrow_rows(df: DataFrame, rows: int = 256) -> DataFrame:
-    """Have Python workers take so many rows at a time: whole texts may be long, and a batch must fit in memory."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """So many rows at a time. Spark bounds a batch by bytes; what Python makes of whole texts takes several times that."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def map_texts(
     df: DataFrame, schema: str, work: Callable[[list[list]], list[tuple]], rows: int = 256, setup: Callable | None = None
 ) -> DataFrame:
-    """For each Arrow batch, work() gets the columns as lists and returns result rows as tuples, in the schema's order.
+    """For each slice of an Arrow batch, work() gets the columns as lists and returns result rows as tuples, in the schema's order.
 
     setup() runs once in a task and gives the state that work gets as its second argument."""
     from pyspark.sql.types import _parse_datatype_string
@@ -54,14 +71,14 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
-        for batch in batches:
+        for batch in slices(batches, rows):
             columns = [c.to_pylist() for c in batch.columns]
             out = work(columns, state) if setup else work(columns)
             if out:
                 parts = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(p, f.type) for p, f in zip(parts, arrow)], schema=arrow)
 
-    return arrow_rows(df, rows).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def map_sorted_groups(
@@ -155,11 +172,12 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = shared_table(large, "stars")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = shared_table(tidy(small.unionByName(low.select("u", F.col("m").alias("v")))), "edges")
-        mark_now = mark(now)
-        if mark_now == last:
+        then = shared_table(tidy(small.unionByName(low.select("u", F.col("m").alias("v")))), "edges")
+        forget(now, large)
+        now, before = then, last
+        last = mark(now)
+        if last == before:
             break
-        last = mark_now
     # a star: each leaf once, under the centre, which is the smallest
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

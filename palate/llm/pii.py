@@ -214,7 +214,5 @@ def redact_documents(docs: DataFrame, text: str = "text", length: str | None = "
 
     Null texts stay null; all other columns pass unread."""
     new = F.pandas_udf(lambda s: s.map(redact, na_action="ignore"), "string")(F.col(text))
-    from palate.llm.common import arrow_rows
-
-    out = arrow_rows(docs).withColumn(text, new)
+    out = docs.withColumn(text, new)
     return out.withColumn(length, F.length(text).cast(docs.schema[length].dataType)).select(*docs.columns) if length in docs.columns else out

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palate.llm.common import arrow_rows, map_texts
+from palate.llm.common import map_texts, slices
 
 #: Terms for groups of people, by kind; a counterfactual replaces each with the next of its kind.
 IDENTITY_TERMS = (
@@ -155,12 +155,12 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", threshold
 
     def run(batches):
         score = model.scorer()
-        for batch in batches:
+        for batch in slices(batches):
             scores = [score(t) for t in batch.column(at).to_pylist()]
             columns = [*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "score", "predicted"])
 
-    return arrow_rows(out).mapInArrow(run, schema)
+    return out.mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

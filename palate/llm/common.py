@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 import numpy as np
@@ -33,10 +34,23 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[app]
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m"):
+    """For one action Python workers get Arrow batches of that size; the session's own setting comes back after it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: the lineage ends, and a lost executor loses nothing."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
     _stored[stored] = path
     return stored

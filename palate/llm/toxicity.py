@@ -12,16 +12,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palate.llm.common import map_texts, slices
+from palate.llm.common import forget, map_texts, shared_table, slices
 
-#: Terms for groups of people, by kind; a counterfactual replaces each with the next of its kind.
+#: Terms for groups of people, by kind, in four languages; a counterfactual replaces each with the next of its kind.
 IDENTITY_TERMS = (
     ("women", "men", "people"), ("woman", "man", "person"), ("girls", "boys", "kids"), ("female", "male", "nonbinary"),
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"), ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
     ("black", "white", "asian", "latino", "african", "european"), ("gay", "straight", "lesbian", "bisexual", "transgender"),
     ("immigrant", "citizen", "refugee"), ("immigrants", "citizens", "refugees"), ("old", "young"), ("disabled", "blind", "deaf"),
+    ("femmes", "hommes", "personnes"), ("femme", "homme", "personne"), ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"), ("noirs", "blancs", "asiatiques", "africains", "européens"),
+    ("immigrés", "citoyens", "réfugiés"), ("handicapés", "aveugles", "sourds"), ("homosexuels", "hétérosexuels", "lesbiennes", "transgenres"),
+    ("frauen", "männer", "menschen"), ("frau", "mann", "mensch"), ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "afrikaner", "europäer"), ("einwanderer", "bürger", "flüchtlinge"), ("behinderte", "blinde", "gehörlose"),
+    ("schwule", "heterosexuelle", "lesben", "transsexuelle"), ("mujeres", "hombres", "personas"), ("mujer", "hombre", "persona"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"), ("negros", "blancos", "asiáticos", "africanos", "europeos"),
+    ("inmigrantes", "ciudadanos", "refugiados"), ("discapacitados", "ciegos", "sordos"), ("homosexuales", "heterosexuales", "lesbianas", "transexuales"),
 )
 SWAP = {w: kind[(i + 1) % len(kind)] for kind in IDENTITY_TERMS for i, w in enumerate(kind)}
+MENTIONS = tuple(SWAP)
 
 BITS = 20
 _WORD = re.compile(r"[^\W\d_]+")
@@ -33,11 +42,15 @@ def word_features(word: str) -> list[int]:
     return [xxhash.xxh32_intdigest(p) >> (32 - BITS) for p in parts]
 
 
-def text_features(text: str | None, swap: bool = False) -> set[int]:
-    words = set(_WORD.findall((text or "").lower()))
-    if swap:
-        words = {SWAP.get(w, w) for w in words}
-    return {f for w in words for f in word_features(w)}
+def text_features(text: str | None) -> set[int]:
+    return {f for w in set(_WORD.findall((text or "").lower())) for f in word_features(w)}
+
+
+def counterfactual(text: str | None) -> str:
+    """The text with its identity terms swapped; one that names no group, with a neutral mention of one, by its hash, at the end."""
+    text = (text or "").lower()
+    swapped = _WORD.sub(lambda m: SWAP.get(m[0], m[0]), text)
+    return swapped if swapped != text else f"{text} {MENTIONS[xxhash.xxh32_intdigest(text.encode('utf-8', 'surrogatepass')) % len(MENTIONS)]}"
 
 
 @dataclass
@@ -82,11 +95,14 @@ def held_out(key) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 1000, swap_penalty: float = 1.0) -> Model:
     """Logistic regression over features that toxic documents hold more often, learned from training_rows().
 
-    The loss adds swap_penalty times the mean squared change of the logit when a text's identity terms are swapped.
-    What reaches the driver is bounded by max_rows and max_features, not by the corpus. Without documents of both
-    labels the model scores every text with the share of toxic ones (one half if there is none)."""
+    The loss adds swap_penalty times the mean squared change of the logit between a text and its counterfactual: its
+    identity terms swapped or, where it names no group, a group mentioned. max_features bounds the model: the features
+    with the largest gain among those of three toxic documents or more. What reaches the driver is bounded by max_rows
+    and max_features, not by the corpus. Rows of one id are one document, with the least of their texts. Without
+    documents of both labels the model scores every text with the share of toxic ones (one half if there is none)."""
     sample = F.broadcast(training_rows(labels, max_rows))  # at most max_rows pairs of numbers
-    known = docs.select("doc_id", "text").join(sample, "doc_id")
+    known = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    known = shared_table(known.select("doc_id", "text", "toxic"), "training")
 
     def counted(columns: list[list]) -> list[tuple]:
         n = np.zeros((2, 1 << BITS), np.int32)
@@ -96,10 +112,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features
         return [(-1, sum(t > 0 for t in columns[2]), sum(t <= 0 for t in columns[2])), *zip(at.tolist(), n[1, at].tolist(), n[0, at].tolist())]
 
     counts = map_texts(known, "f int, pos long, neg long", counted, rows=2048).groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = shared_table(counts, "features")
     total = counts.filter("f = -1").first()
     n_pos, n_neg = (total["pos"], total["neg"]) if total else (0, 0)
     if not n_pos or not n_neg:
         share = n_pos / (n_pos + n_neg) if n_pos + n_neg else 0.5
+        forget(known, counts)
         return Model({}, float(np.log((share + 1e-4) / (1 - share + 1e-4))))
     share_pos, share_neg = (F.col("pos") + 0.5) / (n_pos + 1), (F.col("neg") + 0.5) / (n_neg + 1)
     gain = share_pos * F.log(share_pos / share_neg)
@@ -109,18 +127,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features
     def chosen(columns: list[list]) -> list[tuple]:
         out = []
         for _, text, toxic in zip(*columns):
-            plain = sorted(place[f] for f in text_features(text) if f in place)
-            swapped = sorted(place[f] for f in text_features(text, swap=True) if f in place)
-            out.append((int(toxic > 0), plain, swapped))
+            plain, changed = (sorted(place[f] for f in text_features(t) if f in place) for t in (text, counterfactual(text)))
+            out.append((int(toxic > 0), plain, changed))
         return out
 
-    rows = map_texts(known, "toxic int, plain array<int>, swapped array<int>", chosen).collect()  # max_rows at most
+    rows = map_texts(known, "toxic int, plain array<int>, changed array<int>", chosen).collect()  # max_rows at most
+    forget(known, counts)
     w, b = _descend(rows, len(place), swap_penalty)
     return Model({f: float(w[i]) for f, i in place.items() if w[i]}, b)
 
 
 def _descend(rows: list, n_features: int, swap_penalty: float, steps: int = 500, ridge: float = 2e-6) -> tuple[np.ndarray, float]:
-    """Adam over the whole sample. rows: (toxic, features, features once swapped)."""
+    """Adam over the whole sample. rows: (toxic, features, features of the counterfactual)."""
     rows = sorted(rows)  # Spark may deliver them in any order
     y = np.array([r[0] for r in rows], float)
     flat = lambda k: (np.repeat(np.arange(len(rows)), [len(r[k]) for r in rows]), np.concatenate([np.array(r[k], int) for r in rows]))
@@ -144,27 +162,32 @@ def _descend(rows: list, n_features: int, swap_penalty: float, steps: int = 500,
     return w, float(b)
 
 
-def score_documents(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 from the threshold on); columns of these names are replaced.
+def score_documents(
+    docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7, score: str = "score", predicted: str = "predicted"
+) -> DataFrame:
+    """docs with `score` (0 to 1) and `predicted` (1 from the threshold on); columns of docs with these names are replaced.
 
-    A null or empty text gets the score of a text without any feature. No shuffle; rows pass one by one."""
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    A null or empty text gets the score of a text without any feature; repeated rows score alike. No shuffle; rows pass
+    one by one."""
+    kept = [c for c in docs.columns if c not in (score, predicted)]
     at = kept.index(text)
     out = docs.select(*kept)
-    schema = T.StructType([*out.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    schema = T.StructType([*out.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType())])
 
     def run(batches):
-        score = model.scorer()
+        of_text = model.scorer()
         for batch in slices(batches):
-            scores = [score(t) for t in batch.column(at).to_pylist()]
+            scores = [of_text(t) for t in batch.column(at).to_pylist()]
             columns = [*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, score, predicted])
 
     return out.mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document; see fit() and score_documents(). A null id isn't held out."""
+    """(doc_id, held_out, score, predicted) of every document; see fit() and score_documents().
+
+    A null id isn't held out; repeated rows give repeated results."""
     model = fit(docs, labels, **options)
     scored = score_documents(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

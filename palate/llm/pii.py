@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,14 +83,15 @@ _NAME = "|".join(DIGIT_NAMES)
 _SPELLED = re.compile(rf"(?<![A-Za-z])(?:{_NAME})(?:[\s,.-]{{1,3}}(?:{_NAME}))+(?![A-Za-z])", re.IGNORECASE)
 _ONE_NAME = re.compile(rf"{_NAME}", re.IGNORECASE)
 _PLUS = re.compile(r"(?<![A-Za-z])plus\s{1,3}(?=[0-9])", re.IGNORECASE)
-_SIGN = r"\s{0,3}[\[({<]\s{0,3}%s\s{0,3}[\])}>]\s{0,3}"
-_AT_BRACKET, _DOT_BRACKET = (re.compile(_SIGN % w, re.IGNORECASE) for w in ("(?:at|@)", r"(?:dot|\.)"))
-_AT_DOT = re.compile(
-    r"(?<=[A-Za-z0-9_%+-])(?:\s{1,3}at\s{1,3}|@)(?=[A-Za-z0-9-]{1,63}(?:(?:\s{1,3}dot\s{1,3}|\.)[A-Za-z0-9-]{1,63}){1,8}(?![A-Za-z0-9-]))", re.IGNORECASE
+_IN_BRACKETS = r"\s{0,3}[\[({<]\s{0,3}%s\s{0,3}[\])}>]\s{0,3}"
+_DOT_SIGN = rf"(?:{_IN_BRACKETS % r'(?:dot|[.])'}|\s{{1,3}}dot\s{{1,3}}|\.)"
+_AT_SIGN = rf"(?:{_IN_BRACKETS % '(?:at|@)'}|\s{{1,3}}at\s{{1,3}}|@)"
+_ADDRESS = re.compile(
+    rf"(?<=[A-Za-z0-9_%+-])(?P<at>{_AT_SIGN})(?P<domain>[A-Za-z0-9-]{{1,63}}(?:{_DOT_SIGN}[A-Za-z0-9-]{{1,63}}){{1,8}})(?![A-Za-z0-9-])", re.IGNORECASE
 )
-_DOT_WORD = re.compile(r"\s{1,3}dot\s{1,3}", re.IGNORECASE)
-_ADDRESS_TAIL = re.compile(r"@[A-Za-z0-9-]{1,63}(?:(?:\s{1,3}dot\s{1,3}|\.)[A-Za-z0-9-]{1,63}){1,8}", re.IGNORECASE)
-_HINT = re.compile(rf"[\[({{<]\s{{0,3}}(?:at|dot|@|\.)\s{{0,3}}[\])}}>]|\sdot\s|\sat\s{{1,3}}[a-z0-9-]{{1,63}}\.|(?<![a-z])plus\s{{1,3}}[0-9]|(?<![a-z])(?:{_NAME})[\s,.-]{{1,3}}(?:{_NAME})(?![a-z])", re.IGNORECASE)
+_DOT = re.compile(_DOT_SIGN, re.IGNORECASE)
+_DOT_OF_NUMBERS = re.compile(rf"(?<=[0-9]){_IN_BRACKETS % r'(?:dot|[.])'}(?=[0-9])", re.IGNORECASE)
+_HINT = re.compile(rf"[\[({{<]\s{{0,3}}(?:at|dot|@|\.)\s{{0,3}}[\])}}>]|\sdot\s|(?<![a-z])plus\s{{1,3}}[0-9]|(?<![a-z])(?:{_NAME})[\s,.-]{{1,3}}(?:{_NAME})(?![a-z])", re.IGNORECASE)
 
 
 class Tape:
@@ -142,13 +145,18 @@ def _whole(chars: str):
     return lambda m: [(chars, m.start(), m.end())]
 
 
-def _tail(m: re.Match) -> list:
-    parts, last = [], 0
-    for x in _DOT_WORD.finditer(m[0]):
-        parts += [(m[0][i], m.start() + i, m.start() + i + 1) for i in range(last, x.start())]
-        parts.append((".", m.start() + x.start(), m.start() + x.end()))
-        last = x.end()
-    return parts + [(m[0][i], m.start() + i, m.start() + i + 1) for i in range(last, len(m[0]))]
+def _as_address(m: re.Match) -> list:
+    """An at and its dots as signs. A plain ' at ' before a domain with plain dots is prose and stays."""
+    dots = [(m.start("domain") + x.start(), m.start("domain") + x.end()) for x in _DOT.finditer(m["domain"])]
+    signs = [(".", a, b) for a, b in dots]
+    if m["at"].strip().lower() != "at" or any(b - a > 1 for a, b in dots):
+        signs.insert(0, ("@", m.start("at"), m.end("at")))
+    out, last = [], m.start()
+    for c, a, b in [*signs, ("", m.end(), m.end())]:
+        out += [(m.string[i], i, i + 1) for i in range(last, a)]
+        out += [(c, a, b)] if c else []
+        last = b
+    return out
 
 
 def disguised_spans(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -161,14 +169,14 @@ def disguised_spans(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[
         tape.rewrite(_ODD, _as_ascii)
     tape.rewrite(_SPELLED, _as_digits)
     tape.rewrite(_PLUS, _whole("+"))
-    tape.rewrite(_AT_BRACKET, _whole("@"))
-    tape.rewrite(_DOT_BRACKET, _whole("."))
-    tape.rewrite(_AT_DOT, _whole("@"))
-    tape.rewrite(_ADDRESS_TAIL, _tail)
+    tape.rewrite(_ADDRESS, _as_address)
+    tape.rewrite(_DOT_OF_NUMBERS, _whole("."))
+    starts = [a for a, _, _ in plain]
+    reach = list(accumulate((b for _, b, _ in plain), max, initial=0))  # the last end of the first so many
     new = []
     for a, b, kind in plain_spans(tape.text):
         start, end = tape.start[a], tape.end[b - 1]
-        if not any(start < e and s < end for s, e, _ in plain):
+        if reach[bisect_left(starts, end)] <= start:
             new.append((start, end, kind))
     return new
 
@@ -212,7 +220,7 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
 def redact_documents(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """docs with personal data in `text` replaced, and `length`, where there is such a column, as the new length.
 
-    Null texts stay null; all other columns pass unread."""
+    Null texts stay null, a null id changes nothing, repeated rows stay repeated; all other columns pass unread."""
     new = F.pandas_udf(lambda s: s.map(redact, na_action="ignore"), "string")(F.col(text))
     out = docs.withColumn(text, new)
     return out.withColumn(length, F.length(text).cast(docs.schema[length].dataType)).select(*docs.columns) if length in docs.columns else out

@@ -15,6 +15,7 @@ from palate.llm.common import map_texts
 
 SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+CHANCES = 1 << 36  # parts that a node's pieces share
 
 
 class Vocabulary:
@@ -128,7 +129,7 @@ class Lattice:
         order = np.argsort(depth * (n + len(words) + 1) + end, kind="stable")
         start, end, depth, weight, self.piece = start[order], end[order], depth[order], weight[order], self.piece[order]
         alpha = np.zeros(n + len(words))
-        chance = np.zeros(len(start))
+        chance = np.zeros(len(start), np.int64)
         cuts = np.searchsorted(depth, np.arange(1, (size.max() if len(words) else 0) + 2))
         for a, b in zip(cuts[:-1], cuts[1:]):
             if a == b:
@@ -140,12 +141,12 @@ class Lattice:
             share = np.exp(value - np.repeat(top, count))
             total = np.add.reduceat(share, head)
             alpha[end[a:b][head]] = top + np.log(total)
-            run = np.cumsum(share)
-            run -= np.repeat(run[head] - share[head], count)
-            chance[a:b] = run / np.repeat(total, count)
+            part = np.rint(share / np.repeat(total, count) * CHANCES).astype(np.int64)
+            run = np.cumsum(part)  # whole numbers: a node's sums don't depend on what stands before them
+            chance[a:b] = np.minimum(run - np.repeat(run[head] - part[head], count), CHANCES)  # rounded up, they may exceed the whole
         order = np.argsort(end, kind="stable")
         self.start, self.end, self.piece = start[order], end[order], self.piece[order]
-        self.key = self.end + np.minimum(chance[order], 1 - 1e-9)
+        self.key = self.end * CHANCES + chance[order]
         self.last_arc = np.searchsorted(self.end, np.arange(n + len(words)), side="right") - 1
         self.first = first
         self.goal = first + size
@@ -157,8 +158,8 @@ class Lattice:
         node, of = self.goal[words], np.arange(len(words))
         arcs, places, turns = [], [], []
         while len(node):
-            draw = uniform(seeds[of] + np.uint64(len(turns)) * _BASE)
-            arc = np.minimum(np.searchsorted(self.key, node + draw, side="left"), self.last_arc[node])
+            draw = (uniform(seeds[of] + np.uint64(len(turns) * int(_BASE) % 2**64)) * CHANCES).astype(np.int64)
+            arc = np.minimum(np.searchsorted(self.key, node * CHANCES + draw, side="right"), self.last_arc[node])
             arcs.append(arc)
             places.append(of)
             turns.append(np.full(len(of), -len(turns)))

@@ -85,6 +85,12 @@ def upsert_latest(base: DataFrame, delta: DataFrame, keys: list[str], order: lis
 ATTRIBUTES = ("director", "genre", "actor", "theme", "country", "language", "writer", "cinematographer", "composer")
 
 
+def decode_lists(films: DataFrame, columns: list[str]) -> DataFrame:
+    """films with JSON texts of lists as arrays; bad JSON, null and empty texts are empty arrays."""
+    none = F.array().cast("array<string>")
+    return films.withColumns({c: F.coalesce(F.from_json(F.col(c), "array<string>"), none) for c in columns})
+
+
 def normalize_attrs(films: DataFrame, columns: dict[str, str]) -> DataFrame:
     """(slug, attr_type, attr_value, pos) from array columns, by kind; a value counts at its first place."""
     rows = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("v")) for kind, c in columns.items()])).alias("a")
@@ -133,6 +139,17 @@ def top_users(inter: DataFrame, k: int = 5) -> DataFrame:
     return inter.groupBy("username").agg(F.count("*").alias("n_films")).orderBy(F.desc("n_films"), "username").limit(k)
 
 
+def oldest_users(inter: DataFrame, k: int = 5) -> DataFrame:
+    """The k users whose newest record is the oldest."""
+    return inter.groupBy("username").agg(F.max("scraped_at").alias("last_seen")).orderBy("last_seen", "username").limit(k)
+
+
+def top_genres(attrs: DataFrame, k: int = 10) -> DataFrame:
+    """The k genres of most films."""
+    g = attrs.filter("attr_type = 'genre'").groupBy(F.col("attr_value").alias("genre")).agg(F.countDistinct("slug").alias("n_films"))
+    return g.orderBy(F.desc("n_films"), "genre").limit(k)
+
+
 def social_stats(follows: DataFrame) -> DataFrame:
     return follows.agg(F.count("*").alias("n_edges"), F.countDistinct("follower").alias("n_followers"), F.countDistinct("followee").alias("n_followees"))
 

@@ -80,6 +80,23 @@ def explain_group(compat: DataFrame) -> DataFrame:
     return g.select("group_id", "overall", F.concat(label, F.lit(" compatibility")).alias("label"), F.col("best.p").alias("best_pair"), F.when(F.col("worst.c") < 0.4, F.col("worst.p")).alias("challenging_pair"))
 
 
+def group_hint(compat: DataFrame, consensus: DataFrame, shared: DataFrame) -> DataFrame:
+    """(group_id, hint): what a group may do, by its overall compatibility, divisive genres and shared watchlist."""
+    overall = compat.groupBy("group_id").agg(F.avg(F.round("compatibility", 9)).alias("overall"))
+    split = consensus.filter("verdict = 'divisive' and attr_type = 'genre'").groupBy("group_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("attr_value")), 1, 2), ", ").alias("split"))
+    some = shared.select("group_id").distinct().withColumn("some", F.lit(True))
+    rows = overall.join(split, "group_id", "left").join(some, "group_id", "left")
+    hint = F.when(F.col("overall") >= 0.7, "aligned tastes: be adventurous").when(F.col("split").isNotNull(), F.concat(F.lit("consider avoiding "), "split"))
+    return rows.select("group_id", hint.when(F.col("some"), "start with the shared watchlist").otherwise("stick to well-rated films").alias("hint"))
+
+
+def parse_members(texts: DataFrame, group: str = "group_id", text: str = "text") -> DataFrame:
+    """(group_id, username, weight) from texts such as "ann, bob:2": names are cleaned, a weight that doesn't read counts 1."""
+    rows = texts.select(F.col(group).alias("group_id"), F.explode(F.split(text, ",")).alias("t")).withColumn("t", F.trim("t"))
+    name = F.regexp_replace(F.lower(F.substring_index("t", ":", 1)), "[^a-z0-9_-]", "")
+    return rows.select("group_id", name.alias("username"), F.coalesce(parse_weight(F.col("t"))[1], F.lit(1.0)).alias("weight")).filter("username <> ''").dropDuplicates(["group_id", "username"])
+
+
 def aggregate_scores(scores: DataFrame, strategy: str, by: tuple[str, ...] = ("group_id", "slug")) -> DataFrame:
     return scores.groupBy(*by).agg(STRATEGIES[strategy](F.col("score")).alias("group_score"))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palate.operators.scoring import top_n
+from palate.operators.scoring import diversify, top_n
+from palate.sources.shared import forget, shared_table
 
 SHRINKAGE = 10.0
 IMPLICIT = {"liked": 1.2, "watched": 0.4, "watchlisted": 0.25}
@@ -71,6 +72,12 @@ def rated_pairs(inter: DataFrame) -> DataFrame:
     return met.unionByName(met.select(F.col("other").alias("username"), F.col("username").alias("other"), "overlap", "cosine", "agreement"))
 
 
+def least_overlap(inter: DataFrame) -> int:
+    """How many films two users must have in common: five, or two where there are under 20 users or 50 films."""
+    size = inter.agg(F.countDistinct("username").alias("u"), F.countDistinct("slug").alias("i")).first()
+    return 2 if size["u"] < 20 or size["i"] < 50 else 5
+
+
 def user_neighbors(pairs: DataFrame, k: int = 10, min_overlap: int = 5) -> DataFrame:
     """(username, rank, other, score): the cosine, less for few common films."""
     n = F.col("overlap")
@@ -95,25 +102,41 @@ def popularity_debias(count: Column) -> Column:
     return F.when(count > 0, factor).otherwise(1.0)
 
 
-def recommend_collaborative(inter: DataFrame, films: DataFrame, n: int = 20, min_neighbors: int = 3, min_overlap: int = 5) -> DataFrame:
-    """(username, rank, slug, score): what neighbours rate and like, of films that the user has no record of; where
-    there are fewer than min_neighbors, films similar to the user's own favourites as well."""
-    k = max(10, 2 * min_neighbors)
-    pairs = rated_pairs(inter)
+def chosen_neighbours(pairs: DataFrame, inter: DataFrame, k: int, min_overlap: int = 5) -> DataFrame:
+    """(username, other, sim): the k best of similar users and influencers."""
     near = user_neighbors(pairs, k, min_overlap).select("username", "other", "score")
     lead = asymmetric_neighbors(pairs, inter, k).filter("role = 'influencer'").select("username", "other", "score")
     both = near.unionByName(lead).groupBy("username", "other").agg(F.max("score").alias("score"))
-    chosen = top_n(both, k, "username", "other").select("username", "other", F.col("score").alias("sim"))
+    return top_n(both, k, "username", "other").select("username", "other", F.col("score").alias("sim"))
+
+
+def votes_of(inter: DataFrame) -> DataFrame:
+    """(other, slug, said): what a user's record of a film says to others."""
     implicit = sum((F.when(F.col(c), w).otherwise(0.0) for c, w in IMPLICIT.items()), F.lit(0.0))
     said = F.when(F.col("rating").isNotNull(), F.col("rating") - 2.5).otherwise(F.when(implicit == 0, NO_SIGNAL).otherwise(implicit))
-    theirs = inter.select(F.col("username").alias("other"), "slug", said.alias("said"))
-    votes = chosen.join(theirs, "other").groupBy("username", "slug").agg(F.sum(F.col("said") * F.col("sim")).alias("score"))
+    return inter.select(F.col("username").alias("other"), "slug", said.alias("said"))
+
+
+def recommend_collaborative(inter: DataFrame, films: DataFrame, n: int = 20, min_neighbors: int = 3, min_overlap: int = 5) -> DataFrame:
+    """(username, rank, slug, score): what neighbours rate and like, of films that the user has no record of; where
+    there are fewer than min_neighbors, films similar to the user's own favourites as well.
+
+    Pairs of users, which three plans read, are a shared table; similar films are looked for only from the favourites
+    of users with few neighbours, if there are any."""
+    k = max(10, 2 * min_neighbors)
+    pairs = shared_table(rated_pairs(inter), "user_pairs")
+    chosen = shared_table(chosen_neighbours(pairs, inter, k, min_overlap), "chosen")
+    forget(pairs)
+    votes = chosen.join(votes_of(inter), "other").groupBy("username", "slug").agg(F.sum(F.col("said") * F.col("sim")).alias("score"))
     votes = votes.join(films.select("slug", "rating_count"), "slug", "left")
-    votes = votes.select("username", "slug", (F.col("score") * popularity_debias(F.col("rating_count"))).alias("score"))
+    scores = votes.select("username", "slug", (F.col("score") * popularity_debias(F.col("rating_count"))).alias("score"))
     few = inter.select("username").distinct().join(chosen.groupBy("username").count().filter(F.col("count") >= min_neighbors), "username", "left_anti")
-    anchors = inter.filter("rating >= 3.5 or liked").select("username", "slug").join(few, "username", "left_semi")
-    more = item_recommend(item_similarity(inter), anchors, inter, 2 * n).select("username", "slug", "score")
-    scores = votes.unionByName(more).groupBy("username", "slug").agg(F.round(F.sum("score"), 9).alias("score"))
+    anchors = shared_table(inter.filter("rating >= 3.5 or liked").select("username", "slug").join(few, "username", "left_semi"), "anchors")
+    if not anchors.isEmpty():
+        sim = item_similarity(inter, only=anchors.select("slug").distinct())
+        more = item_recommend(sim, anchors, inter, 2 * n).select("username", "slug", "score")
+        scores = scores.unionByName(more)
+    scores = scores.groupBy("username", "slug").agg(F.round(F.sum("score"), 9).alias("score"))
     unseen = scores.join(inter.select("username", "slug"), ["username", "slug"], "left_anti")
     return top_n(unseen, n).select("username", "rank", "slug", "score")
 
@@ -121,21 +144,22 @@ def recommend_collaborative(inter: DataFrame, films: DataFrame, n: int = 20, min
 # ---- items ----
 
 
-def item_similarity(inter: DataFrame, k: int = 50, max_items: int | None = None) -> DataFrame:
+def item_similarity(inter: DataFrame, k: int = 50, max_items: int | None = None, only: DataFrame | None = None) -> DataFrame:
     """(slug, other, sim): adjusted cosine over common users only, two at least, above 0.3, the k best.
 
-    max_items, where given, keeps that many films with most ratings."""
+    max_items, where given, keeps that many films with most ratings; only, where given, holds the slugs that are asked for."""
     c = centered_ratings(inter).filter("rating <> 0").select("username", "slug", "c")
     many = c.groupBy("slug").agg(F.count("*").alias("n")).filter("n >= 2")
     if max_items is not None:
         many = many.orderBy(F.desc("n"), "slug").limit(max_items)
     c = c.join(many.select("slug"), "slug", "left_semi")
     other = c.select("username", F.col("slug").alias("other"), F.col("c").alias("c2"))
-    met = c.join(other, "username").filter("slug < other").groupBy("slug", "other").agg(
+    mine = c if only is None else c.join(only, "slug", "left_semi")
+    met = mine.join(other, "username").filter("slug < other" if only is None else "slug <> other").groupBy("slug", "other").agg(
         F.count("*").alias("n"), F.sum(F.col("c") * F.col("c2")).alias("d"), F.sum(F.col("c") * F.col("c")).alias("a"), F.sum(F.col("c2") * F.col("c2")).alias("b")
     )
     sim = met.filter("n >= 2 and a > 0 and b > 0").select("slug", "other", F.round(F.col("d") / (F.sqrt("a") * F.sqrt("b")), 9).alias("score")).filter("score > 0.3")
-    both = sim.unionByName(sim.select(F.col("other").alias("slug"), F.col("slug").alias("other"), "score"))
+    both = sim.unionByName(sim.select(F.col("other").alias("slug"), F.col("slug").alias("other"), "score")) if only is None else sim
     return top_n(both, k, "slug", "other").select("slug", "other", F.col("score").alias("sim"))
 
 
@@ -162,8 +186,17 @@ def fuse_normalized(meta: DataFrame, collab: DataFrame, wm: float = 0.6, wc: flo
     return joined.select("username", "slug", F.round(wm * F.coalesce("m", F.lit(0.0)) + wc * F.coalesce("c", F.lit(0.0)) + bonus, 9).alias("score"))
 
 
-def recommend_hybrid(meta: DataFrame, collab: DataFrame, inter: DataFrame, n: int = 10) -> DataFrame:
-    """(username, rank, slug, score): with few users or ratings, metadata weighs 0.7, else 0.6."""
-    size = inter.agg(F.countDistinct("username").alias("u"), F.count("rating").alias("r")).first()
-    wm = 0.7 if size["u"] < 10 or size["r"] < 20 else 0.6
-    return top_n(fuse_normalized(meta, collab, wm, 1 - wm), n).select("username", "rank", "slug", "score")
+def recommend_hybrid(
+    meta: DataFrame, collab: DataFrame, inter: DataFrame, n: int = 10, wm: float | None = None, wc: float | None = None, attrs: DataFrame | None = None, most: int = 2,
+) -> DataFrame:
+    """(username, rank, slug, score): with few users or ratings, metadata weighs 0.7, else 0.6, unless weights are given; one
+    given weight makes the other what is missing to 1. attrs, where given, let no director have more than `most` films."""
+    if wm is None and wc is None:
+        size = inter.agg(F.countDistinct("username").alias("u"), F.count("rating").alias("r")).first()
+        wm = 0.7 if size["u"] < 10 or size["r"] < 20 else 0.6
+    wm, wc = (1 - wc if wm is None else wm), (1 - wm if wc is None else wc)
+    fused = fuse_normalized(meta, collab, wm, wc)
+    if attrs is None:
+        return top_n(fused, n).select("username", "rank", "slug", "score")
+    whole = fused.withColumn("rank", F.row_number().over(Window.partitionBy("username").orderBy(F.desc("score"), "slug")))
+    return diversify(whole, attrs, n, most).join(fused, ["username", "slug"]).select("username", "rank", "slug", "score")

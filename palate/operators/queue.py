@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palate.operators.blocks import best_unseen
+from palate.operators.scoring import top_n
+
 PRIORITY = {"film_reviews": 100, "taste": 90, "followers": 80, "following": 80, "popular": 70, "film": 50}
 
 
@@ -72,9 +77,11 @@ def stale_sources(sources: DataFrame, asof: Column, days: int) -> DataFrame:
 # ---- cached profiles ----
 
 
-def valid_profiles(profiles: DataFrame, inter: DataFrame, asof: Column, version: int, days: int = 7) -> DataFrame:
-    """Usernames whose cached profile has this version, is young enough and not older than their newest interaction."""
-    newest = inter.groupBy("username").agg(F.max("scraped_at").alias("newest"))
+def valid_profiles(profiles: DataFrame, inter: DataFrame, asof: Column, version: int, days: int = 7, lists: DataFrame | None = None) -> DataFrame:
+    """Usernames whose cached profile has this version, is young enough and not older than their newest interaction or,
+    where lists (username, scraped_at) are given, list entry."""
+    said = inter.select("username", "scraped_at")
+    newest = (said if lists is None else said.unionByName(lists.select("username", "scraped_at"))).groupBy("username").agg(F.max("scraped_at").alias("newest"))
     fine = (F.col("schema_version") == version) & (F.timestamp_diff("DAY", "updated_at", asof) <= days)
     return profiles.join(newest, "username", "left").filter(fine & (F.col("newest").isNull() | (F.col("updated_at") >= F.col("newest")))).select("username")
 
@@ -83,6 +90,14 @@ def stale_profiles(profiles: DataFrame, inter: DataFrame, asof: Column, version:
     return inter.select("username").distinct().join(valid_profiles(profiles, inter, asof, version, days), "username", "left_anti")
 
 
+def refresh_profiles(cached: DataFrame, stale: DataFrame, fresh: DataFrame) -> DataFrame:
+    """cached, (username, attr_type, attr_value, score, n), with all rows of stale users replaced by fresh ones.
+
+    fresh may cover all users: only those of stale users are taken, and Spark computes them for these alone where the
+    filter on username goes down to the source."""
+    return cached.join(stale.select("username"), "username", "left_anti").unionByName(fresh.join(stale.select("username"), "username", "left_semi"))
+
+
 def purge_profiles(profiles: DataFrame, version: int) -> DataFrame:
     return profiles.filter(F.col("schema_version") == version)
 
@@ -143,6 +158,31 @@ def predict_svd(pairs: DataFrame, bias: DataFrame, users: DataFrame, items: Data
     return j.select("username", "slug", F.when(raw.isNotNull(), F.greatest(F.least(raw, F.lit(5.0)), F.lit(0.5))).alias("prediction"))
 
 
+def recommend_svd(bias: DataFrame, users: DataFrame, items: DataFrame, inter: DataFrame, films: DataFrame | None = None, n: int = 10) -> DataFrame:
+    """(username, rank, slug, score): the unseen items of largest prediction, not clipped, of each user that the model knows.
+
+    films, where given, filters the best 3 n, so a user may get fewer than n."""
+    of = lambda kind, c, name: bias.filter(F.col("kind") == kind).select(F.col("id").alias(c), F.col("bias").alias(name))
+    mu = bias.filter("kind = 'global'").first()["bias"]  # one row
+    people = users.join(of("user", "username", "b"), "username").join(inter.groupBy("username").agg(F.collect_set("slug").alias("seen")), "username", "left")
+    things = items.join(of("item", "slug", "b"), "slug")
+
+    def score(u: pd.DataFrame, f: pd.DataFrame) -> np.ndarray:
+        a, b = np.array(u["u"].tolist()), np.array(f["v"].tolist())
+        return mu + u["b"].to_numpy(float)[:, None] + f["b"].to_numpy(float)[None] + a @ b.T
+
+    deep = n if films is None else 3 * n
+    found = top_n(best_unseen(people, things, deep, score).withColumn("score", F.round("score", 9)), deep)
+    if films is not None:
+        found = found.join(films.select("slug"), "slug", "left_semi")
+    return top_n(found, n).select("username", "rank", "slug", "score")
+
+
+def same_model(fingerprint: DataFrame, stored: DataFrame) -> bool:
+    """Whether a stored model's fingerprint row is this one, so that its factors may be loaded."""
+    return not fingerprint.exceptAll(stored.select(*fingerprint.columns)).take(1)
+
+
 def model_fingerprint(matrix: DataFrame, **params) -> DataFrame:
     said = ",".join(f"{k}={v}" for k, v in sorted(params.items()))
     g = matrix.agg(F.countDistinct("username").alias("n_users"), F.countDistinct("slug").alias("n_items"), F.count("*").alias("n_ratings"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palate.operators.blocks import best_unseen, every_pair
 from palate.operators.profile import deep_enough, film_genre_pairs
 
 # Fixed values of the scoring model, by kind: weight, cap of the sum, penalty on negative values, counts for full confidence.
@@ -113,13 +116,29 @@ def negative_penalty(pairs: DataFrame, negatives: DataFrame, attrs: DataFrame) -
     return n.select("username", "slug", penalty.alias("penalty")).filter("penalty > 0")
 
 
-def score_pairs(pairs: DataFrame, users: DataFrame, films: DataFrame, catalogue: DataFrame, stats: DataFrame) -> DataFrame:
-    """(username, slug, score) of given pairs: all kinds, the community's rating against the user's mean, popularity."""
+Rule = Callable[[DataFrame], Column]
+
+
+def community_rule(rows: DataFrame) -> Column:
+    return community_bonus(F.col("avg_rating"), F.col("weighted_mean"))
+
+
+def popularity_rule(rows: DataFrame) -> Column:
+    return popularity_bonus(F.col("rating_count"))
+
+
+RULES: tuple[Rule, ...] = (community_rule, popularity_rule)
+
+
+def score_pairs(pairs: DataFrame, users: DataFrame, films: DataFrame, catalogue: DataFrame, stats: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(username, slug, score) of given pairs: all kinds, and what each rule makes of a pair's row.
+
+    A rule is a function from rows with the catalogue's and the statistics' columns to a column; further kinds of
+    attributes only need rows in users and films, whose weights and caps are 1 and none unless by WEIGHT and CAP."""
     sums = attribute_scores(pairs, users, films).groupBy("username", "slug").agg(F.sum("score").alias("attributes"))
-    rows = pairs.select("username", "slug").join(catalogue.select("slug", "avg_rating", "rating_count"), "slug")
-    rows = rows.join(stats.select("username", "weighted_mean"), "username", "left").join(sums, ["username", "slug"], "left")
-    bonus = community_bonus(F.col("avg_rating"), F.col("weighted_mean")) + popularity_bonus(F.col("rating_count"))
-    return rows.select("username", "slug", (F.coalesce("attributes", F.lit(0.0)) + bonus).alias("score"))
+    rows = pairs.select("username", "slug").join(catalogue, "slug").join(stats, "username", "left").join(sums, ["username", "slug"], "left")
+    score = sum((rule(rows) for rule in rules), F.coalesce("attributes", F.lit(0.0)))
+    return rows.select("username", "slug", score.alias("score"))
 
 
 def top_n(scored: DataFrame, n: int, by: str = "username", what: str = "slug") -> DataFrame:
@@ -127,91 +146,111 @@ def top_n(scored: DataFrame, n: int, by: str = "username", what: str = "slug") -
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def triage_watchlist(inter: DataFrame, users: DataFrame, films: DataFrame, catalogue: DataFrame, stats: DataFrame, negatives: DataFrame, attrs: DataFrame, n: int) -> DataFrame:
-    """(username, rank, slug, score): each user's own watchlist by metadata score."""
+def triage_watchlist(
+    inter: DataFrame, users: DataFrame, films: DataFrame, catalogue: DataFrame, stats: DataFrame, negatives: DataFrame, attrs: DataFrame, n: int,
+    cold: DataFrame | None = None,
+) -> DataFrame:
+    """(username, rank, slug, score): each user's own watchlist by metadata score.
+
+    cold: (username, slug, score) for those who have neither rated nor liked a film (cold_users()); they get these instead."""
     pairs = inter.filter("watchlisted").select("username", "slug")
+    if cold is not None:
+        pairs = pairs.join(cold_users(inter), "username", "left_anti")
     scored = score_pairs(pairs, users, films, catalogue, stats).filter("score > 0")
     scored = scored.join(negative_penalty(pairs, negatives, attrs), ["username", "slug"], "left")
     scored = scored.withColumn("score", F.col("score") - F.coalesce("penalty", F.lit(0.0))).filter("score > 0").drop("penalty")
+    scored = scored.withColumn("score", F.round("score", 9))
+    if cold is not None:
+        scored = scored.unionByName(cold.join(cold_users(inter), "username", "left_semi").select("username", "slug", "score"))
     return top_n(scored, n).select("username", "rank", "slug", "score")
 
 
+def cold_users(inter: DataFrame) -> DataFrame:
+    """(username) of those who have neither rated nor liked a film."""
+    return inter.groupBy("username").agg(F.count_if(F.col("rating").isNotNull() | F.col("liked")).alias("n")).filter("n = 0").select("username")
+
+
+def _people_and_items(users: DataFrame, films: DataFrame, catalogue: DataFrame, stats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    people = users.groupBy("username").agg(F.collect_list(F.struct("kind", "value", "x")).alias("v"))
+    people = people.join(stats.select("username", "weighted_mean"), "username", "left")
+    items = films.groupBy("slug").agg(F.collect_list(F.struct("kind", "value", "y")).alias("v"))
+    return people, catalogue.select("slug", "avg_rating", "rating_count").join(items, "slug", "left")
+
+
+def _vocabulary(f: pd.DataFrame) -> dict[str, dict[str, int]]:
+    place: dict[str, dict[str, int]] = {}
+    for v in f["v"]:
+        for p in v if v is not None else ():
+            known = place.setdefault(p["kind"], {})
+            known.setdefault(p["value"], len(known))
+    return place
+
+
+def _film_matrix(f: pd.DataFrame, place: dict, kind: str) -> np.ndarray:
+    out = np.zeros((len(f), len(place[kind])))
+    for j, v in enumerate(f["v"]):
+        for p in v if v is not None else ():
+            if p["kind"] == kind:
+                out[j, place[kind][p["value"]]] = p["y"]
+    return out
+
+
+def block_scores(u: pd.DataFrame, f: pd.DataFrame) -> np.ndarray:
+    """Each kind as a product of matrices, capped and weighted, and the bonuses."""
+    place = _vocabulary(f)
+    a = {k: np.zeros((len(u), len(values))) for k, values in place.items()}
+    for i, v in enumerate(u["v"]):
+        for p in v:
+            if p["value"] in place.get(p["kind"], ()):
+                a[p["kind"]][i, place[p["kind"]][p["value"]]] = p["x"]
+    total = np.zeros((len(u), len(f)))
+    for k in sorted(place):
+        cap = CAP.get(k, np.inf)
+        total += np.clip(a[k] @ _film_matrix(f, place, k).T, -cap, cap) * WEIGHT.get(k, 1.0)
+    gap = np.abs(f["avg_rating"].to_numpy(float)[None] - u["weighted_mean"].to_numpy(float)[:, None])
+    total += np.where(gap < 0.3, 0.8, np.where(gap < 0.5, 0.4, 0.0))
+    count = np.nan_to_num(f["rating_count"].to_numpy(float))
+    return total + np.where(count > 10_000, 0.06, np.where(count > 1_000, 0.02, np.where(count > 0, 0.4, 0.0)))[None]
+
+
+def block_penalties(u: pd.DataFrame, f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """What disliked directors and disliked genres take off; momentum's vocabulary names both."""
+    place = _vocabulary(f)
+    values = place.get("momentum")
+    if not values:
+        return np.zeros((len(u), len(f))), np.zeros((len(u), len(f)))
+    low = np.zeros((len(u), len(values)))
+    for i, d in enumerate(u["disliked"]):
+        low[i, [values[x] for x in (d if d is not None else ()) if x in values]] = 1
+    b = _film_matrix(f, place, "momentum")
+    director = np.array([v.startswith("director:") for v in values])
+    d, g = low[:, director] @ b[:, director].T, low[:, ~director] @ b[:, ~director].T
+    return np.where(d > 0, DISLIKED_DIRECTOR, 0.0), np.where(g >= 2, DISLIKED_GENRE * g, 0.0)
+
+
 def recommend_metadata(
-    inter: DataFrame, users: DataFrame, films: DataFrame, catalogue: DataFrame, stats: DataFrame, negatives: DataFrame, n: int = 10,
-    users_at_once: int = 256, films_at_once: int = 4096,
+    inter: DataFrame, users: DataFrame, films: DataFrame, catalogue: DataFrame, stats: DataFrame, negatives: DataFrame, n: int = 10, hard: bool = False,
 ) -> DataFrame:
     """(username, rank, slug, score): for each user the n best films that the user has no record of.
 
-    Every kind is a matrix product of a block of users with a block of films, so neither a row for each pair and
-    kind nor one for each pair is ever shuffled: blocks travel once for each block of the other side, and n rows for
-    each user and block come back. Users without a profile get no row."""
+    hard drops a film with a disliked director instead of taking off from its score. Users without a profile get no row."""
     disliked = negatives.filter("attr_type in ('director', 'genre')").select("username", F.concat_ws(":", "attr_type", "attr_value").alias("value")).groupBy("username")
-    people = users.groupBy("username").agg(F.collect_list(F.struct("kind", "value", "x")).alias("v"))
+    people, items = _people_and_items(users, films, catalogue, stats)
     people = people.join(inter.groupBy("username").agg(F.collect_set("slug").alias("seen")), "username", "left")
-    people = people.join(disliked.agg(F.collect_set("value").alias("disliked")), "username", "left").join(stats.select("username", "weighted_mean"), "username", "left")
-    items = films.groupBy("slug").agg(F.collect_list(F.struct("kind", "value", "y")).alias("v"))
-    items = catalogue.select("slug", "avg_rating", "rating_count").join(items, "slug", "left")
-    n_u = max(1, -(-stats.count() // users_at_once))
-    n_f = max(1, -(-catalogue.count() // films_at_once))
-    block = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
-    people = people.withColumn("ub", block("username", n_u)).withColumn("fb", F.explode(F.sequence(F.lit(0), F.lit(n_f - 1))))
-    items = items.withColumn("fb", block("slug", n_f)).withColumn("ub", F.explode(F.sequence(F.lit(0), F.lit(n_u - 1))))
-
-    def score(u: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        if not len(u) or not len(f):
-            return pd.DataFrame({"username": pd.Series([], dtype=object), "slug": pd.Series([], dtype=object), "score": np.zeros(0)})
-        f = f.sort_values("slug", kind="stable").reset_index(drop=True)
-        place: dict[str, dict[str, int]] = {}
-        for v in f["v"]:
-            for p in v if v is not None else ():
-                known = place.setdefault(p["kind"], {})
-                known.setdefault(p["value"], len(known))
-        a = {k: np.zeros((len(u), len(values))) for k, values in place.items()}
-        b = {k: np.zeros((len(f), len(values))) for k, values in place.items()}
-        for i, v in enumerate(u["v"]):
-            for p in v:
-                if p["value"] in place.get(p["kind"], ()):
-                    a[p["kind"]][i, place[p["kind"]][p["value"]]] = p["x"]
-        for j, v in enumerate(f["v"]):
-            for p in v if v is not None else ():
-                b[p["kind"]][j, place[p["kind"]][p["value"]]] = p["y"]
-        total = np.zeros((len(u), len(f)))
-        for k in sorted(place):
-            cap = CAP.get(k, np.inf)
-            total += np.clip(a[k] @ b[k].T, -cap, cap) * WEIGHT.get(k, 1.0)
-        gap = np.abs(f["avg_rating"].to_numpy(float)[None] - u["weighted_mean"].to_numpy(float)[:, None])
-        total += np.where(gap < 0.3, 0.8, np.where(gap < 0.5, 0.4, 0.0))
-        count = np.nan_to_num(f["rating_count"].to_numpy(float))
-        total += np.where(count > 10_000, 0.06, np.where(count > 1_000, 0.02, np.where(count > 0, 0.4, 0.0)))[None]
-        low = {k: np.zeros((len(u), len(values))) for k, values in place.items() if k == "momentum"}
-        if low:
-            values = place["momentum"]
-            for i, d in enumerate(u["disliked"]):
-                for value in d if d is not None else ():
-                    if value in values:
-                        low["momentum"][i, values[value]] = 1
-            is_director = np.array([v.startswith("director:") for v in values])
-            d = low["momentum"][:, is_director] @ b["momentum"][:, is_director].T
-            g = low["momentum"][:, ~is_director] @ b["momentum"][:, ~is_director].T
-            fall = np.where(d > 0, DISLIKED_DIRECTOR, 0.0) + np.where(g >= 2, DISLIKED_GENRE * g, 0.0)
-        else:
-            fall = 0.0
-        total = np.where(total > 0, total - fall, -1.0)
-        row = {s: j for j, s in enumerate(f["slug"])}
-        for i, seen in enumerate(u["seen"]):
-            total[i, [row[s] for s in (seen if seen is not None else ()) if s in row]] = -1.0
-        names, slugs, scores = [], [], []
-        keep = min(n, len(f))
-        for i, name in enumerate(u["username"]):
-            bar = np.partition(total[i], len(f) - keep)[len(f) - keep]
-            at = np.flatnonzero((total[i] >= bar - 1e-9) & (total[i] > 0))
-            names += [name] * len(at)
-            slugs += [f["slug"].iloc[j] for j in at]
-            scores += total[i, at].tolist()
-        return pd.DataFrame({"username": pd.Series(names, dtype=object), "slug": pd.Series(slugs, dtype=object), "score": np.array(scores, float)})
-
-    blocks = people.groupBy("ub", "fb").cogroup(items.groupBy("ub", "fb")).applyInPandas(score, "username string, slug string, score double")
-    return top_n(blocks.withColumn("score", F.round("score", 9)), n).select("username", "rank", "slug", "score")
+    people = people.join(disliked.agg(F.collect_set("value").alias("disliked")), "username", "left")
+
+    def score(u: pd.DataFrame, f: pd.DataFrame) -> np.ndarray:
+        total, (by_director, by_genre) = block_scores(u, f), block_penalties(u, f)
+        left = np.where(total > 0, total - by_director - by_genre, 0.0)
+        return np.where((left > 0) & ~(hard & (by_director > 0)), left, -np.inf)
+
+    found = best_unseen(people, items, n, score)
+    return top_n(found.withColumn("score", F.round("score", 9)), n).select("username", "rank", "slug", "score")
+
+
+def metadata_scores(users: DataFrame, films: DataFrame, catalogue: DataFrame, stats: DataFrame) -> DataFrame:
+    """(username, slug, score) of all users and films."""
+    return every_pair(*_people_and_items(users, films, catalogue, stats), block_scores)
 
 
 def director_gaps(profile: DataFrame, inter: DataFrame, attrs: DataFrame, films: DataFrame, least: float = 2.0, k: int = 3) -> DataFrame:
@@ -224,8 +263,10 @@ def director_gaps(profile: DataFrame, inter: DataFrame, attrs: DataFrame, films:
     return rows.withColumn("score", score).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("username", "director", "rank", "slug", "score")
 
 
-def similar_films(attrs: DataFrame, films: DataFrame, n: int = 5) -> DataFrame:
-    """(slug, rank, other, score): shared genres, themes and cast count each, a shared director, writer, country or decade once."""
+def similar_films(attrs: DataFrame, films: DataFrame, n: int = 5, fill: DataFrame | None = None) -> DataFrame:
+    """(slug, rank, other, score): shared genres, themes and cast count each, a shared director, writer, country or decade once.
+
+    fill: (slug, other, score) of films by another likeness; where fewer than n share anything, its best follow."""
     kinds = deep_enough(attrs).filter("attr_type in ('genre', 'director', 'actor', 'theme', 'country', 'writer')").select("slug", "attr_type", "attr_value")
     decade = (F.floor(F.col("year") / 10) * 10).cast("string")
     kinds = kinds.unionByName(films.filter("year >= 1888").select("slug", F.lit("decade").alias("attr_type"), decade.alias("attr_value")))
@@ -236,18 +277,29 @@ def similar_films(attrs: DataFrame, films: DataFrame, n: int = 5) -> DataFrame:
     counts = met.agg(*[one(k).alias(k) for k in ("genre", "director", "actor", "theme", "country", "writer", "decade")])
     some = lambda k, w: F.when(F.col(k) > 0, w).otherwise(0.0)
     score = F.col("genre") + some("director", 5.0) + F.col("actor") * 0.5 + F.col("theme") * 0.3 + some("country", 0.5) + some("writer", 3.0) + some("decade", 0.5)
-    return top_n(counts.withColumn("score", F.round(score, 6)), n, "slug", "other").select("slug", "rank", "other", "score")
+    best = top_n(counts.withColumn("score", F.round(score, 6)), n, "slug", "other").select("slug", "other", "score", F.lit(0).alias("later"))
+    if fill is not None:
+        more = fill.filter("slug <> other").join(best, ["slug", "other"], "left_anti").select("slug", "other", "score", F.lit(1).alias("later"))
+        best = best.unionByName(more)
+    w = Window.partitionBy("slug").orderBy("later", F.desc("score"), "other")
+    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("slug", "rank", "other", "score")
 
 
 def diversity_metrics(recs: DataFrame, attrs: DataFrame) -> DataFrame:
-    """(username, diversity, and the four entropies): of genre, director, first country and decade, over log2 of their number."""
+    """(username, diversity, the four entropies of genre, director, first country and decade over log2 of their number,
+    how many of each there are, and the years from the first decade to the last)."""
     first = attrs.filter("attr_type in ('genre', 'director', 'decade') or (attr_type = 'country' and pos = 1)")
     counts = recs.select("username", "slug").join(first, "slug").groupBy("username", "attr_type", "attr_value").agg(F.count("*").alias("n"))
     w = Window.partitionBy("username", "attr_type")
     p = F.col("n") / F.sum("n").over(w)
     h = counts.withColumn("p", p).groupBy("username", "attr_type").agg((-F.sum(F.col("p") * F.log2("p"))).alias("h"), F.count("*").alias("values"))
     even = h.withColumn("e", F.when(F.col("values") > 1, F.col("h") / F.log2("values")).otherwise(0.0))
-    wide = even.groupBy("username").agg(*[F.coalesce(F.max(F.when(F.col("attr_type") == k, F.col("e"))), F.lit(0.0)).alias(k) for k in ("genre", "director", "country", "decade")])
+    kinds = ("genre", "director", "country", "decade")
+    entropy = [F.coalesce(F.max(F.when(F.col("attr_type") == k, F.col("e"))), F.lit(0.0)).alias(k) for k in kinds]
+    number = [F.coalesce(F.max(F.when(F.col("attr_type") == k, F.col("values"))), F.lit(0)).alias(f"n_{k}") for k in kinds]
+    wide = even.groupBy("username").agg(*entropy, *number)
+    years = counts.filter("attr_type = 'decade'").groupBy("username").agg((F.max(F.col("attr_value").cast("int")) - F.min(F.col("attr_value").cast("int"))).alias("decade_range"))
+    wide = wide.join(years, "username", "left").withColumn("decade_range", F.coalesce("decade_range", F.lit(0)))
     return wide.withColumn("diversity", 0.3 * F.col("genre") + 0.3 * F.col("director") + 0.2 * F.col("country") + 0.2 * F.col("decade"))
 
 

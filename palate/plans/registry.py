@@ -23,11 +23,11 @@ def asof() -> Column:
     return F.lit(ASOF).cast("timestamp_ntz")
 
 
-def query(name: str, uses: str = "", sql: str | None = None):
-    """Register a function of Views under a name; uses: the views and parts that sql needs, in order."""
+def query(name: str, uses: str = "", sql: str | None = None, stored: bool = False):
+    """Register a function of Views under a name; uses: the views and parts that sql needs, in order; stored: see Views."""
 
     def register(f: Callable[[Views], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: f(Views(spark, sf_dir, stored))
         if sql:
             named = [f"{n} as ({VIEWS.get(n) or PARTS[n]})" for n in uses.split()]
             ORACLE_SQL[name] = ("with " + ",\n".join(named) + "\n" if named else "") + sql

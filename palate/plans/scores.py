@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from palate.operators import catalogue as C
+from palate.operators import neighbours as N
 from palate.operators import profile as P
 from palate.operators import scoring as S
 from palate.plans.registry import PARTS, asof, query
@@ -45,35 +46,52 @@ SCORES = PROFILE + "pstats idf fpairs gmeans ginter momentum gpairs uvec0 uvec f
 
 
 def vectors_of(v: Views):
-    inter, attrs = v.interactions, v.film_attrs
-    users = S.user_vectors(
-        profile_of(v), C.attribute_idf(attrs, v.films), P.genre_pairs(weights_of(v), attrs), P.genre_interactions(inter, attrs), P.preference_momentum(inter, attrs, asof())
-    )
-    return users, S.film_vectors(P.with_decades(attrs, v.films))
+    make = lambda: S.user_vectors(profile_of(v), idf_of(v), pairs_of(v), effects_of(v), momentum_of(v))
+    return v.once("user_vectors", make), v.once("film_vectors", lambda: S.film_vectors(P.with_decades(v.film_attrs, v.films)))
+
+
+def idf_of(v: Views):
+    return v.once("idf", lambda: C.attribute_idf(v.film_attrs, v.films))
+
+
+def pairs_of(v: Views):
+    return v.once("genre_pairs", lambda: P.genre_pairs(weights_of(v), v.film_attrs))
+
+
+def effects_of(v: Views):
+    return v.once("genre_interactions", lambda: P.genre_interactions(v.interactions, v.film_attrs))
+
+
+def momentum_of(v: Views):
+    return v.once("momentum", lambda: P.preference_momentum(v.interactions, v.film_attrs, asof()))
 
 
 def stats_of(v: Views):
-    return P.profile_stats(weights_of(v), v.films)
+    return v.once("stats", lambda: P.profile_stats(weights_of(v), v.films))
 
 
-@query("attribute_scores", SCORES + "wl wl_kinds", "select username, slug, kind, round(score, 4) as score from wl_kinds")
+def negatives_of(v: Views):
+    return v.once("negatives", lambda: S.negative_profile(v.interactions, v.film_attrs))
+
+
+@query("attribute_scores", SCORES + "wl wl_kinds", "select username, slug, kind, round(score, 4) as score from wl_kinds", stored=True)
 def _(v: Views):
     return S.attribute_scores(v.interactions.filter("watchlisted"), *vectors_of(v)).select("username", "slug", "kind", *r4("score"))
 
 
-@query("genre_pair_rule", SCORES + "wl wl_kinds", "select username, slug, round(score, 4) as score from wl_kinds where kind = 'pair'")
+@query("genre_pair_rule", SCORES + "wl wl_kinds", "select username, slug, round(score, 4) as score from wl_kinds where kind = 'pair'", stored=True)
 def _(v: Views):
     users, films = vectors_of(v)
     return S.attribute_scores(v.interactions.filter("watchlisted"), users.filter("kind = 'pair'"), films).select("username", "slug", *r4("score"))
 
 
-@query("decade_rule", SCORES + "wl wl_kinds", "select username, slug, round(score, 4) as score from wl_kinds where kind = 'decade'")
+@query("decade_rule", SCORES + "wl wl_kinds", "select username, slug, round(score, 4) as score from wl_kinds where kind = 'decade'", stored=True)
 def _(v: Views):
     users, films = vectors_of(v)
     return S.attribute_scores(v.interactions.filter("watchlisted"), users.filter("kind = 'decade'"), films).select("username", "slug", *r4("score"))
 
 
-@query("momentum_rule", SCORES + "wl wl_kinds", "select username, slug, round(score, 4) as score from wl_kinds where kind = 'momentum'")
+@query("momentum_rule", SCORES + "wl wl_kinds", "select username, slug, round(score, 4) as score from wl_kinds where kind = 'momentum'", stored=True)
 def _(v: Views):
     users, films = vectors_of(v)
     return S.attribute_scores(v.interactions.filter("watchlisted"), users.filter("kind = 'momentum'"), films).select("username", "slug", *r4("score"))
@@ -101,12 +119,33 @@ def _(v: Views):
     return S.negative_penalty(v.interactions.filter("watchlisted"), S.negative_profile(v.interactions, v.film_attrs), v.film_attrs)
 
 
-@query("triage_watchlist", SCORES + "wl wl_kinds wl_scores", f"""select username, rank, slug, round(score, 4) as score from (
-  select username, slug, score, row_number() over (partition by username order by round(score, 9) desc, slug) as rank from (select username, slug, score - {FALL} as score from wl_scores s where score > 0)
-  where score > 0) where rank <= 10""")
+PARTS["tf"] = """select slug, token, c / sum(c) over (partition by slug) as tf from (select slug, lower(attr_value) as token, count(*) as c from film_attrs
+  where attr_type in ('genre', 'director', 'theme', 'country', 'language', 'writer') group by all)"""
+PARTS["vec0"] = """select slug, token, tf * idf as x from tf join (select token, ln(((select count(distinct slug) from film_attrs) + 1) / (count(*) + 1)) + 1 as idf from tf group by token
+  having count(*) >= 2) using (token)"""
+PARTS["vec"] = "select slug, token, x / sqrt(sum(x * x) over (partition by slug)) as w from vec0"
+PARTS["cold"] = "select username from interactions group by username having count(*) filter (rating is not null or liked) = 0"
+PARTS["cold_recs"] = """select username, slug, round(sum(w * c), 9) as score from (select username, slug from interactions semi join cold using (username) where watchlisted) join vec using (slug)
+  join (select username, token, c / sqrt(sum(c * c) over (partition by username)) as c from (select username, token, sum(w) as c from interactions semi join cold using (username)
+    join vec using (slug) where watched or watchlisted group by all)) using (username, token) group by all having round(sum(w * c), 9) > 0"""
+
+
+def cold_recs_of(v: Views):
+    """Watchlists of users without ratings and likes, by TF-IDF likeness to all that they have."""
+    inter = v.interactions
+    mine = inter.join(S.cold_users(inter), "username", "left_semi")
+    found = N.tfidf_centroid_rank(N.tfidf_vectors(v.film_attrs), mine.filter("watched or watchlisted"), mine.filter("watchlisted"), 10)
+    return found.select("username", "slug", "score")
+
+
+@query("triage_watchlist", SCORES + "wl wl_kinds wl_scores tf vec0 vec cold cold_recs", f"""select username, rank, slug, round(score, 4) as score from (
+  select username, slug, score, row_number() over (partition by username order by score desc, slug) as rank from (
+    select username, slug, round(score - {FALL}, 9) as score from wl_scores s where score > 0 and username not in (select username from cold) union all select username, slug, score from cold_recs)
+  where score > 0) where rank <= 10""", stored=True)
 def _(v: Views):
     users, films = vectors_of(v)
-    return S.triage_watchlist(v.interactions, users, films, v.films, stats_of(v), S.negative_profile(v.interactions, v.film_attrs), v.film_attrs, 10).select("username", "rank", "slug", *r4("score"))
+    out = S.triage_watchlist(v.interactions, users, films, v.films, stats_of(v), negatives_of(v), v.film_attrs, 10, cold_recs_of(v))
+    return out.select("username", "rank", "slug", *r4("score"))
 
 
 PARTS["all_scores"] = f"""select u.username, f.slug, coalesce(s, 0) + {BONUS} as score from pstats u cross join films f left join (
@@ -123,10 +162,10 @@ PARTS["recs"] = """select * from (select username, slug, score, row_number() ove
 
 def recommended(v: Views, n: int = 10):
     users, films = vectors_of(v)
-    return S.recommend_metadata(v.interactions, users, films, v.films, stats_of(v), S.negative_profile(v.interactions, v.film_attrs), n)
+    return S.recommend_metadata(v.interactions, users, films, v.films, stats_of(v), negatives_of(v), n)
 
 
-@query("recommend_metadata", SCORES + "all_scores falls recs", "select username, rank, slug, round(score, 4) as score from recs")
+@query("recommend_metadata", SCORES + "all_scores falls recs", "select username, rank, slug, round(score, 4) as score from recs", stored=True)
 def _(v: Views):
     return recommended(v).select("username", "rank", "slug", *r4("score"))
 
@@ -146,23 +185,35 @@ def _(v: Views):
   from attrs_d a join attrs_d b on a.attr_type = b.attr_type and a.attr_value = b.attr_value and a.slug <> b.slug
   where a.attr_type in ('genre', 'director', 'actor', 'theme', 'country', 'writer', 'decade') and not (a.attr_type = 'actor' and (a.pos > 5 or b.pos > 5)) group by a.slug, b.slug)) where rank <= 5""")
 def _(v: Views):
-    return S.similar_films(v.film_attrs, v.films, 5)
+    fill = N.tfidf_rank(N.tfidf_vectors(v.film_attrs), 5).select("slug", "other", "score")
+    return S.similar_films(v.film_attrs, v.films, 5, fill)
 
 
 @query("diversity_metrics", "interactions films film_attrs attrs_d", """
 with c as (select username, attr_type, attr_value, count(*) as n from (select username, slug from interactions where liked) join attrs_d using (slug)
    where attr_type in ('genre', 'director', 'decade') or (attr_type = 'country' and pos = 1) group by all),
  p as (select *, n / sum(n) over (partition by username, attr_type) as p from c),
- h as (select username, attr_type, case when count(*) > 1 then -sum(p * log2(p)) / log2(count(*)) else 0 end as e from p group by all),
+ h as (select username, attr_type, case when count(*) > 1 then -sum(p * log2(p)) / log2(count(*)) else 0 end as e, count(*) as k from p group by all),
  w as (select username, coalesce(max(e) filter (attr_type = 'genre'), 0) as g, coalesce(max(e) filter (attr_type = 'director'), 0) as d, coalesce(max(e) filter (attr_type = 'country'), 0) as c,
-   coalesce(max(e) filter (attr_type = 'decade'), 0) as y from h group by username)
-select username, round(g, 4) as genre, round(d, 4) as director, round(c, 4) as country, round(y, 4) as decade, round(0.3 * g + 0.3 * d + 0.2 * c + 0.2 * y, 4) as diversity from w""".replace("\nwith c", ", c", 1))
+   coalesce(max(e) filter (attr_type = 'decade'), 0) as y, coalesce(max(k) filter (attr_type = 'genre'), 0) as n_genre, coalesce(max(k) filter (attr_type = 'director'), 0) as n_director,
+   coalesce(max(k) filter (attr_type = 'country'), 0) as n_country, coalesce(max(k) filter (attr_type = 'decade'), 0) as n_decade from h group by username),
+ r as (select username, max(attr_value::int) - min(attr_value::int) as decade_range from c where attr_type = 'decade' group by username)
+select username, round(g, 4) as genre, round(d, 4) as director, round(c, 4) as country, round(y, 4) as decade, round(0.3 * g + 0.3 * d + 0.2 * c + 0.2 * y, 4) as diversity,
+ n_genre, n_director, n_country, n_decade, coalesce(decade_range, 0) as decade_range from w left join r using (username)""".replace("\nwith c", ", c", 1))
 def _(v: Views):
     out = S.diversity_metrics(v.interactions.filter("liked"), P.with_decades(v.film_attrs, v.films))
-    return out.select("username", *r4("genre", "director", "country", "decade", "diversity"))
-
-
-@query("diversify")
+    return out.select("username", *r4("genre", "director", "country", "decade", "diversity"), "n_genre", "n_director", "n_country", "n_decade", "decade_range")
+
+
+# A greedy choice, film by film in rank order: the state holds what is kept and the directors so far.
+@query("diversify", "interactions film_attrs", """, dirs as (select slug, list(distinct attr_value) as ds from film_attrs where attr_type = 'director' group by slug),
+ ranked as (select username, slug, row_number() over (partition by username order by rating desc, slug) as rank from interactions where rating is not null),
+ rec as (with recursive walk(username, rank, slug, kept, used, taken) as (
+   select distinct username, 0::bigint, ''::varchar, 0::bigint, []::varchar[], false from ranked
+   union all select w.username, r.rank, r.slug, w.kept + t::bigint, case when t then list_concat(w.used, coalesce(ds, [])) else w.used end, t
+   from walk w join (select r.username, r.rank, r.slug, ds from ranked r left join dirs using (slug)) r on r.username = w.username and r.rank = w.rank + 1,
+   lateral (select w.kept < 10 and (ds is null or len(list_filter(ds, lambda d: len(list_filter(w.used, lambda x: x = d)) >= 2)) = 0) as t) where w.kept < 10) select * from walk)
+select username, kept as rank, slug from rec where taken""")
 def _(v: Views):
     whole = F.row_number().over(Window.partitionBy("username").orderBy(F.desc("rating"), "slug"))
     return S.diversify(v.interactions.filter("rating is not null").withColumn("rank", whole), v.film_attrs, 10)

@@ -10,11 +10,6 @@ from palate.plans.scores import SCORES, recommended
 from palate.plans.taste import r4
 from palate.sources.views import Views
 
-PARTS["tf"] = """select slug, token, c / sum(c) over (partition by slug) as tf from (select slug, lower(attr_value) as token, count(*) as c from film_attrs
-  where attr_type in ('genre', 'director', 'theme', 'country', 'language', 'writer') group by all)"""
-PARTS["vec0"] = """select slug, token, tf * idf as x from tf join (select token, ln(((select count(distinct slug) from film_attrs) + 1) / (count(*) + 1)) + 1 as idf from tf group by token
-  having count(*) >= 2 order by idf desc, token limit 20000) using (token)"""
-PARTS["vec"] = "select slug, token, x / sqrt(sum(x * x) over (partition by slug)) as w from vec0"
 PARTS["rated"] = "select username, slug, rating, rating - avg(rating) over (partition by username) as c from interactions_dense where rating is not null"
 PARTS["cent"] = "select *, c / (case when sum(c * c) over (partition by username) = 0 then 1 else sqrt(sum(c * c) over (partition by username)) end) as u from rated"
 PARTS["upairs"] = """select a.username, b.username as other, count(*) as overlap, sum(a.u * b.u) as cosine, avg(1 - abs(a.rating - b.rating) / 4.5) as agreement
@@ -58,7 +53,7 @@ def _(v: Views):
 @query("tfidf_centroid_rank", "film_attrs interactions tf vec0 vec", """
 , t as (select username, token, sum(w) as c from interactions join vec using (slug) where watched group by all), c as (select username, token, c / sqrt(sum(c * c) over (partition by username)) as c from t)
 select username, rank, slug, round(score, 4) as score from (select *, row_number() over (partition by username order by score desc, slug) as rank from (
-  select username, slug, round(sum(w * c), 9) as score from (select username, slug from interactions where watchlisted) join vec using (slug) join c using (username, token) group by all) where score > 0) where rank <= 5""")
+  select username, slug, round(sum(w * c), 9) as score from (select username, slug from interactions where watchlisted) join vec using (slug) join c using (username, token) group by all) where score > 0) where rank <= 5""", stored=True)
 def _(v: Views):
     inter = v.interactions
     return N.tfidf_centroid_rank(N.tfidf_vectors(v.film_attrs), inter.filter("watched"), inter.filter("watchlisted"), 5).select("username", "rank", "slug", *r4("score"))
@@ -69,17 +64,17 @@ def _(v: Views):
     return N.centered_ratings(v.interactions_dense).select("username", "slug", F.round("c", 9).alias("c"), F.round("u", 9).alias("u"))
 
 
-@query("user_neighbors", DENSE + "neigh", "select username, rank, other, round(score, 4) as score from neigh")
+@query("user_neighbors", DENSE + "neigh", "select username, rank, other, round(score, 4) as score from neigh", stored=True)
 def _(v: Views):
     return N.user_neighbors(N.rated_pairs(v.interactions_dense)).select("username", "rank", "other", *r4("score"))
 
 
-@query("asymmetric_neighbors", DENSE + "asym", "select username, role, rank, other, round(score, 4) as score from asym")
+@query("asymmetric_neighbors", DENSE + "asym", "select username, role, rank, other, round(score, 4) as score from asym", stored=True)
 def _(v: Views):
     return N.asymmetric_neighbors(N.rated_pairs(v.interactions_dense), v.interactions_dense).select("username", "role", "rank", "other", *r4("score"))
 
 
-@query("recommend_collaborative", DENSE + "films neigh asym chosen isim collab", "select username, rank, slug, round(score, 4) as score from collab")
+@query("recommend_collaborative", DENSE + "films neigh asym chosen isim collab", "select username, rank, slug, round(score, 4) as score from collab", stored=True)
 def _(v: Views):
     return N.recommend_collaborative(v.interactions_dense, v.films).select("username", "rank", "slug", *r4("score"))
 
@@ -91,7 +86,7 @@ def _(v: Views):
 
 @query("item_recommend", "interactions_dense rated isim", """select username, rank, slug, round(score, 4) as score from (select *, row_number() over (partition by username order by score desc, slug) as rank from (
   select username, other as slug, round(sum(sim), 9) as score from interactions_dense d join isim using (slug) where (rating >= 3.5 or liked)
-  and not exists (select 1 from interactions_dense x where x.username = d.username and x.slug = other) group by username, other)) where rank <= 10""")
+  and not exists (select 1 from interactions_dense x where x.username = d.username and x.slug = other) group by username, other)) where rank <= 10""", stored=True)
 def _(v: Views):
     inter = v.interactions_dense
     return N.item_recommend(N.item_similarity(inter), inter.filter("rating >= 3.5 or liked"), inter, 10).select("username", "rank", "slug", *r4("score"))
@@ -110,12 +105,12 @@ PARTS["fused"] = """select username, slug, round(0.6 * coalesce(m, 0) + 0.4 * co
 FUSED = SCORES + "all_scores falls recs " + DENSE + "neigh asym chosen isim collab metas fused"
 
 
-@query("fuse_normalized", FUSED, "select username, slug, round(score, 4) as score from fused")
+@query("fuse_normalized", FUSED, "select username, slug, round(score, 4) as score from fused", stored=True)
 def _(v: Views):
     return N.fuse_normalized(recommended(v), N.recommend_collaborative(v.interactions_dense, v.films)).select("username", "slug", *r4("score"))
 
 
 @query("recommend_hybrid", FUSED, """select username, rank, slug, round(score, 4) as score from (
-  select *, row_number() over (partition by username order by score desc, slug) as rank from fused) where rank <= 10""")
+  select *, row_number() over (partition by username order by score desc, slug) as rank from fused) where rank <= 10""", stored=True)
 def _(v: Views):
     return N.recommend_hybrid(recommended(v), N.recommend_collaborative(v.interactions_dense, v.films), v.interactions_dense).select("username", "rank", "slug", *r4("score"))

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palate.operators import catalogue as C
 from palate.operators import graph as G
 from palate.operators import groups as J
+from palate.operators import neighbours as N
 from palate.operators import queue as Q
+from palate.operators import reasons as R
 from palate.operators import scoring as S
+from palate.plans import similar  # noqa: F401  its parts come first
 from palate.plans.registry import ASOF, PARTS, asof, query
-from palate.plans.scores import stats_of, vectors_of
+from palate.plans.scores import BONUS, KIND_SCORE, SCORES, idf_of, stats_of, vectors_of
 from palate.plans.taste import AGE, PROFILE, profile_of, r4
 from palate.sources.views import Views
 
@@ -89,16 +91,82 @@ def _(v: Views):
     return J.agreement(member_ratings(v)).select("group_id", "slug", *r4("agreement"), "unanimous", "controversial", "n_against")
 
 
-@query("triage_group")
+PARTS["gpairs_wl"] = "select distinct username, slug from members join shared using (group_id)"
+PARTS["gscores0"] = f"""select username, slug, coalesce(s, 0) + {BONUS} as score from gpairs_wl join films using (slug) left join pstats using (username) left join (
+  select username, slug, sum(score) as s from (select username, slug, kind, {KIND_SCORE} as score from gpairs_wl join fvec using (slug) join uvec using (username, kind, value) group by username, slug, kind) group by all)
+  using (username, slug)"""
+PARTS["gseen"] = "select distinct group_id, slug from members join interactions using (username) where watched"
+PARTS["gsplit"] = "select distinct group_id, slug from cons join film_attrs using (attr_type, attr_value) where verdict = 'divisive'"
+BY_STRATEGY = {
+    "least_misery": "min(s)", "most_pleasure": "max(s)", "average": "avg(s)", "multiplicative": "case when min(s) > 0 then exp(avg(ln(case when s > 0 then s end))) else 0 end",
+    "fairness": "avg(s) - 0.5 * stddev_pop(s)", "approval": "count(*) filter (s >= 2) + 0.1 * avg(s)",
+}
+
+
+def ranked_groups(scores: str, strategy: str) -> str:
+    return f"""select group_id, rank, slug, round(score, 4) as score from (select *, row_number() over (partition by group_id order by score desc, slug) as rank from (
+  select group_id, slug, round(g * (1 + 0.2 * coalesce(n_watchlists, 0)), 9) as score from (select group_id, slug, {BY_STRATEGY[strategy]} as g from (
+    select group_id, slug, score * weight as s from members join {scores} using (username)) group by all) g left join shared using (group_id, slug)
+  where not exists (select 1 from gseen x where x.group_id = g.group_id and x.slug = g.slug) and not exists (select 1 from gsplit x where x.group_id = g.group_id and x.slug = g.slug))) where rank <= 10"""
+
+
+GROUP_SCORES = "interactions groups members shared " + SCORES.replace("interactions ", "", 1) + "cons gseen gsplit "
+
+
+def divisive_of(v: Views):
+    return v.once("divisive", lambda: J.group_consensus(members_of(v), profile_of(v)))
+
+
+def shared_of(v: Views):
+    return v.once("shared_watchlists", lambda: J.shared_watchlist(members_of(v), v.interactions))
+
+
+@query("triage_group", GROUP_SCORES + "gpairs_wl gscores0", ranked_groups("gscores0", "least_misery"), stored=True)
 def _(v: Views):
     """The members' shared watchlists by what metadata says for each."""
-    members, inter = members_of(v), v.interactions
-    shared = J.shared_watchlist(members, inter)
+    members, shared = members_of(v), shared_of(v)
     pairs = members.join(shared, "group_id").select("username", "slug").distinct()
+    scores = S.score_pairs(pairs, *vectors_of(v), v.films, stats_of(v))
+    return J.recommend_group(members, scores, v.interactions, shared, divisive_of(v), v.film_attrs).select("group_id", "rank", "slug", *r4("score"))
+
+
+PARTS["gscores"] = f"""select u.username, f.slug, coalesce(s, 0) + {BONUS} as score from pstats u cross join films f left join (
+    select username, slug, sum(score) as s from (select username, slug, kind, {KIND_SCORE} as score from fvec join uvec using (kind, value) group by username, slug, kind) group by all)
+  k on k.username = u.username and k.slug = f.slug where u.username in (select username from members)"""
+
+
+def group_scores_of(v: Views):
+    """Every member's score of every film."""
     users, films = vectors_of(v)
-    scores = S.score_pairs(pairs, users, films, v.films, stats_of(v))
-    out = J.recommend_group(members, scores, inter, shared, J.group_consensus(members, profile_of(v)), v.film_attrs)
-    return out.select("group_id", "rank", "slug", *r4("score"))
+    mine = lambda df: df.join(members_of(v).select("username").distinct(), "username", "left_semi")
+    return v.once("member_scores", lambda: S.metadata_scores(mine(users), films, v.films, mine(stats_of(v))))
+
+
+def group_query(strategy: str) -> None:
+    @query(f"recommend_group_{strategy}", GROUP_SCORES + "gscores", ranked_groups("gscores", strategy), stored=True)
+    def _(v: Views):
+        found = J.recommend_group(members_of(v), group_scores_of(v), v.interactions, shared_of(v), divisive_of(v), v.film_attrs, strategy)
+        return found.select("group_id", "rank", "slug", *r4("score"))
+
+
+for _strategy in J.STRATEGIES:
+    group_query(_strategy)
+
+
+@query("group_hint", GROUPS + "dnorm compat cons shared", """, o as (select group_id, avg(round(compatibility, 9)) as o from compat group by all),
+ d as (select group_id, list_aggregate(list_sort(list(distinct attr_value))[1:2], 'string_agg', ', ') as d from cons where verdict = 'divisive' and attr_type = 'genre' group by all)
+select group_id, case when o >= 0.7 then 'aligned tastes: be adventurous' when d is not null then 'consider avoiding ' || d when group_id in (select group_id from shared) then 'start with the shared watchlist'
+ else 'stick to well-rated films' end as hint from o left join d using (group_id)""", stored=True)
+def _(v: Views):
+    return J.group_hint(J.pairwise_compatibility(members_of(v), profile_of(v)), divisive_of(v), shared_of(v))
+
+
+@query("parse_members", "", """select distinct 'g' || (c_custkey // 3) as group_id, 'u' || c_custkey as username, case when c_custkey % 4 = 1 then 2.5 else 1.0 end::double as weight from customer""")
+def _(v: Views):
+    key = F.col("c_custkey")
+    said = F.concat(F.lit("U"), key.cast("string"), F.when(key % 4 == 1, ":2.5").when(key % 4 == 2, ":much").otherwise(""))
+    texts = v.customer.groupBy(F.concat(F.lit("g"), F.floor(key / 3).cast("string")).alias("group_id")).agg(F.array_join(F.collect_list(said), ", ").alias("text"))
+    return J.parse_members(texts)
 
 
 # ---- graph ----
@@ -112,20 +180,23 @@ select 'film:' || slug as src, attr_type || ':' || attr_value as dst, attr_type
   from film_attrs left join idf using (attr_type, attr_value)
 union all select 'film:' || slug, 'decade:' || (year // 10 * 10), 'decade', 1.0, true from films where year <> 0
 union all select 'user:' || username, 'film:' || slug, edge_type, {IW} * {AGE}, true from cls
-union all select 'user:' || follower, 'user:' || followee, 'follows', 0.3, false from user_follows"""
+union all select 'user:' || follower, 'user:' || followee, 'follows', 0.3, false from user_follows
+union all select 'film:' || slug, 'film:' || other, 'similar_to', sim, false from isim30"""
+PARTS["isim30"] = "select slug, other, sim from (select *, row_number() over (partition by slug order by sim desc, other) as r from isim) where r <= 30"
 PARTS["edges"] = """select src, dst, edge_type, weight from edges0 where weight > 0
 union all select dst, src, case when src like 'user:%' then 'user_bridge' else edge_type end, weight from edges0 where both_ways and weight > 0"""
 PARTS["trans"] = """select src, dst, w / (case when sum(w) over (partition by src) = 0 then 1 else sum(w) over (partition by src) end) as p from (select src, dst, sum(weight * (case edge_type when 'rated_high' then 0.9 when 'rated_mid' then 0.6
   when 'rated_low' then 0 when 'watched' then 0.2 when 'watchlisted' then 0.1 when 'user_bridge' then 0.4 when 'director' then 1.2 when 'cinematographer' then 0.9 when 'composer' then 0.8 when 'genre' then 0.8
   when 'theme' then 0.6 when 'country' then 0.7 when 'language' then 0.5 when 'actor' then 0.5 when 'decade' then 0.3 when 'similar_to' then 0.6 when 'follows' then 0.4 else 1 end)) as w from edges group by all)"""
-EDGES = "interactions films film_attrs idf user_follows cls edges0 edges "
+EDGES = "interactions films film_attrs idf user_follows interactions_dense rated isim isim30 cls edges0 edges "
 
 
 def edges_of(v: Views):
-    return G.graph_edges(v.interactions, v.film_attrs, v.films, C.attribute_idf(v.film_attrs, v.films), asof(), follows=v.user_follows)
+    sim = N.item_similarity(v.interactions_dense, 30)
+    return v.once("graph", lambda: G.graph_edges(v.interactions, v.film_attrs, v.films, idf_of(v), asof(), sim, v.user_follows))
 
 
-@query("graph_edges", EDGES, "select src, dst, edge_type, round(weight, 4) as weight from edges")
+@query("graph_edges", EDGES, "select src, dst, edge_type, round(weight, 4) as weight from edges", stored=True)
 def _(v: Views):
     return edges_of(v).select("src", "dst", "edge_type", *r4("weight"))
 
@@ -135,7 +206,7 @@ def _(v: Views):
     return v.interactions.join(v.films.select("slug"), "slug", "left_semi").select("username", "slug", G.interaction_class().alias("class"))
 
 
-@query("transition", EDGES + "trans", "select src, dst, round(p, 6) as p from trans")
+@query("transition", EDGES + "trans", "select src, dst, round(p, 6) as p from trans", stored=True)
 def _(v: Views):
     return G.transition(edges_of(v)).select("src", "dst", F.round("p", 6).alias("p"))
 
@@ -149,16 +220,84 @@ def _(v: Views):
     return G.restart_distribution(v.interactions, v.films).select("username", "node", F.round("mass", 6).alias("mass"))
 
 
-@query("personalized_pagerank", EDGES + "trans rst", """
+@query("pagerank_step", EDGES + "trans rst", """
 select username, node, round(sum(mass), 6) as mass from (select username, dst as node, 0.85 * mass * p as mass from rst join trans on node = src
- union all select username, node, mass * (0.15 + 0.85 * coalesce((select sum(mass) from rst x where x.username = rst.username and x.node not in (select src from trans)), 0)) from rst) group by all""")
+ union all select username, node, mass * (0.15 + 0.85 * coalesce((select sum(mass) from rst x where x.username = rst.username and x.node not in (select src from trans)), 0)) from rst) group by all""", stored=True)
+def _(v: Views):
+    restart = restart_of(v)
+    return G.one_step(step_of(v), restart, restart).select("username", "node", F.round("mass", 6).alias("mass"))
+
+
+def step_of(v: Views):
+    return v.once("step", lambda: G.transition(edges_of(v)))
+
+
+def restart_of(v: Views):
+    return v.once("restart", lambda: G.restart_distribution(v.interactions, v.films))
+
+
+@query("personalized_pagerank", stored=True)
+def _(v: Views):
+    """The whole walk of every user; a test holds it against a dense matrix."""
+    return G.personalized_pagerank(step_of(v), restart_of(v)).select("username", "node", F.round("mass", 9).alias("mass"))
+
+
+@query("recommend_graph", stored=True)
 def _(v: Views):
-    """One step of the walk for every user; graph tests run more of them."""
-    out = G.personalized_pagerank(G.transition(edges_of(v)), G.restart_distribution(v.interactions, v.films), iterations=1)
-    return out.select("username", "node", F.round("mass", 6).alias("mass"))
+    return G.recommend_graph(step_of(v), restart_of(v), v.interactions, v.films).select("username", "rank", "slug", F.round("score", 9).alias("score"))
 
 
-@query("reweight_edges", EDGES, """select src, dst, edge_type, round(weight * case edge_type when 'genre' then 2.0 when 'actor' then 0.0 when 'follows' then 1.5 else 1 end, 4) as weight from edges where edge_type <> 'actor'""")
+@query("graph_reasons", "interactions film_attrs", """, have as (select slug, attr_type, attr_value from film_attrs), liked as (select distinct username, attr_type, attr_value from interactions join have using (slug) where liked),
+ met as (select username, slug, attr_type, upper(attr_type[1]) || attr_type[2:] || ': ' || list_aggregate(list_sort(list(distinct attr_value))[1:2], 'string_agg', ', ') as t,
+   list_position(['director', 'writer', 'cinematographer', 'composer', 'genre', 'actor', 'theme', 'country', 'language'], attr_type) as i
+   from (select username, slug from interactions where watchlisted) join have using (slug) semi join liked using (username, attr_type, attr_value) group by all)
+select username, slug, coalesce(list_aggregate(r, 'string_agg', ' | '), 'High graph relevance from your likes/watchlist') as reasons from (select username, slug from interactions where watchlisted)
+ left join (select username, slug, list(t order by i)[1:3] as r from met group by all) using (username, slug)""", stored=True)
+def _(v: Views):
+    out = R.walk_reasons(v.interactions.filter("watchlisted"), v.interactions, v.film_attrs)
+    return out.select("username", "slug", F.array_join("reasons", " | ").alias("reasons"))
+
+
+@query("explain_paths", stored=True)
+def _(v: Views):
+    """Paths from liked films to the watchlist; a test holds them against a breadth-first search."""
+    liked = v.interactions.filter("liked").select("username", F.col("slug").alias("liked"))
+    pairs = v.interactions.filter("watchlisted").select("username", "slug").join(liked, "username")
+    return G.explain_paths(edges_of(v).filter("edge_type <> 'follows'"), pairs).select("username", "slug", F.array_join("paths", " | ").alias("paths"))
+
+
+SOCIAL = "case edge_type when 'rated_high' then 0.9 when 'rated_mid' then 0.6 when 'rated_low' then 0 when 'watched' then 0.2 when 'watchlisted' then 0.1 when 'user_bridge' then 0.6 when 'director' then 1.2 when 'cinematographer' then 0.9 when 'composer' then 0.8 when 'genre' then 0.8 when 'theme' then 0.6 when 'country' then 0.7 when 'language' then 0.5 when 'actor' then 0.5 when 'decade' then 0.3 when 'similar_to' then 0.6 when 'follows' then 1.2 else 1 end"  # noqa: E501
+
+
+@query("transition_preset", EDGES, f"""select src, dst, round(w / case when sum(w) over (partition by src) = 0 then 1 else sum(w) over (partition by src) end, 6) as p
+ from (select src, dst, sum(weight * ({SOCIAL})) as w from edges group by all)""", stored=True)
+def _(v: Views):
+    return G.transition(edges_of(v), G.relation_weights("social")).select("src", "dst", F.round("p", 6).alias("p"))
+
+
+@query("transition_budgets", EDGES, """, w as (select src, dst, edge_type, weight * (case edge_type when 'rated_high' then 0.9 when 'rated_mid' then 0.6 when 'rated_low' then 0 when 'watched' then 0.2 when 'watchlisted' then 0.1
+   when 'user_bridge' then 0.4 when 'director' then 1.2 when 'cinematographer' then 0.9 when 'composer' then 0.8 when 'genre' then 0.8 when 'theme' then 0.6 when 'country' then 0.7 when 'language' then 0.5
+   when 'actor' then 0.5 when 'decade' then 0.3 when 'similar_to' then 0.6 when 'follows' then 0.4 else 1 end) as w from edges),
+ t as (select src, edge_type, sum(w) as s, case edge_type when 'director' then 3.0 when 'writer' then 2.5 when 'cinematographer' then 1.8 when 'composer' then 1.5 when 'genre' then 1.5 when 'theme' then 1.2
+   when 'country' then 1.2 when 'language' then 0.8 when 'actor' then 0.7 else 1 end as b from w group by all), u as (select *, sum(b) over (partition by src) as bs from t)
+select src, dst, round(sum(w * b / bs / case when s = 0 then 1 else s end), 6) as p from w join u using (src, edge_type) group by src, dst""", stored=True)
+def _(v: Views):
+    return G.transition(edges_of(v), budgets=True).select("src", "dst", F.round("p", 6).alias("p"))
+
+
+@query("restart_with_seeds", "interactions films cls", f""", w as (select username, slug, {IW} * {AGE} as w from cls where {IW} * {AGE} > 0 union all
+  select 'u' || c_custkey, 'f' || (1 + c_custkey % (select count(*) from films)), 0.8 from customer where 'f' || (1 + c_custkey % (select count(*) from films)) in (select slug from films)),
+ s as (select username, slug, sum(w) as w from w group by all), every as (select username from interactions union select 'u' || c_custkey from customer)
+select username, 'film:' || slug as node, round(0.8 * w / sum(w) over (partition by username), 6) as mass from s
+union all select username, 'user:' || username, case when username in (select username from s) then 0.2 else 1.0 end from every""", stored=True)
+def _(v: Views):
+    """Restart masses by recency, with one seed film for each customer."""
+    n = v.films.count()
+    seeds = v.customer.select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("username"), F.concat(F.lit("f"), (1 + F.col("c_custkey") % n).cast("string")).alias("slug"))
+    return G.restart_distribution(v.interactions, v.films, seeds, True, asof()).select("username", "node", F.round("mass", 6).alias("mass"))
+
+
+@query("reweight_edges", EDGES, """select src, dst, edge_type, round(weight * case edge_type when 'genre' then 2.0 when 'actor' then 0.0 when 'follows' then 1.5 else 1 end, 4) as weight from edges where edge_type <> 'actor'""", stored=True)
 def _(v: Views):
     return G.reweight_edges(edges_of(v), {"genre": 2.0, "actor": 0.0, "follows": 1.5}).select("src", "dst", "edge_type", *r4("weight"))
 
@@ -198,6 +337,16 @@ def _(v: Views):
     return Q.queue_stats(pending_of(v)).select("total", "n_sources", *r4("mean_priority", "hours"))
 
 
+@query("queue_breakdown", "discovered pending", "select source_type, priority, count(*) as n from pending group by all")
+def _(v: Views):
+    return Q.queue_breakdown(pending_of(v))
+
+
+@query("queue_prune_old", "discovered pending", f"select username, source_type, discovered_at, priority from pending where date_sub('day', discovered_at, timestamp '{QUEUE_CLOCK}') < 2200")
+def _(v: Views):
+    return Q.queue_prune(pending_of(v), F.lit(QUEUE_CLOCK).cast("timestamp_ntz"), days=2200)
+
+
 @query("queue_prune", "discovered pending", "select username, source_type, discovered_at, priority from pending where not (priority <= 70 and source_type = 'popular')")
 def _(v: Views):
     return Q.queue_prune(pending_of(v), asof(), max_priority=70, source="popular")
@@ -230,7 +379,8 @@ def _(v: Views):
 # ---- cached profiles ----
 
 PARTS["cached"] = f"""select 'u' || c_custkey as username, timestamp '{ASOF}' - to_days((c_custkey % 12)::int) as updated_at, (3 + c_custkey % 2)::int as schema_version from customer"""
-VALID = f"""select username from cached left join (select username, max(scraped_at) as newest from interactions group by username) using (username)
+PARTS["said"] = "select username, scraped_at from interactions union all select 'u' || o_custkey, o_orderdate from orders where o_orderpriority <> '5-LOW'"
+VALID = f"""select username from cached left join (select username, max(scraped_at) as newest from said group by username) using (username)
   where schema_version = 3 and date_sub('day', updated_at, timestamp '{ASOF}') <= 7 and (newest is null or updated_at >= newest)"""
 
 
@@ -240,14 +390,35 @@ def cached_of(v: Views):
     return v.customer.select(F.concat(F.lit("u"), key.cast("string")).alias("username"), at.alias("updated_at"), (3 + key % 2).cast("int").alias("schema_version"))
 
 
-@query("valid_profiles", "interactions cached", VALID)
+def list_times(v: Views):
+    rows = v.orders.filter("o_orderpriority <> '5-LOW'")
+    return rows.select(F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("username"), F.col("o_orderdate").cast("timestamp_ntz").alias("scraped_at"))
+
+
+@query("valid_profiles", "interactions said cached", VALID)
 def _(v: Views):
-    return Q.valid_profiles(cached_of(v), v.interactions, asof(), 3)
+    return Q.valid_profiles(cached_of(v), v.interactions, asof(), 3, lists=list_times(v))
+
+
+def stale_of(v: Views):
+    valid = Q.valid_profiles(cached_of(v), v.interactions, asof(), 3, lists=list_times(v))
+    return v.interactions.select("username").distinct().join(valid, "username", "left_anti")
 
 
-@query("refresh_profiles", "interactions cached", f"select distinct username from interactions where username not in ({VALID})")
+@query("stale_profiles", "interactions said cached", f"select distinct username from interactions where username not in ({VALID})")
 def _(v: Views):
-    return Q.stale_profiles(cached_of(v), v.interactions, asof(), 3)
+    return stale_of(v)
+
+
+@query("refresh_profiles", PROFILE + "said cached", f"""select username, 'genre' as attr_type, 'kept' as attr_value, 1.0::double as score, 1::bigint as n from customer, lateral (select 'u' || c_custkey as username)
+   where username not in (select distinct username from interactions where username not in ({VALID}))
+ union all select username, attr_type, attr_value, round(score, 4), n from profile where username not in ({VALID})""", stored=True)
+def _(v: Views):
+    """Cached profiles, here one row a customer, with those of stale users computed anew."""
+    name = F.concat(F.lit("u"), F.col("c_custkey").cast("string"))
+    cached = v.customer.select(name.alias("username"), F.lit("genre").alias("attr_type"), F.lit("kept").alias("attr_value"), F.lit(1.0).alias("score"), F.lit(1).cast("long").alias("n"))
+    out = Q.refresh_profiles(cached, stale_of(v), profile_of(v).select("username", "attr_type", "attr_value", "score", "n"))
+    return out.select("username", "attr_type", "attr_value", *r4("score"), "n")
 
 
 @query("purge_profiles", "cached", "select username, updated_at, schema_version from cached where schema_version = 3")
@@ -289,6 +460,14 @@ def _(v: Views):
     return Q.predict_svd(v.interactions_dense.filter("watchlisted").select("username", "slug"), Q.bias_model(matrix), users, items).select("username", "slug", *r4("prediction"))
 
 
+@query("recommend_svd", stored=True)
+def _(v: Views):
+    """Unseen films by predicted rating; a test holds factors and ranking against a dense decomposition."""
+    matrix = matrix_of(v)
+    users, items = Q.fit_svd(matrix, 10)
+    return Q.recommend_svd(Q.bias_model(matrix), users, items, v.interactions_dense, v.films).select("username", "rank", "slug", *r4("score"))
+
+
 @query("model_fingerprint", "interactions_dense matrix", "select count(distinct username) as n_users, count(distinct slug) as n_items, count(*) as n_ratings, 'factors=50' as params from matrix")
 def _(v: Views):
     return Q.model_fingerprint(matrix_of(v), factors=50)

@@ -37,11 +37,11 @@ PROFILE = WEIGHTS + "films film_attrs attrs_d profile "
 
 
 def weights_of(v: Views, mode: str = "absolute"):
-    return P.weighted(v.interactions, v.user_lists, asof(), mode)
+    return v.once(f"weights_{mode}", lambda: P.weighted(v.interactions, v.user_lists, asof(), mode))
 
 
 def profile_of(v: Views, mode: str = "absolute"):
-    return P.profile_attrs(weights_of(v, mode), P.with_decades(v.film_attrs, v.films))
+    return v.once(f"profile_{mode}", lambda: P.profile_attrs(weights_of(v, mode), P.with_decades(v.film_attrs, v.films)))
 
 
 def r4(*names: str):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palate.plans import more, scores, similar, social, taste  # noqa: F401
+from palate.plans import extra, more, scores, similar, social, taste  # noqa: F401
 from palate.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = QUERIES["recommend_metadata"]

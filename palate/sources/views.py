@@ -5,8 +5,12 @@ lists, and events a discovery stream. Both Spark and DuckDB read this SQL as it
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from palate.sources.shared import shared_table
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages")
 
 VIEWS = {
@@ -81,21 +85,30 @@ from customer
 
 
 class Views:
-    """The driver's tables and the derived views of one folder, each as a DataFrame when it is asked for."""
+    """The driver's tables and the derived views of one folder, each as a DataFrame when it is asked for.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    stored: a view, and what once() names, is written as a shared table when it is first asked for; queries that read
+    one several times derive it once so."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, stored: bool = False):
+        self.spark, self.sf_dir, self.stored = spark, sf_dir, stored
+        self._made: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = shared_table(make(), name) if self.stored else make()
+        return self._made[name]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.table(name)
         if name not in VIEWS:
             raise AttributeError(name)
         used = {t: self.table(t) for t in TABLES if t in VIEWS[name]}
-        return self.spark.sql(_braced(VIEWS[name]), **used)
+        return self.once(name, lambda: self.spark.sql(_braced(VIEWS[name]), **used))
 
 
 def _braced(sql: str) -> str:

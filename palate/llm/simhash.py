@@ -7,10 +7,11 @@ from itertools import combinations, repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palate.llm.common import connected_components, forest, in_blocks, map_sorted_groups, map_texts, shared_table
+from palate.llm.common import connected_components, forest, in_blocks, map_sorted_groups, map_texts
+from palate.sources.shared import shared_table
 
 SHARD = 2048  # fingerprints in a shard's tree at most
 
@@ -142,13 +143,18 @@ def link_fingerprints(nodes: DataFrame, tables: list[list[int]], radius: int) ->
     return map_sorted_groups(in_blocks(keyed, "key", "id", SHARD), ["key", "block_a", "block_b"], search, "a long, b long")
 
 
+def text_hash() -> Column:
+    """Tells rows of one id with different texts apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def fingerprints(docs: DataFrame, words: int, seeds: tuple[int, ...], distinct: bool = False) -> DataFrame:
-    """(doc_id, fp, content): the fingerprints of each whole text and a hash of its words; a shared table."""
+    """(doc_id, version, fp, content): a hash of each whole text, its fingerprints and a hash of its words; a shared table."""
     def work(columns: list[list]) -> list[tuple]:
-        return [(k, fingerprint(t, words, seeds, distinct), xxhash.xxh3_128_hexdigest(b" ".join(shingles(t, 1)))) for k, t in zip(*columns)]
+        return [(k, v, fingerprint(t, words, seeds, distinct), xxhash.xxh3_128_hexdigest(b" ".join(shingles(t, 1)))) for k, v, t in zip(*columns)]
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return shared_table(map_texts(kept, "doc_id long, fp array<long>, content string", work), "fingerprints")
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("version"), "text")
+    return shared_table(map_texts(kept, "doc_id long, version long, fp array<long>, content string", work), "fingerprints")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, seed: int = 42) -> DataFrame:
@@ -170,7 +176,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, seed: int
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds: tuple[int, int] = (42, 43)) -> DataFrame:
-    """(doc_id, keep): the smallest id of each group of documents linked by a Jaccard similarity of their shingles.
+    """(doc_id, version, stays) for each document, an id with a text: whether it is the smallest of its group, linked by a
+    Jaccard similarity of their shingles.
 
     128-bit fingerprints give candidates: at that similarity they differ in about angle / pi of the bits, and the radius
     allows for two standard deviations more. Each candidate group is then linked anew by exact similarities."""
@@ -178,11 +185,15 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, see
     bits = 64 * len(seeds)
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     radius = int(np.ceil(bits * share + 2 * np.sqrt(bits * share * (1 - share))))
-    nodes = shared_table(prints.groupBy("content").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp")), "nodes")
-    rough = connected_components(link_fingerprints(nodes.select("id", "fp"), sampled_tables(bits, radius, nodes.count()), radius), "a", "b")
+    nodes = prints.groupBy("content").agg(F.min(F.struct("doc_id", "version")).alias("own"), F.first("fp").alias("fp"))
+    nodes = shared_table(nodes.select("content", "own.*", "fp", F.monotonically_increasing_id().alias("id")), "nodes")
+    links = link_fingerprints(nodes.select("id", "fp"), sampled_tables(bits, radius, nodes.count()), radius)
+    rough = connected_components(links, "a", "b").join(nodes.select(F.col("id").alias("node"), "doc_id", "version"), "node")
     exact = connected_components(verify_groups(docs, rough, words, similarity), "a", "b")
-    named = nodes.join(exact, nodes["id"] == exact["node"], "left").select("content", F.coalesce("component", "id").alias("keep"))
-    return prints.select("doc_id", "content").join(named, "content").select("doc_id", "keep")
+    named = shared_table(nodes.join(exact, nodes["id"] == exact["node"], "left").select("content", "doc_id", "version", F.coalesce("component", "id").alias("group")), "groups")
+    first = named.groupBy("group").agg(F.min(F.struct("doc_id", "version")).alias("first"))
+    mine = named.join(first, "group").select("content", "first")
+    return prints.select("doc_id", "version", "content").join(mine, "content").select("doc_id", "version", (F.struct("doc_id", "version") == F.col("first")).alias("stays"))
 
 
 def jaccard(sets: list[set], step: int = 8192) -> np.ndarray:
@@ -207,12 +218,12 @@ def jaccard(sets: list[set], step: int = 8192) -> np.ndarray:
 
 
 def verify_groups(docs: DataFrame, rough: DataFrame, words: int, similarity: float, limit: int = 256) -> DataFrame:
-    """Links (a, b) with at least that Jaccard similarity, enough to span each exact group. rough: (node, component).
+    """Links (a, b) with at least that Jaccard similarity, enough to span each exact group. rough: (node, component, doc_id, version).
 
     Common shingles of all pairs of a block are one matrix product over the shingles that it has twice or more."""
     blocks = in_blocks(rough, "component", "node", limit)
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    rows = blocks.join(texts, "node").select("component", "block_a", "block_b", F.col("node").alias("id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("version"), "text")
+    rows = blocks.join(texts, ["doc_id", "version"]).select("component", "block_a", "block_b", F.col("node").alias("id"), "text").dropDuplicates(["component", "block_a", "block_b", "id"])
 
     def search(part: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame | None:
         out = []
@@ -229,11 +240,16 @@ def verify_groups(docs: DataFrame, rough: DataFrame, words: int, similarity: flo
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs, of each similar group only the document with the smallest id, and of rows with one id only one.
+    """docs, of each similar group only the document with the smallest id (of one id the text of smaller hash), and of
+    rows with one id and text only one.
 
-    A row without id is left alone. All columns pass as they are."""
+    Rows of one id with texts that aren't similar are different documents and stay. A row without id is left alone.
+    All columns pass as they are."""
     groups = similar_groups(docs, **options)
-    gone = groups.filter("doc_id <> keep").select("doc_id").distinct()
-    once = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    left = docs.join(gone, "doc_id", "left_anti").withColumn("_place", once).filter("_place = 1 or doc_id is null")
-    return left.select(*docs.columns)
+    gone = groups.filter("not stays").select(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).distinct()
+    own = docs.withColumn("_text_hash", text_hash())
+    left = own.join(gone, (own["doc_id"].cast("long") == gone["_id"]) & (own["_text_hash"] == gone["_version"]), "left_anti")
+    named = left.filter("doc_id is not null")  # rows without id must not meet in one task
+    once = F.row_number().over(Window.partitionBy("doc_id", "_text_hash").orderBy(F.lit(0)))
+    named = named.withColumn("_place", once).filter("_place = 1").drop("_place")
+    return named.unionByName(left.filter("doc_id is null")).select(*docs.columns)

@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palate.llm.common import map_texts, shared_table
+from palate.llm.common import map_texts
+from palate.sources.shared import shared_table
 
 #: Texts of white space, printable ASCII and Latin letters that NFC leaves as they are; all others go to the tokenizer whole.
 _ODD = re.compile("[^\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
@@ -153,16 +154,17 @@ def cutting_stock(demand: np.ndarray, bins: int, most_rounds: int = 4000, near:
     return result + [(p, 1) for group in open_ for p in group]
 
 
-def pack(docs: DataFrame, capacity: int = 4096, unit: int = 8, salts: int = 128, end_id: int = 2, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 4096, unit: int = 8, salts: int | None = None, end_id: int = 2, path: str | None = None) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), a row for each piece of a document.
 
     Lengths count in units of 8 tokens, so the driver gets a histogram of capacity / unit numbers whatever the
-    corpus, and plans patterns of lengths. Pieces are ranked within their length, over salts, so that many pieces of
-    one length still go to many tasks; rank and length say which sequence a piece belongs to. A sequence's pieces
+    corpus, and plans patterns of lengths. Pieces are ranked within their length, over salts (four to a shuffle
+    partition unless given), so that many pieces of one length still go to many tasks; rank and length say which sequence a piece belongs to. A sequence's pieces
     follow each other without a gap. Repeated rows are packed as often as they stand; a null id stays null; an empty
     table gives no row."""
     pieces = shared_table(cut_documents(docs, capacity, end_id, path), "pieces")
     bins = capacity // unit
+    salts = salts or max(128, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sized = pieces.withColumn("size", F.ceil(F.col("length") / unit).cast("int")).withColumn(
         "salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int")
     )
@@ -191,7 +193,7 @@ def pack(docs: DataFrame, capacity: int = 4096, unit: int = 8, salts: int = 128,
             yield pd.DataFrame({**{c: f[c] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}, "sequence_id": out})
 
     before = counts.select("size", "salt", (F.sum("n").over(Window.partitionBy("size").orderBy("salt")) - F.col("n")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("size", "salt").orderBy(F.desc("length"), "doc_id", "start"))
+    rank = F.row_number().over(Window.partitionBy("size", "salt").orderBy(F.desc("length"), "doc_id", "start", "ids_crc32"))
     ranked = sized.withColumn("place", rank).join(F.broadcast(before), ["size", "salt"])  # bins x salts rows at most
     ranked = ranked.withColumn("rank", (F.col("before") + F.col("place") - 1).cast("long")).drop("before", "place", "salt")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long"

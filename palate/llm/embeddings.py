@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palate.llm.common import connected_components, forest, in_blocks, map_sorted_groups, shared_table
+from palate.llm.common import connected_components, forest, in_blocks, map_sorted_groups
+from palate.sources.shared import shared_table
 
 BLOCK = 1024  # vectors that one group compares at most, or twice as many where two blocks meet
 
@@ -42,7 +43,7 @@ def near_duplicates(vectors: DataFrame, id_: str = "vec_id", vector: str = "embe
     repeated rows of one id and vector count once and are each returned."""
     own = usable(vectors, id_, vector)
     kind = own.schema["v"].dataType.simpleString()
-    nodes = shared_table(own.groupBy("dims", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies")).withColumn("node", F.xxhash64("id", "v")), "vectors")
+    nodes = shared_table(own.groupBy("dims", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()), "vectors")
     n = nodes.count()
     bits = int(np.clip(np.ceil(np.log2(max(n, 1) / 512)), 2, 30))
     meet = (1 - np.arccos(cosine) / np.pi) ** bits
@@ -56,7 +57,10 @@ def near_duplicates(vectors: DataFrame, id_: str = "vec_id", vector: str = "embe
                 yield g.assign(codes=list((signs @ powers).astype(np.int32)))
 
     coded = nodes.select("node", "copies", "dims", "v").mapInPandas(codes, f"node long, copies long, dims int, v {kind}, codes array<int>")
-    keyed = coded.select("*", F.posexplode("codes").alias("table", "code")).withColumn("key", F.xxhash64("dims", "table", "code"))
+    keyed = coded.select("node", "copies", "dims", "v", F.posexplode("codes").alias("table", "code")).withColumn("key", F.xxhash64("dims", "table", "code")).drop("code")
+
+    def all_codes(x: np.ndarray, upto: int) -> np.ndarray:
+        return ((x @ hyperplanes(x.shape[1], tables, bits)[:, : upto * bits] > 0).reshape(len(x), upto, bits) @ (1 << np.arange(bits))).astype(np.int32)
 
     def compare(part: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame | None:
         out = []
@@ -65,10 +69,15 @@ def near_duplicates(vectors: DataFrame, id_: str = "vec_id", vector: str = "embe
             # a key is a hash: should two meet, vectors of each length and table are still compared apart
             for (_, table), at in group.groupby(["dims", "table"]).indices.items():
                 g = group.iloc[at]
-                x, code, block = unit(g["v"]), np.array(g["codes"].tolist()), g["own"].to_numpy()
+                x, block = unit(g["v"]), g["own"].to_numpy()
                 a, b = np.nonzero(np.triu(x @ x.T >= cosine - 1e-9, 1))
-                new = (np.einsum("ij,ij->i", x[a], x[b]) >= cosine) & (code[a, table] == code[b, table])
-                new &= ~(code[a, :table] == code[b, :table]).any(axis=1)  # else the pair counts in an earlier table
+                if not len(a):
+                    continue
+                some, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+                code = all_codes(x[some], int(table) + 1)  # of those in a pair: few, so codes needn't travel
+                ca, cb = code[place[: len(a)]], code[place[len(a) :]]
+                new = (np.einsum("ij,ij->i", x[a], x[b]) >= cosine) & (ca[:, table] == cb[:, table])
+                new &= ~(ca[:, :table] == cb[:, :table]).any(axis=1)  # else the pair counts in an earlier table
                 if g["block_a"].iloc[0] != g["block_b"].iloc[0]:
                     new &= block[a] != block[b]  # else it counts within its block
                 a, b = a[new], b[new]
@@ -198,8 +207,10 @@ def search(
     An inverted multi-index: both halves of the unit vectors are quantised apart, every row goes to the cell of its
     two centroids, and a query passes cells in order of summed distance until they hold a certain share of all rows;
     those rows are compared exactly. Codebooks and share come from the sample_rows rows of smallest hash, the share
-    such that the sample's own neighbours are found with probability `recall`. Cells are gathered in blocks of about
-    `block` rows, larger ones split, and a query goes only to the blocks that hold cells it passes.
+    such that the sample's own neighbours are found with probability `recall`; a codebook has 1,024 centroids at most,
+    for about 6 x 10^7 rows and more, and then needs a sample of 32 rows for each. Cells are gathered in blocks of about
+    `block` rows, larger ones split, and a query goes only to the blocks that hold cells it passes; a block is copied
+    once for each queries_at_once queries that it gets.
     Vectors of another length than the most frequent one, null, zero or with null or non-finite components take no
     part; of several vectors with one id all take part, but never answer a query of their own id. Ties go to the
     smaller id."""
@@ -210,8 +221,9 @@ def search(
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims, total = common["dims"], common["count"]
     own = own.filter(F.col("dims") == dims).select("id", "v")
+    k = int(2 ** np.clip(np.round(np.log2(max(total, 1) / 64) / 2), 2, 10))
+    sample_rows = max(sample_rows, 32 * k)
     sample = own.orderBy(F.xxhash64("id"), "id").limit(sample_rows).toPandas().sort_values("id", kind="stable")  # sample_rows at most
-    k = int(2 ** np.clip(np.round(np.log2(max(total, 1) / 64) / 2), 2, 7))
     index = MultiIndex(unit(sample["v"]), k, nearest, recall)
     kind = own.schema["v"].dataType.simpleString()
 
@@ -235,7 +247,6 @@ def search(
             room = 0 if parts[c] > 1 else room
         else:
             first[c], room = max(at, 0), room - counts[c]
-    groups = max(1, -(-entries.filter(F.col("id") % every == 0).count() // queries_at_once))
     least = index.share * total
 
     def deal(frames):
@@ -254,9 +265,12 @@ def search(
                 at, begin = np.unique(to[order], return_index=True)
                 yield pd.DataFrame({"block": at, "query_id": q, "v": [v] * len(at), "cells": np.split(of[order], begin[1:])})
 
-    dealt = entries.mapInPandas(deal, f"block long, id long, v {kind}, cell long").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     asked = entries.filter(F.col("id") % every == 0).select("id", "v").mapInPandas(route, f"block long, query_id long, v {kind}, cells array<long>")
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
+    asked = shared_table(asked, "asked")
+    wanted = asked.groupBy("block").agg(F.ceil(F.count("*") / queries_at_once).cast("int").alias("parts"))
+    dealt = entries.mapInPandas(deal, f"block long, id long, v {kind}, cell long").join(wanted, "block")
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    asked = asked.join(wanted, "block").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int")).drop("parts")
 
     def compare(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(queries):

@@ -501,3 +501,12 @@ def test_simhash_stage_recall_holds_at_the_radius_and_ignores_repeats():
     twice = " ".join([*base, *base[:30] * 2])
     assert set(simhash.shingles(often, 5)) == set(simhash.shingles(twice, 5))
     assert simhash.fingerprint(often, 5, (42, 43), distinct=True) == simhash.fingerprint(twice, 5, (42, 43), distinct=True)
+
+
+def test_rows_of_one_id_with_different_texts_are_different_documents(spark):
+    rng = random.Random(41)
+    a, b = " ".join(words(rng, 80)), " ".join(words(rng, 80))
+    rows = [(7, a), (7, b), (7, b), (8, a), (9, b + " more"), (None, a), (None, a)]
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(frame(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(7, a), (7, b), (None, a), (None, a)], key=str)
+    assert simhash.keep_one(frame(spark, [])).count() == 0

@@ -91,12 +91,13 @@ PARTS["windows"] = """select *, case when e <= s then least(s, total) else s end
   select *, greatest(17, floor(total * 0.2), 50) as s, least(floor(total * 0.8), 300, total) as e from (select *, count(*) over (partition by username) as total from ranked))"""
 PARTS["pool"] = "select username, slug, rank from windows where rank > low and rank <= high"
 PARTS["counts"] = "select username, attr_type, attr_value, n, avg(n) over (partition by username, attr_type) as mean from profile where attr_type in ('genre', 'country')"
-PARTS["fresh"] = """select username, slug, rank, round(coalesce(x, 0) + case when year <> 0 and coalesce(d.score, 0) < 0.5 then 0.5 else 0 end + case when coalesce(rating_count, 0) < 50000 then 0.5 else 0 end, 9) as novelty
- from pool join films using (slug) left join (select username, attr_value::int as dec, score from profile where attr_type = 'decade') d on d.username = pool.username and d.dec = year // 10 * 10
+PARTS["fresh"] = """select pool.username, pool.slug, rank, round(coalesce(x, 0) + case when year <> 0 and coalesce(d.score, 0) < 0.5 then 0.5 else 0 end + case when coalesce(rating_count, 0) < 50000 then 0.5 else 0 end, 9) as novelty
+ from pool join films on films.slug = pool.slug left join (select username, attr_value::int as dec, score from profile where attr_type = 'decade') d on d.username = pool.username and d.dec = year // 10 * 10
  left join (select username, slug, sum(case when attr_type = 'genre' then case when c < 3 then 1.0 when c < 10 then 0.3 else g end else case when c < 5 then 1.5 else g end end) as x from (
    select p.username, p.slug, a.attr_type, coalesce(k.n, 0) as c, coalesce(greatest(0, 1 - coalesce(k.n, 0) / m.mean) * 0.8, 0) as g from pool p join (select distinct slug, attr_type, attr_value from film_attrs
      where attr_type = 'genre' or (attr_type = 'country' and pos = 1)) a using (slug) left join counts k using (username, attr_type, attr_value)
-   left join (select distinct username, attr_type, mean from counts) m on m.username = p.username and m.attr_type = a.attr_type) group by all) x using (username, slug) where avg_rating >= 3.5"""
+   left join (select distinct username, attr_type, mean from counts) m on m.username = p.username and m.attr_type = a.attr_type) group by all) x on x.username = pool.username and x.slug = pool.slug
+ where avg_rating >= 3.5"""
 PARTS["picked"] = """select w.username, w.slug, w.score, w.rank, w.total, least(3, n_pool) as picks, case when r <= least(3, n_pool) then r end as i from windows w
   left join (select username, slug, row_number() over (partition by username order by novelty desc, rank) as r from fresh) f using (username, slug)
   left join (select username, count(*) as n_pool from pool group by all) n using (username)"""
@@ -126,7 +127,7 @@ def _(v: Views):
     return C.top_genres(v.film_attrs)
 
 
-@query("decode_lists", "", """select p_partkey as id, case when p_partkey % 5 = 0 then [] else list_distinct([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)]) end as genres from part""")
+@query("decode_lists", "", """select p_partkey as id, case when p_partkey % 5 = 0 then [] when split_part(p_name, ' ', 1) = split_part(p_name, ' ', 2) then [split_part(p_name, ' ', 1)] else [split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)] end as genres from part""")
 def _(v: Views):
     """Lists from JSON texts, of which every fifth is broken, empty or null."""
     words = F.array_distinct(F.slice(F.split("p_name", " "), 1, 2))
@@ -196,7 +197,7 @@ def _(v: Views):
     return pages.extract_member_pages(html)
 
 
-@query("extract_film_pages", "films film_attrs", """select slug, title, year, round(avg_rating, 2) as avg_rating, rating_count, coalesce(d, '') as director, coalesce(g, '') as genre
+@query("extract_film_pages", "films film_attrs", """select slug, title, year, round(avg_rating::decimal(18, 10), 2)::double as avg_rating, rating_count, coalesce(d, '') as director, coalesce(g, '') as genre
  from films left join (select slug, string_agg(attr_value, ',' order by pos) filter (attr_type = 'director') as d, string_agg(lower(attr_value), ',' order by pos) filter (attr_type = 'genre') as g
    from film_attrs where attr_type in ('director', 'genre') group by slug) using (slug)""", stored=True)
 def _(v: Views):

@@ -248,9 +248,9 @@ def _(v: Views):
 
 
 @query("graph_reasons", "interactions film_attrs", """, have as (select slug, attr_type, attr_value from film_attrs), liked as (select distinct username, attr_type, attr_value from interactions join have using (slug) where liked),
- met as (select username, slug, attr_type, upper(attr_type[1]) || attr_type[2:] || ': ' || list_aggregate(list_sort(list(distinct attr_value))[1:2], 'string_agg', ', ') as t,
+ met as (select username, slug, upper(attr_type[1]) || attr_type[2:] || ': ' || list_aggregate(list_sort(vs)[1:2], 'string_agg', ', ') as t,
    list_position(['director', 'writer', 'cinematographer', 'composer', 'genre', 'actor', 'theme', 'country', 'language'], attr_type) as i
-   from (select username, slug from interactions where watchlisted) join have using (slug) semi join liked using (username, attr_type, attr_value) group by all)
+   from (select username, slug, attr_type, list(distinct attr_value) as vs from (select username, slug from interactions where watchlisted) join have using (slug) semi join liked using (username, attr_type, attr_value) group by all))
 select username, slug, coalesce(list_aggregate(r, 'string_agg', ' | '), 'High graph relevance from your likes/watchlist') as reasons from (select username, slug from interactions where watchlisted)
  left join (select username, slug, list(t order by i)[1:3] as r from met group by all) using (username, slug)""", stored=True)
 def _(v: Views):

@@ -1,6 +1,7 @@
 """Exact values of the taste model on hand-made tables."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from palate.operators import groups as J
 from palate.operators import neighbours as N
 from palate.operators import profile as P
 from palate.operators import queue as Q
+from palate.operators import reasons as R
 from palate.operators import scoring as S
 
 INTER = "username string, slug string, rating double, watched boolean, watchlisted boolean, liked boolean, scraped_at timestamp_ntz"
@@ -109,9 +111,9 @@ def test_group_strategies(spark):
 
 
 def test_group_weights_parse_leniently(spark):
-    df = spark.createDataFrame([(t,) for t in ("User-One:2.5", "missingcolon", "bob:not-a-number", "alice:1")], "t string")
+    df = spark.createDataFrame([(t,) for t in ("Kim_7:0.75", "lena", "omar:heavy", "pia:3", ":2")], "t string")
     user, weight = J.parse_weight(F.col("t"))
-    assert [tuple(r) for r in df.select(user, weight).collect()] == [("user-one", 2.5), (None, None), (None, None), ("alice", 1.0)]
+    assert [tuple(r) for r in df.select(user, weight).collect()] == [("kim_7", 0.75), (None, None), (None, None), ("pia", 3.0), ("", 2.0)]
 
 
 def test_compatibility(spark):
@@ -143,8 +145,8 @@ def test_filters_keep_or_drop_nulls(spark):
 
 
 def test_slugs(spark):
-    df = spark.createDataFrame([(s,) for s in ("the-matrix", "film:482919", "Film:482919", "The Matrix", "a" * 300)], "s string")
-    assert [r[0] for r in df.select(C.clean_slug(F.col("s"))).collect()] == ["the-matrix", "film:482919", "film:482919", None, None]
+    df = spark.createDataFrame([(s,) for s in ("red-river-2", "film:77", " FILM:77 ", "Red River", "x" * 201, "y" * 200)], "s string")
+    assert [r[0] for r in df.select(C.clean_slug(F.col("s"))).collect()] == ["red-river-2", "film:77", "film:77", None, None, "y" * 200]
 
 
 def test_queue_adds_each_name_once(spark):
@@ -156,28 +158,134 @@ def test_queue_adds_each_name_once(spark):
     assert Q.queue_add(cands, added, inter).count() == 0
 
 
-def test_walk_keeps_its_mass_and_equals_a_matrix(spark):
+@pytest.mark.parametrize("most_edges", [0, 1000])  # by joins, and in blocks
+def test_walk_equals_a_matrix(spark, most_edges):
     import numpy as np
 
-    edges = spark.createDataFrame([("user:u", "film:a", "liked", 0.7), ("film:a", "genre:g", "genre", 1.0), ("genre:g", "film:b", "genre", 1.0), ("film:b", "x", "genre", 1.0)], "src string, dst string, edge_type string, weight double")
-    inter = spark.createDataFrame([seen("u", "a", liked=True), seen("w", "b", 2.0)], INTER)
-    films = spark.createDataFrame([(s, s, 2000, 3.0, 1) for s in "ab"], FILMS)
+    rng = np.random.default_rng(3)
+    nodes = ["user:u", "user:w", *(f"film:f{i}" for i in range(8)), *(f"genre:g{i}" for i in range(3)), "x"]
+    edges = [(a, b, t, float(rng.integers(1, 9))) for a in nodes[:-1] for b in nodes if a != b and rng.random() < 0.3 for t in ("liked", "genre")]
+    edges = spark.createDataFrame(edges, "src string, dst string, edge_type string, weight double")
+    inter = spark.createDataFrame([seen("u", "f0", liked=True), seen("u", "f3", 4.0), seen("w", "f1", 2.0), seen("w", "gone")], INTER)
+    films = spark.createDataFrame([(f"f{i}", "t", 2000, 3.0, 1) for i in range(8)], FILMS)
     step, restart = G.transition(edges), G.restart_distribution(inter, films)
-    got = G.personalized_pagerank(step, restart, iterations=12, every=1, save=lambda d: spark.createDataFrame(d.collect(), d.schema))
+    got = G.personalized_pagerank(step, restart, iterations=200, tolerance=1e-10, most_edges=most_edges)
     mass = {(r["username"], r["node"]): r["mass"] for r in got.collect()}
-    for user in "uw":
-        assert sum(m for (name, _), m in mass.items() if name == user) == pytest.approx(1.0)
-    names = sorted({n for r in edges.collect() for n in (r["src"], r["dst"])})
-    p = np.zeros((len(names), len(names)))
+    p = np.zeros((len(nodes), len(nodes)))
     for r in step.collect():
-        p[names.index(r["dst"]), names.index(r["src"])] = r["p"]
-    start = np.zeros(len(names))
-    for r in restart.filter("username = 'u'").collect():
-        start[names.index(r["node"])] = r["mass"]
-    now = start
-    for _ in range(12):
-        now = 0.15 * start + 0.85 * (p @ now + now[p.sum(0) == 0].sum() * start)
-    assert all(mass.get(("u", n), 0.0) == pytest.approx(now[i]) for i, n in enumerate(names))
+        p[nodes.index(r["dst"]), nodes.index(r["src"])] = r["p"]
+    for user in "uw":
+        start = np.zeros(len(nodes))
+        for r in restart.filter(F.col("username") == user).collect():
+            start[nodes.index(r["node"])] = r["mass"]
+        now = start
+        for _ in range(400):
+            now = 0.15 * start + 0.85 * (p @ now + now[p.sum(0) == 0].sum() * start)
+        assert sum(now) == pytest.approx(1.0)
+        assert all(mass.get((user, n), 0.0) == pytest.approx(now[i], abs=1e-8) for i, n in enumerate(nodes))
+        seen_films = {r["slug"] for r in inter.collect() if r["username"] == user}
+        best = sorted((-now[nodes.index(f"film:f{i}")], f"f{i}") for i in range(8) if f"f{i}" not in seen_films and now[nodes.index(f"film:f{i}")] > 0)[:3]
+        recs = G.recommend_graph(step, restart, inter, films, 3, iterations=200, tolerance=1e-10, most_edges=most_edges).filter(F.col("username") == user).orderBy("rank").collect()
+        assert [(r["slug"], pytest.approx(r["score"], abs=1e-8)) for r in recs] == [(s, -m) for m, s in best]
+
+
+def test_paths_equal_a_breadth_first_search(spark):
+    rng = random.Random(4)
+    nodes = [*(f"film:{i}" for i in range(7)), *(f"genre:{i}" for i in range(3)), "user:a"]
+    links = {(a, b): rng.choice(["genre", "liked"]) for a in nodes for b in nodes if a != b and rng.random() < 0.2}
+    edges = spark.createDataFrame([(a, b, t, 1.0) for (a, b), t in links.items()], "src string, dst string, edge_type string, weight double")
+    pairs = [(u, str(i), str(j)) for u in "xy" for i in range(3) for j in range(3, 7) if rng.random() < 0.7] + [("x", "5", "5")]
+    got = {(r["username"], r["slug"]): list(r["paths"]) for r in G.explain_paths(edges, spark.createDataFrame(pairs, "username string, liked string, slug string"), 4, 3).collect()}
+    want = {}
+    for u, i, j in pairs:
+        front = [[f"film:{i}"]] if i != j else []
+        for length in range(1, 5):
+            front = [[*p, b] for p in front for b in nodes if (p[-1], b) in links and b not in p and p[-1] != f"film:{j}"]
+            for p in front:
+                if p[-1] == f"film:{j}":
+                    text = p[0] + "".join(f" -({links[a, b]})-> {b}" for a, b in zip(p, p[1:]))
+                    want.setdefault((u, j), []).append((length, text))
+    assert got == {k: [t for _, t in sorted(v)[:3]] for k, v in want.items()}
+
+
+def test_surprises_stand_at_every_fifth_place(spark):
+    n_films = 120
+    ranked = [("u", i + 1, f"f{i:03}", 100.0 - i) for i in range(n_films)] + [("short", i + 1, f"f{i:03}", 9.0 - i) for i in range(4)]
+    films = spark.createDataFrame([(f"f{i:03}", "t", 1990, 4.0 if i % 2 else 3.0, 10) for i in range(n_films)], FILMS)
+    attrs = spark.createDataFrame([x for i in range(n_films) for x in attr(f"f{i:03}", genre=["known"] if i % 7 else ["new", "other"], country="home")], ATTRS)
+    profile = spark.createDataFrame([("u", "genre", "known", 1.0, 40), ("u", "country", "home", 1.0, 40), ("u", "decade", "1990", 1.0, 40)], "username string, attr_type string, attr_value string, score double, n long")
+    df = spark.createDataFrame(ranked, "username string, rank int, slug string, score double")
+    out = R.inject_serendipity(df, profile, attrs, films, 20).orderBy("username", "rank").collect()
+    mine = [(r["slug"], r["discovery"]) for r in out if r["username"] == "u"]
+    picks = [f"f{i:03}" for i in range(50, 96) if i % 2 and i % 7 == 0][:3]  # well rated, with two new genres, from the middle ranks
+    core = [f"f{i:03}" for i in range(17)]
+    want = list(core)
+    for i, p in enumerate(picks):
+        want.insert(min((i + 1) * 5, len(want)), p)
+    assert [s for s, _ in mine] == want and [s for s, d in mine if d] == picks
+    assert [r["slug"] for r in out if r["username"] == "short"] == [f"f{i:03}" for i in range(4)]
+
+
+def test_svd_ranking_equals_a_dense_decomposition(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(f"u{i}", f"f{j}", float(rng.integers(1, 6))) for i in range(9) for j in range(12) if rng.random() < 0.6]
+    matrix = spark.createDataFrame(rows, "username string, slug string, value double")
+    users, items, bias = *Q.fit_svd(matrix, 3), Q.bias_model(matrix)
+    seen_ = spark.createDataFrame([seen(u, f) for u, f, _ in rows], INTER)
+    got = {}
+    for r in Q.recommend_svd(bias, users, items, seen_, n=4).orderBy("username", "rank").collect():
+        got.setdefault(r["username"], []).append((r["slug"], r["score"]))
+    mu = np.mean([v for *_, v in rows])
+    mean = lambda k, name: np.mean([r[2] for r in rows if r[k] == name]) - mu
+    us, fs = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
+    bu, bi = np.array([mean(0, u) for u in us]), np.array([mean(1, f) for f in fs])
+    c = np.zeros((len(us), len(fs)))
+    for u, f, v in rows:
+        c[us.index(u), fs.index(f)] = v - mu - bu[us.index(u)] - bi[fs.index(f)]
+    a, d, b = np.linalg.svd(c)
+    score = mu + bu[:, None] + bi[None] + a[:, :3] @ np.diag(d[:3]) @ b[:3]
+    known = {(u, f) for u, f, _ in rows}
+    for i, u in enumerate(us):
+        best = sorted((-score[i, j], f) for j, f in enumerate(fs) if (u, f) not in known)[:4]
+        assert [(f, pytest.approx(s, abs=1e-6)) for f, s in got[u]] == [(f, -s) for s, f in best]
+    only = spark.createDataFrame([("f1",), ("f2",)], "slug string")
+    assert {r["slug"] for r in Q.recommend_svd(bias, users, items, seen_, only, 4).collect()} <= {"f1", "f2"}
+    print_ = Q.model_fingerprint(matrix, factors=3)
+    assert Q.same_model(print_, print_) and not Q.same_model(print_, Q.model_fingerprint(matrix, factors=4))
+
+
+def test_budgets_seeds_and_presets(spark):
+    edges = spark.createDataFrame([("a", "b", "genre", 1.0), ("a", "c", "genre", 3.0), ("a", "d", "director", 5.0)], "src string, dst string, edge_type string, weight double")
+    p = {r["dst"]: r["p"] for r in G.transition(edges, budgets=True).collect()}
+    assert p == {"b": pytest.approx(1.5 / 4.5 / 4), "c": pytest.approx(1.5 / 4.5 * 3 / 4), "d": pytest.approx(3.0 / 4.5)}
+    assert G.relation_weights("social")["follows"] == 1.2 and G.relation_weights("balanced", '{"genre": 2}') == {"genre": 2.0} and G.relation_weights("x", "{bad") == G.RELATION
+    with pytest.raises(ValueError):
+        G.relation_weights("balanced", '{"genre": 0}')
+    inter = spark.createDataFrame([seen("u", "a", liked=True)], INTER)
+    films = spark.createDataFrame([(s, s, 2000, 3.0, 1) for s in "ab"], FILMS)
+    seeds = spark.createDataFrame([("u", "b"), ("new", "a"), ("none", "zz")], "username string, slug string")
+    got = {(r["username"], r["node"]): r["mass"] for r in G.restart_distribution(inter, films, seeds).collect()}
+    assert got[("u", "film:b")] == pytest.approx(0.8 * 0.8 / 1.5) and got[("new", "film:a")] == pytest.approx(0.8) and got[("none", "user:none")] == 1.0
+
+
+def test_cold_users_get_likeness_and_rules_plug_in(spark):
+    inter = spark.createDataFrame([seen("cold", "a"), seen("cold", "b", watched=False, watchlisted=True), seen("warm", "a", 4.0), seen("warm", "b", watched=False, watchlisted=True)], INTER)
+    films = spark.createDataFrame([(s, s, 2000, 3.0, 100) for s in "ab"], FILMS)
+    attrs = spark.createDataFrame([x for s in "ab" for x in attr(s, genre="drama", director="D")], ATTRS)
+    assert [r[0] for r in S.cold_users(inter).collect()] == ["cold"]
+    cold = spark.createDataFrame([("cold", "b", 0.5), ("warm", "b", 9.0)], "username string, slug string, score double")
+    users = spark.createDataFrame([("warm", "genre", "drama", 1.0)], "username string, kind string, value string, x double")
+    stats = spark.createDataFrame([("warm", 4.0)], "username string, weighted_mean double")
+    vectors, none = S.film_vectors(attrs), S.negative_profile(inter, attrs)
+    got = {r["username"]: r["score"] for r in S.triage_watchlist(inter, users, vectors, films, stats, none, attrs, 5, cold).collect()}
+    assert got == {"cold": 0.5, "warm": pytest.approx(1.4)}
+    rules = (*S.RULES, lambda rows: F.when(F.col("slug") == "b", 7.0).otherwise(0.0))
+    scored = S.score_pairs(inter.filter("watchlisted"), users, vectors, films, stats, rules)
+    assert {r["username"]: r["score"] for r in scored.collect()} == {"cold": pytest.approx(7.4), "warm": pytest.approx(8.4)}
+    hybrid = N.recommend_hybrid(cold, cold.limit(0), inter, 5, wc=0.25)
+    assert {r["username"]: r["score"] for r in hybrid.collect()} == {"cold": 0.0, "warm": 0.0}
 
 
 def test_diversify_caps_directors(spark):

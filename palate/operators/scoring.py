@@ -230,6 +230,7 @@ def block_penalties(u: pd.DataFrame, f: pd.DataFrame) -> tuple[np.ndarray, np.nd
 
 def recommend_metadata(
     inter: DataFrame, users: DataFrame, films: DataFrame, catalogue: DataFrame, stats: DataFrame, negatives: DataFrame, n: int = 10, hard: bool = False,
+    users_at_once: int = 256, films_at_once: int = 4096,
 ) -> DataFrame:
     """(username, rank, slug, score): for each user the n best films that the user has no record of.
 
@@ -244,7 +245,7 @@ def recommend_metadata(
         left = np.where(total > 0, total - by_director - by_genre, 0.0)
         return np.where((left > 0) & ~(hard & (by_director > 0)), left, -np.inf)
 
-    found = best_unseen(people, items, n, score)
+    found = best_unseen(people, items, n, score, users_at_once, films_at_once)
     return top_n(found.withColumn("score", F.round("score", 9)), n).select("username", "rank", "slug", "score")
 
 

@@ -19,12 +19,23 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def by_size(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many bytes each, or of one row."""
+    for batch in batches:
+        if batch.nbytes <= size or batch.num_rows < 2:
+            yield batch
+        else:
+            half = batch.num_rows // 2
+            yield from by_size((batch.slice(0, half), batch.slice(half)), size)
+
+
 def map_texts(
-    df: DataFrame, schema: str, work: Callable[[list[list]], list[tuple]], rows: int = 256, setup: Callable | None = None
+    df: DataFrame, schema: str, work: Callable[[list[list]], list[tuple]], rows: int = 256, setup: Callable | None = None, size: int | None = None
 ) -> DataFrame:
     """For each slice of an Arrow batch, work() gets the columns as lists and returns result rows as tuples, in the schema's order.
 
-    setup() runs once in a task and gives the state that work gets as its second argument."""
+    setup() runs once in a task and gives the state that work gets as its second argument. size: slices hold so many bytes
+    at most, or one row."""
     from pyspark.sql.types import _parse_datatype_string
 
     kind = _parse_datatype_string(schema)
@@ -34,7 +45,8 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
-        for batch in slices(batches, rows):
+        cut = slices(batches, rows)
+        for batch in by_size(cut, size) if size else cut:
             columns = [c.to_pylist() for c in batch.columns]
             out = work(columns, state) if setup else work(columns)
             if out:

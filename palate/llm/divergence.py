@@ -149,7 +149,7 @@ def gap_column(p: str, q: str) -> Column:
     return F.expr(f"({p} - {q}) * ({p} - {q}) div ({p} + {q})")
 
 
-def meetings(kept: DataFrame, groups: DataFrame, rows_at_once: int = 100_000, sources_at_once: int = 64) -> DataFrame:
+def meetings(kept: DataFrame, groups: DataFrame, rows_at_once: int = 20_000, sources_at_once: int = 64) -> DataFrame:
     """(lang, a, b, more): what pairs of sources a < b add because both hold a term, over all kept terms.
 
     kept: (lang, source, term, p, p0), p0 a source's share of a term that it lacks; groups: (lang, source, rows of kept). A language's terms are dealt over

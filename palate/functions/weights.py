@@ -28,8 +28,10 @@ def interaction_weight() -> Column:
 
 
 def z_weight(mean: Column, deviation: Column) -> Column:
-    """By the rating's distance from the user's mean; the absolute weight where the user always rates alike."""
-    z = F.try_divide(F.col("rating") - mean, deviation)
+    """By the rating's distance from the user's mean; the absolute weight where the user always rates alike.
+
+    The distance is rounded to 9 digits: one that is just a step mustn't fall to either side by the order of sums."""
+    z = F.round(F.try_divide(F.col("rating") - mean, deviation), 9)
     return F.when(F.col("rating").isNull() | deviation.isNull() | (deviation == 0), interaction_weight()).otherwise(_steps(z, Z_STEPS, LOWEST_RATING_WEIGHT))
 
 

@@ -173,8 +173,10 @@ def item_recommend(sim: DataFrame, anchors: DataFrame, inter: DataFrame, k: int
 # ---- fusion ----
 
 
-def fuse_normalized(meta: DataFrame, collab: DataFrame, wm: float = 0.6, wc: float = 0.4, both_bonus: float = 0.1) -> DataFrame:
-    """(username, slug, score): both scores scaled to 0..1 for each user and weighed; a film in both gets a bonus."""
+def fuse_normalized(meta: DataFrame, collab: DataFrame, wm: float = 0.6, wc: float = 0.4, both_bonus: float = 0.1, own: DataFrame | None = None) -> DataFrame:
+    """(username, slug, score): both scores scaled to 0..1 for each user and weighed; a film in both gets a bonus.
+
+    own: (username, wm, wc), where given, has weights of their own for some users."""
 
     def scaled(df: DataFrame, name: str) -> DataFrame:
         w = Window.partitionBy("username")
@@ -182,20 +184,33 @@ def fuse_normalized(meta: DataFrame, collab: DataFrame, wm: float = 0.6, wc: flo
         return df.select("username", "slug", ((F.col("score") - low) / F.when(high == low, 1.0).otherwise(high - low)).alias(name))
 
     joined = scaled(meta, "m").join(scaled(collab, "c"), ["username", "slug"], "full")
+    if own is not None:
+        joined = joined.join(own, "username", "left")
+    weigh = lambda name, w: F.coalesce(name, F.lit(w)) if own is not None else F.lit(w)
     bonus = F.when(F.col("m").isNotNull() & F.col("c").isNotNull(), both_bonus).otherwise(0.0)
-    return joined.select("username", "slug", F.round(wm * F.coalesce("m", F.lit(0.0)) + wc * F.coalesce("c", F.lit(0.0)) + bonus, 9).alias("score"))
+    score = weigh("wm", wm) * F.coalesce("m", F.lit(0.0)) + weigh("wc", wc) * F.coalesce("c", F.lit(0.0)) + bonus
+    return joined.select("username", "slug", F.round(score, 9).alias("score"))
+
+
+def hybrid_weights(inter: DataFrame) -> DataFrame:
+    """(username, wm, wc): metadata weighs 0.7 for users with under 20 ratings, and for all where there are under 10 users; else 0.6."""
+    counts = inter.groupBy("username").agg(F.count(F.when(F.col("rating") != 0, 1)).alias("n"))
+    users = F.broadcast(counts.agg((F.count("*") < 10).alias("few")))  # one row
+    wm = F.when(F.col("few") | (F.col("n") < 20), 0.7).otherwise(0.6)
+    return counts.crossJoin(users).select("username", wm.alias("wm"), F.round(1 - wm, 1).alias("wc"))
 
 
 def recommend_hybrid(
     meta: DataFrame, collab: DataFrame, inter: DataFrame, n: int = 10, wm: float | None = None, wc: float | None = None, attrs: DataFrame | None = None, most: int = 2,
 ) -> DataFrame:
-    """(username, rank, slug, score): with few users or ratings, metadata weighs 0.7, else 0.6, unless weights are given; one
-    given weight makes the other what is missing to 1. attrs, where given, let no director have more than `most` films."""
-    if wm is None and wc is None:
-        size = inter.agg(F.countDistinct("username").alias("u"), F.count("rating").alias("r")).first()
-        wm = 0.7 if size["u"] < 10 or size["r"] < 20 else 0.6
-    wm, wc = (1 - wc if wm is None else wm), (1 - wm if wc is None else wc)
-    fused = fuse_normalized(meta, collab, wm, wc)
+    """(username, rank, slug, score) from the 2n best of either side. Without weights each user's own are taken, see
+    hybrid_weights(); one given weight makes the other what is missing to 1, or zero. attrs, where given, let no director
+    have more than `most` films."""
+    own = hybrid_weights(inter) if wm is None and wc is None else None
+    if own is None:
+        wm, wc = (max(0.0, 1 - wc) if wm is None else wm), (max(0.0, 1 - wm) if wc is None else wc)
+    best = lambda df: top_n(df.select("username", "slug", "score"), 2 * n).drop("rank")
+    fused = fuse_normalized(best(meta), best(collab), *(() if own is not None else (wm, wc)), own=own)
     if attrs is None:
         return top_n(fused, n).select("username", "rank", "slug", "score")
     whole = fused.withColumn("rank", F.row_number().over(Window.partitionBy("username").orderBy(F.desc("score"), "slug")))

@@ -15,8 +15,10 @@ EXPONENT, ACTOR_EXPONENT = 0.5, 0.3
 
 
 def rating_stats(inter: DataFrame) -> DataFrame:
+    """(username, mean, deviation, n_ratings). Rounded to 9 digits, so that no order of sums shows."""
     rated = inter.filter("rating is not null").groupBy("username")
-    return rated.agg(F.avg("rating").alias("mean"), F.stddev_pop("rating").alias("deviation"), F.count("*").alias("n_ratings"))
+    mean, deviation = F.round(F.avg("rating"), 9), F.round(F.stddev_pop("rating"), 9)
+    return rated.agg(mean.alias("mean"), deviation.alias("deviation"), F.count("*").alias("n_ratings"))
 
 
 def with_base_weight(inter: DataFrame, mode: str = "absolute") -> DataFrame:

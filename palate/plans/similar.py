@@ -110,7 +110,31 @@ def _(v: Views):
     return N.fuse_normalized(recommended(v), N.recommend_collaborative(v.interactions_dense, v.films)).select("username", "slug", *r4("score"))
 
 
-@query("recommend_hybrid", FUSED, """select username, rank, slug, round(score, 4) as score from (
-  select *, row_number() over (partition by username order by score desc, slug) as rank from fused) where rank <= 10""", stored=True)
+PARTS["recs20"] = PARTS["recs"].replace("rank <= 10", "rank <= 20")
+PARTS["hweights"] = """select username, case when count(*) filter (rating <> 0) < 20 or (select count(distinct username) from interactions_dense) < 10 then 0.7 else 0.6 end as wm
+  from interactions_dense group by username"""
+PARTS["hybrid"] = """select *, row_number() over (partition by username order by score desc, slug) as rank from (
+  select username, slug, round(coalesce(wm, 0.6) * coalesce(m, 0) + (1 - coalesce(wm, 0.6)) * coalesce(c, 0) + case when m is not null and c is not null then 0.1 else 0 end, 9) as score from
+  (select username, slug, (score - min(score) over w) / (case when max(score) over w = min(score) over w then 1 else max(score) over w - min(score) over w end) as m from recs20 window w as (partition by username))
+  full join (select username, slug, (score - min(score) over w) / (case when max(score) over w = min(score) over w then 1 else max(score) over w - min(score) over w end) as c from collab window w as (partition by username))
+  using (username, slug) left join hweights using (username))"""
+HYBRID = SCORES + "all_scores falls recs20 " + DENSE + "neigh asym chosen isim collab hweights hybrid"
+
+
+@query("recommend_hybrid", HYBRID, "select username, rank, slug, round(score, 4) as score from hybrid where rank <= 10", stored=True)
+def _(v: Views):
+    collab = N.recommend_collaborative(v.interactions_dense, v.films)
+    return N.recommend_hybrid(recommended(v, 20), collab, v.interactions_dense).select("username", "rank", "slug", *r4("score"))
+
+
+@query("recommend_hybrid_diverse", HYBRID, """, dirs as (select slug, list(distinct attr_value) as ds from film_attrs where attr_type = 'director' group by slug),
+ rec as (with recursive walk(username, rank, slug, kept, used, taken) as (
+   select distinct username, 0::bigint, ''::varchar, 0::bigint, []::varchar[], false from hybrid
+   union all select w.username, r.rank, r.slug, w.kept + t::bigint, case when t then list_concat(w.used, coalesce(ds, [])) else w.used end, t
+   from walk w join (select r.username, r.rank, r.slug, ds from hybrid r left join dirs using (slug)) r on r.username = w.username and r.rank = w.rank + 1,
+   lateral (select w.kept < 10 and (ds is null or len(list_filter(ds, lambda d: len(list_filter(w.used, lambda x: x = d)) >= 1)) = 0) as t) where w.kept < 10) select * from walk)
+select r.username, kept as rank, r.slug, round(score, 4) as score from rec r join hybrid h on h.username = r.username and h.slug = r.slug where taken""", stored=True)
 def _(v: Views):
-    return N.recommend_hybrid(recommended(v), N.recommend_collaborative(v.interactions_dense, v.films), v.interactions_dense).select("username", "rank", "slug", *r4("score"))
+    """The same with at most one film of each director."""
+    collab = N.recommend_collaborative(v.interactions_dense, v.films)
+    return N.recommend_hybrid(recommended(v, 20), collab, v.interactions_dense, attrs=v.film_attrs, most=1).select("username", "rank", "slug", *r4("score"))

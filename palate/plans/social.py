@@ -280,7 +280,7 @@ def _(v: Views):
    when 'user_bridge' then 0.4 when 'director' then 1.2 when 'cinematographer' then 0.9 when 'composer' then 0.8 when 'genre' then 0.8 when 'theme' then 0.6 when 'country' then 0.7 when 'language' then 0.5
    when 'actor' then 0.5 when 'decade' then 0.3 when 'similar_to' then 0.6 when 'follows' then 0.4 else 1 end) as w from edges),
  t as (select src, edge_type, sum(w) as s, case edge_type when 'director' then 3.0 when 'writer' then 2.5 when 'cinematographer' then 1.8 when 'composer' then 1.5 when 'genre' then 1.5 when 'theme' then 1.2
-   when 'country' then 1.2 when 'language' then 0.8 when 'actor' then 0.7 else 1 end as b from w group by all), u as (select *, sum(b) over (partition by src) as bs from t)
+   when 'country' then 1.2 when 'language' then 0.8 when 'actor' then 0.7 when 'decade' then 0.4 else 1 end as b from w group by all), u as (select *, sum(b) over (partition by src) as bs from t)
 select src, dst, round(sum(w * b / bs / case when s = 0 then 1 else s end), 6) as p from w join u using (src, edge_type) group by src, dst""", stored=True)
 def _(v: Views):
     return G.transition(edges_of(v), budgets=True).select("src", "dst", F.round("p", 6).alias("p"))

@@ -14,10 +14,10 @@ BASE = """case when rating >= 4.5 then 2.0 when rating >= 3.5 then 1.0 when rati
   when rating is not null then -1.5 when liked then 1.5 when watched then 0.4 when watchlisted then 0.2 else 0.0 end::double"""
 AGE = f"""case when scraped_at is null or date_sub('day', scraped_at, timestamp '{ASOF}') <= 0 then 1.0
   else greatest(pow(2.0, -date_sub('day', scraped_at, timestamp '{ASOF}') / 730.0), 0.1) end"""
-Z = """case when rating is null or dev is null or dev = 0 then {base} when (rating - mean) / dev >= 1.5 then 2.0 when (rating - mean) / dev >= 0.5 then 1.0
-  when (rating - mean) / dev >= -0.5 then 0.3 when (rating - mean) / dev >= -1.5 then -0.5 else -1.5 end::double""".format(base=BASE)
+Z = """case when rating is null or dev is null or dev = 0 then {base} when round((rating - mean) / dev, 9) >= 1.5 then 2.0 when round((rating - mean) / dev, 9) >= 0.5 then 1.0
+  when round((rating - mean) / dev, 9) >= -0.5 then 0.3 when round((rating - mean) / dev, 9) >= -1.5 then -0.5 else -1.5 end::double""".format(base=BASE)
 
-PARTS["stats"] = "select username, avg(rating) as mean, stddev_pop(rating) as dev, count(*) as n from interactions where rating is not null group by all"
+PARTS["stats"] = "select username, round(avg(rating), 9) as mean, round(stddev_pop(rating), 9) as dev, count(*) as n from interactions where rating is not null group by all"
 PARTS["mult"] = """select username, film_slug as slug, max(case when is_favorites then 3.0 when is_ranked and position <= 10 then 2.0
   when is_ranked and position <= 30 then 1.5 when is_ranked then 1.2 else 1.3 end)::double as multiplier from user_lists group by all"""
 PARTS["weights"] = f"""select * from (select username, slug, rating, liked, scraped_at, age, base * age * coalesce(multiplier, 1.0) as w
@@ -264,7 +264,17 @@ def _(v: Views):
     return C.social_stats(v.user_follows)
 
 
-@query("users_without_social", "user_follows", "select distinct 'e' || user_id as username from events where 'e' || user_id not in (select replace(follower, 'u', 'e') from user_follows where follower < 'u5')")
+PARTS["near_follows"] = """select follower, followee from user_follows join customer a on follower = 'u' || a.c_custkey join customer b on followee = 'u' || b.c_custkey
+  where a.c_nationkey = b.c_nationkey"""
+
+
+@query("users_without_social", "interactions user_follows near_follows", """select distinct username from interactions
+  where username not in (select follower from near_follows) and username not in (select followee from near_follows)""")
 def _(v: Views):
-    few = v.user_follows.filter("follower < 'u5'").select(*[F.replace("follower", F.lit("u"), F.lit("e")).alias(c) for c in ("follower", "followee")])
-    return C.users_without_social(v.discovered.select("username"), few)
+    """Users with records but without a follow edge, either way, in their own nation."""
+    nation = v.customer.select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("name"), "c_nationkey")
+    near = v.user_follows
+    for end in ("follower", "followee"):
+        near = near.join(nation.select(F.col("name").alias(end), F.col("c_nationkey").alias(f"nation_{end}")), end)
+    near = near.filter("nation_follower = nation_followee").select("follower", "followee")
+    return C.users_without_social(v.interactions, near)

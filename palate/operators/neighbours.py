@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palate.operators.pairs import POSTINGS, best_in_rows, meet, ordered_entries
 from palate.operators.scoring import diversify, top_n
 from palate.sources.shared import forget, shared_table
 
@@ -63,7 +66,7 @@ def centered_ratings(inter: DataFrame) -> DataFrame:
 
 
 def rated_pairs(inter: DataFrame) -> DataFrame:
-    """(username, other, overlap, cosine, agreement) for users with a rated film in common."""
+    """(username, other, overlap, cosine, agreement) for users with a rated film in common: all of them, as rows."""
     mine = centered_ratings(inter).select("username", "slug", "rating", "u")
     theirs = mine.select(F.col("username").alias("other"), "slug", F.col("rating").alias("r2"), F.col("u").alias("u2"))
     met = mine.join(theirs, "slug").filter("username < other").groupBy("username", "other").agg(
@@ -72,27 +75,75 @@ def rated_pairs(inter: DataFrame) -> DataFrame:
     return met.unionByName(met.select(F.col("other").alias("username"), F.col("username").alias("other"), "overlap", "cosine", "agreement"))
 
 
+def rated_entries(inter: DataFrame) -> DataFrame:
+    """Centred ratings as entries of an index, with the user's number of ratings and the norm of its share in common films."""
+    c = centered_ratings(inter).select(F.col("username").alias("one"), F.col("slug").alias("what"), "rating", "u")
+    return ordered_entries(c).withColumn("n", F.count("*").over(Window.partitionBy("one")).cast("double"))
+
+
 def least_overlap(inter: DataFrame) -> int:
     """How many films two users must have in common: five, or two where there are under 20 users or 50 films."""
     size = inter.agg(F.countDistinct("username").alias("u"), F.countDistinct("slug").alias("i")).first()
     return 2 if size["u"] < 20 or size["i"] < 50 else 5
 
 
-def user_neighbors(pairs: DataFrame, k: int = 10, min_overlap: int = 5) -> DataFrame:
-    """(username, rank, other, score): the cosine, less for few common films."""
-    n = F.col("overlap")
-    score = F.round(F.col("cosine") * F.least(n / 20.0, F.lit(1.0)) * n / (n + SHRINKAGE), 9)
-    found = pairs.filter(n >= min_overlap).withColumn("score", score).filter("score > 0")
+def confidence(n):
+    """What a cosine over n common films counts: it grows with n, up to 1."""
+    return np.minimum(n / 20.0, 1.0) * n / (n + SHRINKAGE)
+
+
+def user_neighbors(entries: DataFrame, k: int = 10, min_overlap: int = 5, at_once: int = 1024, heavy: int = POSTINGS) -> DataFrame:
+    """(username, rank, other, score): the cosine, less for few common films; the k best with min_overlap or more. Exact.
+
+    entries: rated_entries(). Two users can't have min_overlap films in common without one outside the min_overlap - 1
+    most frequent films of either, so of those each one with over `heavy` ratings stays out of a user's index: what all
+    have rated brings nobody together. For pairs that meet, what the films left out can add is bounded by their number
+    and norm; a pair goes on only if it could reach the k-th lower bound of its user, and those films are then looked up."""
+    out = (F.col("place") < min_overlap) & (F.col("many") > heavy)
+    whole = Window.partitionBy("one")
+    own = entries.withColumn("n_out", F.count_if(out).over(whole).cast("double"))
+    own = own.withColumn("hidden", F.sqrt(F.sum(F.when(out, F.col("u") * F.col("u")).otherwise(0.0)).over(whole)))
+
+    def choose(one: pd.DataFrame, other: pd.DataFrame, sums: list[np.ndarray]) -> tuple:
+        n, dot = sums
+        rest, n_out = one["hidden"].to_numpy()[:, None], one["n_out"].to_numpy()[:, None]
+        most = np.where((n > 0) & (n + n_out >= min_overlap), (dot + rest) * confidence(n + n_out), -np.inf)
+        least = np.where((n >= min_overlap) & (dot > rest), (dot - rest) * confidence(n), 0.0)
+        bar = np.partition(least, max(0, least.shape[1] - k), axis=1)[:, max(0, least.shape[1] - k)]
+        i, j = np.nonzero((most > 0) & (most >= bar[:, None] - 1e-9))
+        return i, j, n[i, j].astype(np.int64), dot[i, j]
+
+    sums = lambda x, y: [x["u"] * y["u"]]
+    met = meet(own, ["u", "hidden", "n_out"], sums, choose, "one string, other string, n long, dot double", ~out, at_once=at_once)
+    if not own.filter(out).isEmpty():
+        met = shared_table(met, "met")
+        left = own.filter(out).select("one", "what", F.col("u").alias("x"))
+        more = met.select("one", "other").join(left, "one").join(own.select(F.col("one").alias("other"), "what", "u"), ["other", "what"])
+        more = more.select("one", "other", F.lit(1).cast("long").alias("n"), (F.col("x") * F.col("u")).alias("dot"))
+        met = met.unionByName(more).groupBy("one", "other").agg(F.sum("n").alias("n"), F.sum("dot").alias("dot"))
+    n = F.col("n")
+    score = F.round(F.col("dot") * F.least(n / 20.0, F.lit(1.0)) * n / (n + SHRINKAGE), 9)
+    found = met.filter(n >= min_overlap).select(F.col("one").alias("username"), "other", score.alias("score")).filter("score > 0")
     return top_n(found, k, "username", "other").select("username", "rank", "other", "score")
 
 
-def asymmetric_neighbors(pairs: DataFrame, inter: DataFrame, k: int = 10) -> DataFrame:
-    """(username, role, rank, other, score): users who rate more are influencers, the others followers."""
-    counts = inter.filter("rating is not null").groupBy("username").agg(F.count("*").alias("n"))
-    rows = pairs.join(counts.withColumnRenamed("n", "n1"), "username").join(counts.select(F.col("username").alias("other"), F.col("n").alias("n2")), "other")
-    ratio = F.col("n2") / F.col("n1")
-    weight = F.when(ratio > 1, F.least(ratio, F.lit(2.0))).otherwise(F.least(1 / F.greatest(ratio, F.lit(0.1)), F.lit(2.0)))
-    rows = rows.withColumn("role", F.when(ratio > 1, "influencer").otherwise("follower")).withColumn("score", F.round(F.col("agreement") * weight * F.col("overlap") / 20, 9))
+def asymmetric_neighbors(entries: DataFrame, k: int = 10, at_once: int = 1024) -> DataFrame:
+    """(username, role, rank, other, score): users who rate more are influencers, the others followers.
+
+    entries: rated_entries(). The score is a sum over common films, so a task's k best of each role are enough."""
+
+    def choose(one: pd.DataFrame, other: pd.DataFrame, sums: list[np.ndarray]) -> tuple:
+        n, agreed = sums
+        ratio = other["n"].to_numpy()[None, :] / one["n"].to_numpy()[:, None]
+        leads = ratio > 1
+        weight = np.where(leads, np.minimum(ratio, 2.0), np.minimum(1 / np.maximum(ratio, 0.1), 2.0))
+        score = np.round(agreed * weight / 20, 9)
+        i, j = (np.concatenate(p) for p in zip(*(best_in_rows(np.where((n > 0) & (leads == role), score, -np.inf), k) for role in (True, False))))
+        return i, j, leads[i, j], score[i, j]
+
+    sums = lambda x, y: [1 - np.abs(x["rating"] - y["rating"]) / 4.5]
+    rows = meet(entries, ["rating", "n"], sums, choose, "username string, other string, leads boolean, score double", at_once=at_once)
+    rows = rows.select("username", F.when(F.col("leads"), "influencer").otherwise("follower").alias("role"), "other", "score")
     w = Window.partitionBy("username", "role").orderBy(F.desc("score"), "other")
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("username", "role", "rank", "other", "score")
 
@@ -102,10 +153,10 @@ def popularity_debias(count: Column) -> Column:
     return F.when(count > 0, factor).otherwise(1.0)
 
 
-def chosen_neighbours(pairs: DataFrame, inter: DataFrame, k: int, min_overlap: int = 5) -> DataFrame:
+def chosen_neighbours(entries: DataFrame, k: int, min_overlap: int = 5) -> DataFrame:
     """(username, other, sim): the k best of similar users and influencers."""
-    near = user_neighbors(pairs, k, min_overlap).select("username", "other", "score")
-    lead = asymmetric_neighbors(pairs, inter, k).filter("role = 'influencer'").select("username", "other", "score")
+    near = user_neighbors(entries, k, min_overlap).select("username", "other", "score")
+    lead = asymmetric_neighbors(entries, k).filter("role = 'influencer'").select("username", "other", "score")
     both = near.unionByName(lead).groupBy("username", "other").agg(F.max("score").alias("score"))
     return top_n(both, k, "username", "other").select("username", "other", F.col("score").alias("sim"))
 
@@ -121,12 +172,12 @@ def recommend_collaborative(inter: DataFrame, films: DataFrame, n: int = 20, min
     """(username, rank, slug, score): what neighbours rate and like, of films that the user has no record of; where
     there are fewer than min_neighbors, films similar to the user's own favourites as well.
 
-    Pairs of users, which three plans read, are a shared table; similar films are looked for only from the favourites
+    Entries, which three plans read, are a shared table; similar films are looked for only from the favourites
     of users with few neighbours, if there are any."""
     k = max(10, 2 * min_neighbors)
-    pairs = shared_table(rated_pairs(inter), "user_pairs")
-    chosen = shared_table(chosen_neighbours(pairs, inter, k, min_overlap), "chosen")
-    forget(pairs)
+    entries = shared_table(rated_entries(inter), "entries")
+    chosen = shared_table(chosen_neighbours(entries, k, min_overlap), "chosen")
+    forget(entries)
     votes = chosen.join(votes_of(inter), "other").groupBy("username", "slug").agg(F.sum(F.col("said") * F.col("sim")).alias("score"))
     votes = votes.join(films.select("slug", "rating_count"), "slug", "left")
     scores = votes.select("username", "slug", (F.col("score") * popularity_debias(F.col("rating_count"))).alias("score"))
@@ -144,23 +195,28 @@ def recommend_collaborative(inter: DataFrame, films: DataFrame, n: int = 20, min
 # ---- items ----
 
 
-def item_similarity(inter: DataFrame, k: int = 50, max_items: int | None = None, only: DataFrame | None = None) -> DataFrame:
+def item_similarity(inter: DataFrame, k: int = 50, max_items: int | None = None, only: DataFrame | None = None, at_once: int = 1024) -> DataFrame:
     """(slug, other, sim): adjusted cosine over common users only, two at least, above 0.3, the k best.
 
-    max_items, where given, keeps that many films with most ratings; only, where given, holds the slugs that are asked for."""
+    max_items, where given, keeps that many films with most ratings; only, where given, holds the slugs that are asked for.
+    A user with very many ratings makes no pair a row: see meet()."""
     c = centered_ratings(inter).filter("rating <> 0").select("username", "slug", "c")
     many = c.groupBy("slug").agg(F.count("*").alias("n")).filter("n >= 2")
     if max_items is not None:
         many = many.orderBy(F.desc("n"), "slug").limit(max_items)
-    c = c.join(many.select("slug"), "slug", "left_semi")
-    other = c.select("username", F.col("slug").alias("other"), F.col("c").alias("c2"))
-    mine = c if only is None else c.join(only, "slug", "left_semi")
-    met = mine.join(other, "username").filter("slug < other" if only is None else "slug <> other").groupBy("slug", "other").agg(
-        F.count("*").alias("n"), F.sum(F.col("c") * F.col("c2")).alias("d"), F.sum(F.col("c") * F.col("c")).alias("a"), F.sum(F.col("c2") * F.col("c2")).alias("b")
-    )
-    sim = met.filter("n >= 2 and a > 0 and b > 0").select("slug", "other", F.round(F.col("d") / (F.sqrt("a") * F.sqrt("b")), 9).alias("score")).filter("score > 0.3")
-    both = sim.unionByName(sim.select(F.col("other").alias("slug"), F.col("slug").alias("other"), "score")) if only is None else sim
-    return top_n(both, k, "slug", "other").select("slug", "other", F.col("score").alias("sim"))
+    c = c.join(many.select("slug"), "slug", "left_semi").select(F.col("slug").alias("one"), F.col("username").alias("what"), "c")
+
+    def choose(one: pd.DataFrame, other: pd.DataFrame, sums: list[np.ndarray]) -> tuple:
+        n, d, a, b = sums
+        fine = (n >= 2) & (a > 0) & (b > 0)
+        score = np.round(d / np.sqrt(np.where(fine, a, 1.0)) / np.sqrt(np.where(fine, b, 1.0)), 9)
+        i, j = best_in_rows(np.where(fine & (score > 0.3), score, -np.inf), k)
+        return i, j, score[i, j]
+
+    sums = lambda x, y: [x["c"] * y["c"], x["c"] * x["c"], y["c"] * y["c"]]
+    asked = only.select(F.col("slug").alias("one")) if only is not None else None
+    found = meet(ordered_entries(c), ["c"], sums, choose, "slug string, other string, score double", asked=asked, at_once=at_once)
+    return top_n(found, k, "slug", "other").select("slug", "other", F.col("score").alias("sim"))
 
 
 def item_recommend(sim: DataFrame, anchors: DataFrame, inter: DataFrame, k: int = 20) -> DataFrame:

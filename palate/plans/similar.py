@@ -66,12 +66,12 @@ def _(v: Views):
 
 @query("user_neighbors", DENSE + "neigh", "select username, rank, other, round(score, 4) as score from neigh", stored=True)
 def _(v: Views):
-    return N.user_neighbors(N.rated_pairs(v.interactions_dense)).select("username", "rank", "other", *r4("score"))
+    return N.user_neighbors(v.once("entries", lambda: N.rated_entries(v.interactions_dense))).select("username", "rank", "other", *r4("score"))
 
 
 @query("asymmetric_neighbors", DENSE + "asym", "select username, role, rank, other, round(score, 4) as score from asym", stored=True)
 def _(v: Views):
-    return N.asymmetric_neighbors(N.rated_pairs(v.interactions_dense), v.interactions_dense).select("username", "role", "rank", "other", *r4("score"))
+    return N.asymmetric_neighbors(v.once("entries", lambda: N.rated_entries(v.interactions_dense))).select("username", "role", "rank", "other", *r4("score"))
 
 
 @query("recommend_collaborative", DENSE + "films neigh asym chosen isim collab", "select username, rank, slug, round(score, 4) as score from collab", stored=True)

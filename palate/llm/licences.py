@@ -212,8 +212,34 @@ def chain(matches: list[tuple[int, int, int, int]], gap: int) -> tuple[int, int,
     return top
 
 
-def template_spans(words: list[bytes], templates: tuple = TEMPLATES, least: int = 3, gap: int = 12) -> list[tuple[int, float, int, int]]:
-    """(template, share covered, first word, end) for each template that has a match of `least` words in the text.
+# What a part of a label is called in texts, where that isn't the part itself.
+PART_NAMES = {"lgpl": {b"lesser"}, "agpl": {b"affero"}, "nc": {b"nc", b"noncommercial"}, "sa": {b"sa", b"sharealike"}}
+
+
+def deciding(label: str) -> list[set[bytes]]:
+    """Words of which a span must hold one each to have the label: its version or number of clauses, and what narrows it."""
+    return [PART_NAMES.get(p, {p.encode()}) for p in label.split("-") if p in PART_NAMES or p.isdigit()]
+
+
+def every_chain(matches: list[tuple[int, int, int, int]], gap: int, enough: float) -> list[tuple[int, int, int]]:
+    """The best chain, and as long as a chain covers `enough` the best of the matches that lie apart from it."""
+    out = []
+    while matches:
+        covered, a, b = chain(matches, gap)
+        if out and covered < enough:
+            break
+        out.append((covered, a, b))
+        if covered < enough:
+            break
+        matches = [m for m in matches if m[1] <= a or m[0] >= b]
+    return out
+
+
+def template_spans(
+    words: list[bytes], templates: tuple = TEMPLATES, least: int = 3, gap: int = 12, share: float = 0.8
+) -> list[tuple[int, float, int, int]]:
+    """(template, share covered, first word, end) for each template that has a match of `least` words in the text: its
+    best place, and all others that are covered to `share`.
 
     A template that doesn't stand there whole and without gap gives way to one that covers more words of the same
     stretch, or as many and more of itself: near names of licenses differ in one word."""
@@ -231,7 +257,7 @@ def template_spans(words: list[bytes], templates: tuple = TEMPLATES, least: int
                     found.setdefault(template, []).append((at + end - n, at + end, place - n, place))
         if run:
             run = []
-    spans = [(template, *chain(sorted(matches), gap)) for template, matches in found.items()]
+    spans = [(t, *c) for t, matches in found.items() for c in every_chain(sorted(matches), gap, share * lengths[t])]
     shares = [(t, c, c / lengths[t], a, b) for t, c, a, b in spans]
     better = lambda c, share, a, b: any((x, y) > (c, share) and f <= a and b <= e for _, x, y, f, e in shares)
     return sorted((t, share, a, b) for t, c, share, a, b in shares if share == 1 and b - a == c or not better(c, share, a, b))
@@ -253,18 +279,26 @@ def scan(text: str | None, share: float = 0.8, templates: tuple = TEMPLATES) ->
                 base.add(label)
                 at = joined.find(needle, at + 1)
     labels = [label for label, _ in templates]
-    spans = template_spans(words, templates)
+    spans = template_spans(words, templates, share=share)
+    spans = [(t, covered, a, b) for t, covered, a, b in spans if all(not some.isdisjoint(words[a:b]) for some in deciding(labels[t]))]
     every = base | {labels[t] for t, covered, _, _ in spans if covered >= share}
     score = max([1.0 if base else 0.0, *(min(1.0, covered) for _, covered, _, _ in spans)])
-    said = ",".join(f"{labels[t]}:{a}:{b}" for t, covered, a, b in spans if covered >= share)
+    merged: list[tuple[str, int, int]] = []
+    for label, a, b in sorted((labels[t], a, b) for t, covered, a, b in spans if covered >= share):
+        if merged and merged[-1][0] == label and a < merged[-1][2]:
+            merged[-1] = (label, merged[-1][1], max(b, merged[-1][2]))
+        else:
+            merged.append((label, a, b))
+    said = ",".join(f"{label}:{a}:{b}" for label, a, b in sorted(merged, key=lambda s: (s[1], s[0], s[2])))
     return (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(every)), score, said)
 
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: tuple = TEMPLATES) -> DataFrame:
     """(key, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) for each row of docs.
 
-    spans lists the templates, (label, text) pairs, that are covered to four fifths at least, with their first word and
-    end; ties between a template's chains go to the first. score is the largest share of a template that one chain of
+    spans lists the places of the templates, (label, text) pairs, that are covered to four fifths at least and hold the
+    words that decide their label, with first word and end; overlapping spans of one label are one, and ties between a
+    template's chains go to the first. score is the largest share of a template that one chain of
     matches covers, 1 where a phrase stands. A null text is empty, with score 0; a null key stays; repeated rows give
     repeated results; other columns are not read. No shuffle."""
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string"

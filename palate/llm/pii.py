@@ -90,6 +90,16 @@ _ADDRESS = re.compile(
     rf"(?<=[A-Za-z0-9_%+-])(?P<at>{_AT_SIGN})(?P<domain>[A-Za-z0-9-]{{1,63}}(?:{_DOT_SIGN}[A-Za-z0-9-]{{1,63}}){{1,8}})(?![A-Za-z0-9-])", re.IGNORECASE
 )
 _DOT = re.compile(_DOT_SIGN, re.IGNORECASE)
+# Words of prose, not of addresses, before a plain "at" or in what follows it.
+NO_NAMES = set(
+    "a an the this that these those my your his her its our their me us him them it you he she we they i who which what where when there here "
+    "is are was were be been look looks looked looking meet meets met meeting point points pointed work works worked working arrive arrived arrives "
+    "stay stayed stays live lives lived stop stopped start started begin ends ended end sit sits stand stands stood held hold good bad not and or then so but "
+    "if as of in on to by for from with up down out back home time price cost "
+    "office shop house place school university team staff party show talk event dinner lunch night day morning evening people man woman "
+    "dot point comma product products matrix vector company inc ltd llc corp gmbh".split()
+)
+_LAST_NAME = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOT_OF_NUMBERS = re.compile(rf"(?<=[0-9]){_IN_BRACKETS % r'(?:dot|[.])'}(?=[0-9])", re.IGNORECASE)
 _HINT = re.compile(rf"[\[({{<]\s{{0,3}}(?:at|dot|@|\.)\s{{0,3}}[\])}}>]|\sdot\s|(?<![a-z])plus\s{{1,3}}[0-9]|(?<![a-z])(?:{_NAME})[\s,.-]{{1,3}}(?:{_NAME})(?![a-z])", re.IGNORECASE)
 
@@ -146,11 +156,18 @@ def _whole(chars: str):
 
 
 def _as_address(m: re.Match) -> list:
-    """An at and its dots as signs. A plain ' at ' before a domain with plain dots is prose and stays."""
+    """An at and its dots as signs. A plain ' at ' is prose and stays, with its dots, unless a dot of the domain is
+    worded or bracketed and neither the word before nor a part of the domain is a word of prose."""
     dots = [(m.start("domain") + x.start(), m.start("domain") + x.end()) for x in _DOT.finditer(m["domain"])]
     signs = [(".", a, b) for a, b in dots]
-    if m["at"].strip().lower() != "at" or any(b - a > 1 for a, b in dots):
+    parts = [p.lower() for p in _DOT.split(m["domain"])]
+    before = _LAST_NAME.search(m.string[max(0, m.start() - 64) : m.start()])
+    prose = (before and before[0].lower() in NO_NAMES) or any(p in NO_NAMES for p in parts[:-1])
+    prose = prose or (parts[-1] in NO_NAMES and len(parts[-1]) > 2)  # it, me, in and so on are domains
+    if m["at"].strip().lower() != "at" or (any(b - a > 1 for a, b in dots) and not prose):
         signs.insert(0, ("@", m.start("at"), m.end("at")))
+    elif prose:
+        signs = []
     out, last = [], m.start()
     for c, a, b in [*signs, ("", m.end(), m.end())]:
         out += [(m.string[i], i, i + 1) for i in range(last, a)]

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palate.llm.common import connected_components, forest, in_blocks, map_sorted_groups, map_texts
+from palate.llm.common import connected_components, forest, in_blocks, map_sorted_groups, map_texts, unused
 from palate.sources.shared import shared_table
 
 SHARD = 2048  # fingerprints in a shard's tree at most
@@ -241,15 +241,18 @@ def verify_groups(docs: DataFrame, rough: DataFrame, words: int, similarity: flo
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs, of each similar group only the document with the smallest id (of one id the text of smaller hash), and of
-    rows with one id and text only one.
+    rows with one id and text only one: the first by its other columns, as JSON.
 
     Rows of one id with texts that aren't similar are different documents and stay. A row without id is left alone.
     All columns pass as they are."""
-    groups = similar_groups(docs, **options)
-    gone = groups.filter("not stays").select(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).distinct()
-    own = docs.withColumn("_text_hash", text_hash())
-    left = own.join(gone, (own["doc_id"].cast("long") == gone["_id"]) & (own["_text_hash"] == gone["_version"]), "left_anti")
+    groups = similar_groups(docs.select("doc_id", "text"), **options)
+    id_, version, hash_, place, whole = (unused(c, docs.columns) for c in ("_id", "_version", "_text_hash", "_place", "_row"))
+    gone = groups.filter("not stays").select(F.col("doc_id").alias(id_), F.col("version").alias(version)).distinct()
+    own = docs.withColumn(hash_, text_hash())
+    left = own.join(gone, (own["doc_id"].cast("long") == gone[id_]) & (own[hash_] == gone[version]), "left_anti")
     named = left.filter("doc_id is not null")  # rows without id must not meet in one task
-    once = F.row_number().over(Window.partitionBy("doc_id", "_text_hash").orderBy(F.lit(0)))
-    named = named.withColumn("_place", once).filter("_place = 1").drop("_place")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    named = named.withColumn(whole, F.to_json(F.struct(*others)) if others else F.lit(""))
+    once = F.row_number().over(Window.partitionBy("doc_id", hash_).orderBy(whole))
+    named = named.withColumn(place, once).filter(F.col(place) == 1).drop(place, whole)
     return named.unionByName(left.filter("doc_id is null")).select(*docs.columns)

@@ -236,10 +236,10 @@ def every_chain(matches: list[tuple[int, int, int, int]], gap: int, enough: floa
 
 
 def template_spans(
-    words: list[bytes], templates: tuple = TEMPLATES, least: int = 3, gap: int = 12, share: float = 0.8
+    words: list[bytes], templates: tuple = TEMPLATES, least: int = 3, gap: int = 12, share: float | None = None
 ) -> list[tuple[int, float, int, int]]:
     """(template, share covered, first word, end) for each template that has a match of `least` words in the text: its
-    best place, and all others that are covered to `share`.
+    best place and, where a share is given, all others that are covered to it.
 
     A template that doesn't stand there whole and without gap gives way to one that covers more words of the same
     stretch, or as many and more of itself: near names of licenses differ in one word."""
@@ -257,7 +257,7 @@ def template_spans(
                     found.setdefault(template, []).append((at + end - n, at + end, place - n, place))
         if run:
             run = []
-    spans = [(t, *c) for t, matches in found.items() for c in every_chain(sorted(matches), gap, share * lengths[t])]
+    spans = [(t, *c) for t, matches in found.items() for c in every_chain(sorted(matches), gap, (2 if share is None else share) * lengths[t])]
     shares = [(t, c, c / lengths[t], a, b) for t, c, a, b in spans]
     better = lambda c, share, a, b: any((x, y) > (c, share) and f <= a and b <= e for _, x, y, f, e in shares)
     return sorted((t, share, a, b) for t, c, share, a, b in shares if share == 1 and b - a == c or not better(c, share, a, b))

@@ -22,7 +22,7 @@ _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
 
 
 @lru_cache(2)
-def word_encoder(path: str | None = None, most_words: int = 600_000) -> Callable[[str], bytes]:
+def word_encoder(path: str | None = None, most_words: int = 300_000) -> Callable[[str], bytes]:
     """A function from a text to its ids as little-endian 32-bit numbers, equal to the tokenizer's own.
 
     The tokenizer cuts a text at white space and each word into pieces before anything else, so ids of words and of

@@ -37,11 +37,19 @@ def tfidf_vectors(attrs: DataFrame, min_df: int = 2, max_features: int | None =
     return raw.select("slug", "token", (F.col("x") / norm).alias("w"))
 
 
-def tfidf_rank(vectors: DataFrame, k: int = 10) -> DataFrame:
-    """(slug, rank, other, score): the k films of largest cosine."""
-    other = vectors.select(F.col("slug").alias("other"), "token", F.col("w").alias("v"))
-    met = vectors.join(other, "token").filter("slug <> other").groupBy("slug", "other").agg(F.sum(F.col("w") * F.col("v")).alias("score"))
-    return top_n(met.withColumn("score", F.round("score", 9)), k, "slug", "other").select("slug", "rank", "other", "score")
+def tfidf_rank(vectors: DataFrame, k: int = 10, at_once: int = 1024) -> DataFrame:
+    """(slug, rank, other, score): the k films of largest cosine. Films that share a frequent token are no rows: see meet()."""
+    entries = ordered_entries(vectors.select(F.col("slug").alias("one"), F.col("token").alias("what"), "w"))
+    own = lambda c: c["w"]
+
+    def choose(one: pd.DataFrame, other: pd.DataFrame, sums: list[np.ndarray]) -> tuple:
+        n, dot = sums
+        score = np.round(dot, 9)
+        i, j = best_in_rows(np.where(n > 0, score, -np.inf), k)
+        return i, j, score[i, j]
+
+    found = meet(entries, ["w"], [(own, own)], choose, "slug string, other string, score double", at_once=at_once)
+    return top_n(found, k, "slug", "other").select("slug", "rank", "other", "score")
 
 
 def tfidf_centroid_rank(vectors: DataFrame, anchors: DataFrame, cands: DataFrame, k: int = 10) -> DataFrame:
@@ -113,8 +121,8 @@ def user_neighbors(entries: DataFrame, k: int = 10, min_overlap: int = 5, at_onc
         i, j = np.nonzero((most > 0) & (most >= bar[:, None] - 1e-9))
         return i, j, n[i, j].astype(np.int64), dot[i, j]
 
-    sums = lambda x, y: [x["u"] * y["u"]]
-    met = meet(own, ["u", "hidden", "n_out"], sums, choose, "one string, other string, n long, dot double", ~out, at_once=at_once)
+    share = lambda c: c["u"]
+    met = meet(own, ["u", "hidden", "n_out"], [(share, share)], choose, "one string, other string, n long, dot double", ~out, at_once=at_once)
     if not own.filter(out).isEmpty():
         met = shared_table(met, "met")
         left = own.filter(out).select("one", "what", F.col("u").alias("x"))
@@ -175,7 +183,7 @@ def recommend_collaborative(inter: DataFrame, films: DataFrame, n: int = 20, min
     Entries, which three plans read, are a shared table; similar films are looked for only from the favourites
     of users with few neighbours, if there are any."""
     k = max(10, 2 * min_neighbors)
-    entries = shared_table(rated_entries(inter), "entries")
+    entries = shared_table(rated_entries(inter), "rated")
     chosen = shared_table(chosen_neighbours(entries, k, min_overlap), "chosen")
     forget(entries)
     votes = chosen.join(votes_of(inter), "other").groupBy("username", "slug").agg(F.sum(F.col("said") * F.col("sim")).alias("score"))
@@ -213,7 +221,8 @@ def item_similarity(inter: DataFrame, k: int = 50, max_items: int | None = None,
         i, j = best_in_rows(np.where(fine & (score > 0.3), score, -np.inf), k)
         return i, j, score[i, j]
 
-    sums = lambda x, y: [x["c"] * y["c"], x["c"] * x["c"], y["c"] * y["c"]]
+    plain, square, one_ = (lambda c: c["c"]), (lambda c: c["c"] * c["c"]), (lambda c: np.ones(len(c["c"])))
+    sums = [(plain, plain), (square, one_), (one_, square)]
     asked = only.select(F.col("slug").alias("one")) if only is not None else None
     found = meet(ordered_entries(c), ["c"], sums, choose, "slug string, other string, score double", asked=asked, at_once=at_once)
     return top_n(found, k, "slug", "other").select("slug", "other", F.col("score").alias("sim"))

@@ -13,8 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palate.sources.shared import shared_table
+
 Columns = dict[str, np.ndarray]
 Sums = Callable[[Columns, Columns], list[np.ndarray]]  # of each common entry, what is to be summed
+Products = list[tuple[Callable[[Columns], np.ndarray], Callable[[Columns], np.ndarray]]]  # the same where each is a product
 Choice = Callable[[pd.DataFrame, pd.DataFrame, list[np.ndarray]], tuple]  # (rows, columns, further columns) that leave the task
 
 POSTINGS = 8192  # of an entry's postings that one key of the join has at most, about
@@ -26,13 +29,15 @@ def ordered_entries(entries: DataFrame) -> DataFrame:
     return entries.join(counts, "what").withColumn("place", F.row_number().over(Window.partitionBy("one").orderBy(F.desc("many"), "what")))
 
 
-def meet(entries: DataFrame, values: list[str], sums: Sums, choose: Choice, schema: str, indexed: Column | None = None, asked: DataFrame | None = None, at_once: int = 1024) -> DataFrame:
+def meet(entries: DataFrame, values: list[str], sums: Sums | Products, choose: Choice, schema: str, indexed: Column | None = None, asked: DataFrame | None = None, at_once: int = 1024) -> DataFrame:
     """What choose() takes of the pairs of ones that have an indexed entry in common: (one, other, ...) by schema.
 
     entries: (one, what, many, place, *values) as ordered_entries() gives them, each (one, what) once. indexed: which of
     a one's entries bring others to it, all if none; the others' postings are whole. asked: (one), whose partners are
     wanted; all if none. Postings go only to blocks that have their entry in the index; those of a frequent entry are
-    dealt over several keys of that join. A task holds `at_once` ones, and as many others, with their entries."""
+    dealt over several keys of that join. A task holds `at_once` ones, and as many others, with their entries. Sums of
+    products are matrix products where blocks have few different entries, so that frequent ones cost no more than rare ones."""
+    entries = shared_table(entries, "entries")
     blocks = max(1, -(-entries.select("one").distinct().count() // at_once))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     salts = F.ceil(F.col("many") / POSTINGS).cast("int")
@@ -68,29 +73,45 @@ def meet(entries: DataFrame, values: list[str], sums: Sums, choose: Choice, sche
         # so many ones at a time that neither their sums nor their common entries are many
         upto = np.append(0, np.cumsum(n))
         first_of = np.searchsorted(one[fits], np.arange(len(ones) + 1))
+        flops = 2 * len(ones) * len(others) * len(known) * (len(sums) + 1) if isinstance(sums, list) and len(known) <= 8192 else np.inf
+        dense = flops < 1000 * upto[-1]  # a common entry costs some hundred times what a product in a matrix does
         at = 0
         while at < len(ones):
             to = at + 1
-            while to < len(ones) and upto[first_of[to + 1]] - upto[first_of[at]] <= 4_000_000 and (to + 1 - at) * len(others) <= 4_000_000:
+            while to < len(ones) and (dense or upto[first_of[to + 1]] - upto[first_of[at]] <= 4_000_000) and (to + 1 - at) * len(others) <= 4_000_000:
                 to += 1
             some = slice(first_of[at], first_of[to])
+            if dense:
+                found = []
+                for f, g in [(None, None), *sums]:
+                    mine, yours = np.zeros((to - at, len(known))), np.zeros((len(others), len(known)))
+                    mine[one[fits[some]] - at, place[fits[some]]] = f({c: v[fits[some]] for c, v in x.items()}) if f else 1
+                    yours[other, what] = g(y) if g else 1
+                    found.append(mine @ yours.T)
+                at = _chosen(parts, choose, names, about_one, about_other, ones, others, found, at, to)
+                continue
             m = n[some]
             i = np.repeat(fits[some], m)
             j = order[np.repeat(begins[place[fits[some]]] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
             cell = (one[i] - at) * len(others) + other[j]
             size = (to - at) * len(others)
-            made = sums({c: v[i] for c, v in x.items()}, {c: v[j] for c, v in y.items()})
+            left_, right_ = {c: v[i] for c, v in x.items()}, {c: v[j] for c, v in y.items()}
+            made = [f(left_) * g(right_) for f, g in sums] if isinstance(sums, list) else sums(left_, right_)
             found = [np.bincount(cell, w, size).reshape(to - at, len(others)) for w in (np.ones(len(cell)), *made)]
-            for k in np.flatnonzero(np.isin(ones[at:to], others)):  # no one is its own partner
-                found[0][k, np.searchsorted(others, ones[at + k])] = 0
-            rows, columns, *rest = choose(about_one.iloc[at:to], about_other, found)
-            parts.append(pd.DataFrame(dict(zip(names, (np.asarray(ones)[at + rows], np.asarray(others)[columns], *rest)))))
-            at = to
+            at = _chosen(parts, choose, names, about_one, about_other, ones, others, found, at, to)
         return pd.concat(parts)
 
     return left.groupBy("a", "b").cogroup(theirs.groupBy("to", "from")).applyInPandas(work, schema)
 
 
+def _chosen(parts: list, choose: Choice, names: list, about_one: pd.DataFrame, about_other: pd.DataFrame, ones, others, found: list, at: int, to: int) -> int:
+    for k in np.flatnonzero(np.isin(ones[at:to], others)):  # no one is its own partner
+        found[0][k, np.searchsorted(others, ones[at + k])] = 0
+    rows, columns, *rest = choose(about_one.iloc[at:to], about_other, found)
+    parts.append(pd.DataFrame(dict(zip(names, (np.asarray(ones)[at + rows], np.asarray(others)[columns], *rest)))))
+    return to
+
+
 def best_in_rows(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of each row's k largest finite scores, ties at the last all."""
     keep = min(k, score.shape[1])

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palate.operators.blocks import best_unseen, every_pair
+from palate.operators.pairs import best_in_rows, meet, ordered_entries
 from palate.operators.profile import deep_enough, film_genre_pairs
 
 # Fixed values of the scoring model, by kind: weight, cap of the sum, penalty on negative values, counts for full confidence.
@@ -271,14 +272,20 @@ def similar_films(attrs: DataFrame, films: DataFrame, n: int = 5, fill: DataFram
     kinds = deep_enough(attrs).filter("attr_type in ('genre', 'director', 'actor', 'theme', 'country', 'writer')").select("slug", "attr_type", "attr_value")
     decade = (F.floor(F.col("year") / 10) * 10).cast("string")
     kinds = kinds.unionByName(films.filter("year >= 1888").select("slug", F.lit("decade").alias("attr_type"), decade.alias("attr_value")))
-    kinds = kinds.repartition("attr_type", "attr_value")
-    other = kinds.withColumnRenamed("slug", "other")
-    met = kinds.join(other, ["attr_type", "attr_value"]).filter("slug <> other").groupBy("slug", "other")
-    one = lambda k: F.count_if(F.col("attr_type") == k)
-    counts = met.agg(*[one(k).alias(k) for k in ("genre", "director", "actor", "theme", "country", "writer", "decade")])
-    some = lambda k, w: F.when(F.col(k) > 0, w).otherwise(0.0)
-    score = F.col("genre") + some("director", 5.0) + F.col("actor") * 0.5 + F.col("theme") * 0.3 + some("country", 0.5) + some("writer", 3.0) + some("decade", 0.5)
-    best = top_n(counts.withColumn("score", F.round(score, 6)), n, "slug", "other").select("slug", "other", "score", F.lit(0).alias("later"))
+    names = ("genre", "director", "actor", "theme", "country", "writer", "decade")
+    number = F.coalesce(*[F.when(F.col("attr_type") == k, F.lit(float(i))) for i, k in enumerate(names)])
+    entries = kinds.distinct().select(F.col("slug").alias("one"), F.concat_ws(":", "attr_type", "attr_value").alias("what"), number.alias("kind"))
+
+    def choose(one: pd.DataFrame, other: pd.DataFrame, sums: list[np.ndarray]) -> tuple:
+        met, (genre, director, actor, theme, country, writer, decade) = sums[0] > 0, [np.round(s) for s in sums[1:]]
+        score = genre + np.where(director > 0, 5.0, 0.0) + actor * 0.5 + theme * 0.3 + np.where(country > 0, 0.5, 0.0) + np.where(writer > 0, 3.0, 0.0) + np.where(decade > 0, 0.5, 0.0)
+        score = np.round(score, 6)
+        i, j = best_in_rows(np.where(met, score, -np.inf), n)
+        return i, j, score[i, j]
+
+    of = lambda i: lambda c: (c["kind"] == i).astype(float)
+    found = meet(ordered_entries(entries), ["kind"], [(of(i), of(i)) for i in range(len(names))], choose, "slug string, other string, score double")
+    best = top_n(found, n, "slug", "other").select("slug", "other", "score", F.lit(0).alias("later"))
     if fill is not None:
         more = fill.filter("slug <> other").join(best, ["slug", "other"], "left_anti").select("slug", "other", "score", F.lit(1).alias("later"))
         best = best.unionByName(more)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palate.operators.blocks import best_unseen
 from palate.operators.scoring import top_n
+from palate.sources.shared import shared_table
 
 PRIORITY = {"film_reviews": 100, "taste": 90, "followers": 80, "following": 80, "popular": 70, "film": 50}
 
@@ -148,6 +149,38 @@ def fit_svd(matrix: DataFrame, factors: int = 50) -> tuple[DataFrame, DataFrame]
     return u.join(users, "username_at").select("username", "u"), vs.join(items, "slug_at").select("slug", "v")
 
 
+def numbered(names: DataFrame, name: str) -> DataFrame:
+    """(name, number): the names of a column, numbered from 0 without a gap. Each partition numbers its own rows; only the
+    partitions' sizes meet."""
+    own = names.select(name).filter(F.col(name).isNotNull()).distinct()
+    own = shared_table(own.withColumn("part", F.spark_partition_id()), "names")
+    sizes = own.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    place = F.row_number().over(Window.partitionBy("part").orderBy(name)) - 1
+    return own.withColumn("place", place).join(sizes.select("part", before.alias("before")), "part").select(name, (F.col("place") + F.col("before")).cast("int").alias("number"))
+
+
+def fit_als(matrix: DataFrame, factors: int = 50, rounds: int = 10, penalty: float = 0.05, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """((username, u), (slug, v)): alternating least squares over the centred stored entries, in blocks of users and items.
+
+    A model of its own beside fit_svd(): entries that aren't stored are unknown here, not zero. Factors stay tables; none
+    goes through the driver. predict_svd() and recommend_svd() take either. Up to 2^31 users and items."""
+    from pyspark.ml.recommendation import ALS
+
+    bias = bias_model(matrix)
+    of = lambda kind, c, name: bias.filter(F.col("kind") == kind).select(F.col("id").alias(c), F.col("bias").alias(name))
+    mu = bias.filter("kind = 'global'").select(F.col("bias").alias("mu"))
+    users, items = shared_table(numbered(matrix, "username"), "users"), shared_table(numbered(matrix, "slug"), "items")
+    c = matrix.join(of("user", "username", "bu"), "username").join(of("item", "slug", "bi"), "slug").crossJoin(F.broadcast(mu))
+    left = (F.col("value") - F.col("mu") - F.col("bu") - F.col("bi")).cast("float")
+    entries = c.join(users.withColumnRenamed("number", "user"), "username").join(items.withColumnRenamed("number", "item"), "slug")
+    entries = shared_table(entries.select("user", "item", left.alias("rating")), "ratings")
+    als = ALS(rank=factors, maxIter=rounds, regParam=penalty, seed=seed, userCol="user", itemCol="item", ratingCol="rating", checkpointInterval=-1)
+    model = als.fit(entries)
+    wide = lambda df, names, c, f: df.join(names, df["id"] == names["number"]).select(c, F.col("features").cast("array<double>").alias(f))
+    return wide(model.userFactors, users, "username", "u"), wide(model.itemFactors, items, "slug", "v")
+
+
 def predict_svd(pairs: DataFrame, bias: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
     """(username, slug, prediction) from 0.5 to 5; null for users or items that the model doesn't know."""
     of = lambda kind, c, name: bias.filter(F.col("kind") == kind).select(F.col("id").alias(c), F.col("bias").alias(name))

@@ -250,3 +250,51 @@ select user_id, count(*) as n_events from s group by user_id, k""".replace(", e
 def _(v: Views):
     source = v.events.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     return jobs.run_to_table(jobs.stream_sessions(jobs.as_stream(source), delay="20000 days"), "complete").select("user_id", "n_events")
+
+
+@query("stream_running_idf", "films film_attrs idf", "select attr_type, attr_value, doc_count, round(idf, 4) as idf from idf")
+def _(v: Views):
+    """All films in three waves: half of them with values of other films, then all as they are, then some once more.
+    Films that come again retract what they said, so the last counts are those of the table."""
+    kinds = ("genre", "director", "actor", "theme", "country", "language")
+    value = F.struct("attr_type", "attr_value")
+    said = v.film_attrs.filter(F.col("attr_type").isin(*kinds)).groupBy("slug").agg(F.collect_set(value).alias("values"))
+    true = v.films.select("slug").join(said, "slug", "left")
+    wrong = F.transform("values", lambda s: F.struct(s["attr_type"].alias("attr_type"), F.concat(s["attr_value"], F.lit(" (old)")).alias("attr_value")))
+    waves = [
+        true.filter(F.xxhash64("slug") % 2 == 0).select("slug", F.lit(1).cast("long").alias("version"), wrong.alias("values")),
+        true.select("slug", F.lit(2).cast("long").alias("version"), "values"),
+        true.filter(F.xxhash64("slug") % 3 == 0).select("slug", F.lit(2).cast("long").alias("version"), "values"),
+    ]
+    return jobs.run_idf(jobs.as_waves(waves)).select("attr_type", "attr_value", "doc_count", *r4("idf"))
+
+
+def in_order(v: Views):
+    """Events in time order, a quarter of their time a batch, and one last event far ahead that closes all windows."""
+    source = v.events.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    last = v.events.agg((F.max("ts").cast("timestamp") + F.expr("interval 400 days")).alias("ts"))
+    last = last.select(F.lit(-1).cast(source.schema["user_id"].dataType).alias("user_id"), "ts")
+    return jobs.as_waves([*(source.filter(jobs.quarter("ts", v.events) == q) for q in range(4)), last])
+
+
+@query("stream_rates", "", """select epoch_us(w) as started_us, epoch_us(w) + 3600000000 as ended_us, count(*) as n_events, count(*)::double as per_hour
+ from (select time_bucket(interval 1 hour, ts) as w from events) group by w""")
+def _(v: Views):
+    rows = jobs.run_to_table(jobs.stream_rates(in_order(v)), "append")
+    last = F.unix_micros(F.lit(v.events.agg(F.max("ts").cast("timestamp")).first()[0]))
+    own = rows.filter(F.unix_micros("started") <= last)
+    return own.select(F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"), "n_events", *r4("per_hour"))
+
+
+@query("stream_session_rows", "", """with e as (select user_id, ts, ts - lag(ts) over (partition by user_id order by ts) as gap from events),
+ s as (select user_id, ts, sum((gap is null or gap >= interval 30 minute)::int) over (partition by user_id order by ts) as k from e),
+ g as (select user_id, min(ts) as a, max(ts) + interval 30 minute as b, count(*) as n_events from s group by user_id, k),
+ r as (select *, n_events / ((epoch(date_trunc('second', b)) - epoch(date_trunc('second', a))) / 3600) as per_hour from g)
+select user_id, epoch_us(a) as started_us, epoch_us(b) as ended_us, n_events, round(per_hour, 4) as per_hour,
+  case when n_events = 1 then 'single' when per_hour >= 6 then 'busy' else 'steady' end as status from r""")
+def _(v: Views):
+    """Sessions as they close, in append mode: events in time order, a file a day, and one last event far ahead that moves
+    the watermark past all; start, end, count, rate and status of each."""
+    rows = jobs.session_status(jobs.run_to_table(jobs.stream_sessions(in_order(v), delay="2 hours"), "append")).filter("user_id >= 0")
+    us = lambda c: F.unix_micros(c)
+    return rows.select("user_id", us("started").alias("started_us"), us("ended").alias("ended_us"), "n_events", *r4("per_hour"), "status")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
 from palate.operators import graph as G
@@ -14,6 +16,8 @@ from palate.plans import similar  # noqa: F401  its parts come first
 from palate.plans.registry import ASOF, PARTS, asof, query
 from palate.plans.scores import BONUS, KIND_SCORE, SCORES, idf_of, stats_of, vectors_of
 from palate.plans.taste import AGE, PROFILE, profile_of, r4
+from palate.sources import models
+from palate.sources.shared import shared_folder
 from palate.sources.views import Views
 
 # ---- groups ----
@@ -474,3 +478,14 @@ def _(v: Views):
     return Q.model_fingerprint(matrix_of(v), factors=50)
 
 
+
+
+@query("predict_als")
+def _(v: Views):
+    """Predictions of watchlisted films by alternating least squares; a further run on the same matrix loads the stored factors."""
+    matrix = v.once("als_matrix", lambda: matrix_of(v))
+    path = f"{shared_folder(v.spark)}/models/als-{zlib.crc32(v.sf_dir.encode()):08x}"
+    said = Q.model_fingerprint(matrix, factors=10).crossJoin(models.digest(matrix))
+    factors = models.stored_model(path, said, lambda: dict(zip(("users", "items"), Q.fit_als(matrix, 10))))
+    pairs = v.interactions_dense.filter("watchlisted").select("username", "slug")
+    return Q.predict_svd(pairs, Q.bias_model(matrix), factors["users"], factors["items"]).select("username", "slug", *r4("prediction"))

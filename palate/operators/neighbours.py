@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palate.operators.pairs import POSTINGS, best_in_rows, meet, ordered_entries
+from palate.operators.reasons import liked_by, similar_to
 from palate.operators.scoring import diversify, top_n
 from palate.sources.shared import forget, shared_table
 
@@ -176,13 +177,17 @@ def votes_of(inter: DataFrame) -> DataFrame:
     return inter.select(F.col("username").alias("other"), "slug", said.alias("said"))
 
 
-def recommend_collaborative(inter: DataFrame, films: DataFrame, n: int = 20, min_neighbors: int = 3, min_overlap: int = 5) -> DataFrame:
+def recommend_collaborative(
+    inter: DataFrame, films: DataFrame, n: int = 20, min_neighbors: int = 3, min_overlap: int | None = None, reasons: bool = False
+) -> DataFrame:
     """(username, rank, slug, score): what neighbours rate and like, of films that the user has no record of; where
-    there are fewer than min_neighbors, films similar to the user's own favourites as well.
+    there are fewer than min_neighbors, films similar to the user's own favourites as well. min_overlap: least_overlap()
+    where none is given. reasons adds an array of three texts at most: neighbours who like it, then similar favourites.
 
     Entries, which three plans read, are a shared table; similar films are looked for only from the favourites
     of users with few neighbours, if there are any."""
     k = max(10, 2 * min_neighbors)
+    min_overlap = least_overlap(inter) if min_overlap is None else min_overlap
     entries = shared_table(rated_entries(inter), "rated")
     chosen = shared_table(chosen_neighbours(entries, k, min_overlap), "chosen")
     forget(entries)
@@ -191,13 +196,26 @@ def recommend_collaborative(inter: DataFrame, films: DataFrame, n: int = 20, min
     scores = votes.select("username", "slug", (F.col("score") * popularity_debias(F.col("rating_count"))).alias("score"))
     few = inter.select("username").distinct().join(chosen.groupBy("username").count().filter(F.col("count") >= min_neighbors), "username", "left_anti")
     anchors = shared_table(inter.filter("rating >= 3.5 or liked").select("username", "slug").join(few, "username", "left_semi"), "anchors")
+    said = []
+    if reasons:
+        votes_ = votes_of(inter).join(films.select("slug", popularity_debias(F.col("rating_count")).alias("factor")), "slug", "left").fillna(1.0, ["factor"])
+        said.append(liked_by(chosen, votes_).withColumnRenamed("reasons", "liked"))
     if not anchors.isEmpty():
         sim = item_similarity(inter, only=anchors.select("slug").distinct())
         more = item_recommend(sim, anchors, inter, 2 * n).select("username", "slug", "score")
         scores = scores.unionByName(more)
+        if reasons:
+            said.append(similar_to(anchors, sim).join(more.select("username", "slug"), ["username", "slug"], "left_semi").withColumnRenamed("reasons", "alike"))
     scores = scores.groupBy("username", "slug").agg(F.round(F.sum("score"), 9).alias("score"))
     unseen = scores.join(inter.select("username", "slug"), ["username", "slug"], "left_anti")
-    return top_n(unseen, n).select("username", "rank", "slug", "score")
+    best = top_n(unseen, n).select("username", "rank", "slug", "score")
+    if not reasons:
+        return best
+    names = ["liked", "alike"][: len(said)]
+    for part in said:
+        best = best.join(part, ["username", "slug"], "left")
+    none = F.array().cast("array<string>")
+    return best.select("username", "rank", "slug", "score", F.slice(F.concat(*[F.coalesce(c, none) for c in names]), 1, 3).alias("reasons"))
 
 
 # ---- items ----

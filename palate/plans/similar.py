@@ -79,6 +79,24 @@ def _(v: Views):
     return N.recommend_collaborative(v.interactions_dense, v.films).select("username", "rank", "slug", *r4("score"))
 
 
+@query("collaborative_reasons", DENSE + "films neigh asym chosen isim collab", """, likes as (
+  select username, slug, list('Liked by ' || other order by i)[1:3] as l from (select c.username, i.slug, c.other, row_number() over (partition by c.username, i.slug order by sim desc, c.other) as i
+    from chosen c join interactions_dense i on i.username = c.other left join films f using (slug)
+    where round(case when rating is not null then rating - 2.5 when not liked and not watched and not watchlisted then 0.05
+        else (case when liked then 1.2 else 0 end) + (case when watched then 0.4 else 0 end) + (case when watchlisted then 0.25 else 0 end) end * sim
+      * (case when rating_count > 0 then greatest(0.1, 1 - 0.15 * ln(1 + rating_count) / ln(100001)) else 1 end), 9) > 0.5) group by all),
+ own as (select d.username, d.slug as anchor, other as slug, sim from interactions_dense d join isim using (slug) where (rating >= 3.5 or liked)
+   and d.username not in (select username from chosen group by username having count(*) >= 3)),
+ top as (select username, slug from (select username, slug, row_number() over (partition by username order by round(sum(sim), 9) desc, slug) as k from own o
+   where not exists (select 1 from interactions_dense x where x.username = o.username and x.slug = o.slug) group by username, slug) where k <= 40),
+ alike as (select username, slug, list('Similar to ' || anchor order by sim desc, anchor)[1:3] as a from own join top using (username, slug) group by all)
+select username, rank, slug, array_to_string(list_concat(coalesce(l, []), coalesce(a, []))[1:3], '; ') as reasons
+from collab left join likes using (username, slug) left join alike using (username, slug)""", stored=True)
+def _(v: Views):
+    found = N.recommend_collaborative(v.interactions_dense, v.films, reasons=True)
+    return found.select("username", "rank", "slug", F.array_join("reasons", "; ").alias("reasons"))
+
+
 @query("item_similarity", "interactions_dense rated isim", "select slug, other, round(sim, 4) as sim from isim")
 def _(v: Views):
     return N.item_similarity(v.interactions_dense).select("slug", "other", *r4("sim"))

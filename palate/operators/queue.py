@@ -128,25 +128,31 @@ def svd_diagnostics(matrix: DataFrame) -> DataFrame:
 
 def fit_svd(matrix: DataFrame, factors: int = 50) -> tuple[DataFrame, DataFrame]:
     """((username, u), (slug, v)): truncated SVD of the centred stored entries, the square root of each singular value in
-    both factors. Rows go through the distributed row matrix; the driver holds one item-by-factor matrix, as computeSVD does."""
-    from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
+    both factors.
+
+    The distributed row matrix gives users' factors and singular values. Items' factors are the entries times users'
+    factors, a join and a sum, and so are never brought to the driver; computeSVD itself works with vectors of the items there."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.mllib.linalg.distributed import CoordinateMatrix
 
     bias = bias_model(matrix)
     of = lambda kind, c, name: bias.filter(F.col("kind") == kind).select(F.col("id").alias(c), F.col("bias").alias(name))
     mu = bias.filter("kind = 'global'").select(F.col("bias").alias("mu"))
     c = matrix.join(of("user", "username", "bu"), "username").join(of("item", "slug", "bi"), "slug").crossJoin(F.broadcast(mu))
-    number = lambda c_: matrix.select(c_).distinct().rdd.map(lambda r: r[0]).zipWithIndex().toDF([c_, f"{c_}_at"])
-    users, items = number("username"), number("slug")
-    entries = c.join(users, "username").join(items, "slug").select("username_at", "slug_at", (F.col("value") - F.col("mu") - F.col("bu") - F.col("bi")).alias("x"))
+    users, items = shared_table(numbered(matrix, "username"), "users"), shared_table(numbered(matrix, "slug"), "items")
+    left = (F.col("value") - F.col("mu") - F.col("bu") - F.col("bi")).alias("x")
+    entries = c.join(users.withColumnRenamed("number", "user"), "username").join(items.withColumnRenamed("number", "item"), "slug")
+    entries = shared_table(entries.select("user", "item", "slug", left), "entries")
     n_u, n_i = users.count(), items.count()
-    rows = CoordinateMatrix(entries.rdd.map(lambda r: MatrixEntry(r[0], r[1], r[2])), n_u, n_i).toIndexedRowMatrix()
+    rows = CoordinateMatrix(entries.select("user", "item", "x").rdd.map(tuple), n_u, n_i).toIndexedRowMatrix()
     svd = rows.computeSVD(max(1, min(factors, min(n_u, n_i) - 1)), computeU=True)
     root = [float(s) ** 0.5 for s in svd.s.toArray()]
-    u = svd.U.rows.map(lambda r: (r.index, [float(a) * b for a, b in zip(r.vector.toArray(), root)])).toDF(["username_at", "u"])
-    v = svd.V.toArray() * root
-    spark = matrix.sparkSession
-    vs = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(v)], "slug_at long, v array<double>")
-    return u.join(users, "username_at").select("username", "u"), vs.join(items, "slug_at").select("slug", "v")
+    left_vectors = svd.U.rows.map(lambda r: (r.index, r.vector)).toDF(["user", "left"])
+    u = shared_table(left_vectors.select("user", vector_to_array("left").alias("left")), "left")
+    wide = F.array(*[F.col("left")[k] * s for k, s in enumerate(root)])
+    sums = [F.sum(F.col("x") * F.col("left")[k]) / s for k, s in enumerate(root)]
+    v = entries.join(u, "user").groupBy("slug").agg(F.array(*sums).alias("v"))
+    return u.join(users, F.col("user") == F.col("number")).select("username", wide.alias("u")), v
 
 
 def numbered(names: DataFrame, name: str) -> DataFrame:

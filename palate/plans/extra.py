@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from palate.operators import catalogue as C
@@ -197,6 +198,41 @@ def _(v: Views):
     return pages.extract_member_pages(html)
 
 
+@query("extract_favorite_pages", "user_lists", """select username, 'profile-favorites' as list_slug, false as is_ranked, true as is_favorites, r::int as position, film_slug
+ from (select username, film_slug, row_number() over (partition by username order by film_slug) as r from (select distinct username, film_slug from user_lists where is_favorites)) where r <= 4""")
+def _(v: Views):
+    """Members' pages that show all films of their favourite lists."""
+    items = F.array_join(F.transform(F.array_sort(F.collect_set("film_slug")), lambda s: item(s, F.lit(""))), "")
+    html = v.user_lists.filter("is_favorites").groupBy("username").agg(items.alias("items"))
+    page = F.concat(F.lit('<section class="wide profile-favorites">'), "items", F.lit("</section>"), item(F.lit("other"), F.lit("")))
+    return pages.extract_favorite_pages(html.select("username", page.alias("html")))
+
+
+@query("extract_reviewer_pages", "interactions", """select slug, r::int as rank, username, rating is not null as has_rating, case when rating is not null then strftime(scraped_at, '%Y-%m-%d') end as review_date
+ from (select *, row_number() over (partition by slug order by username) as r from interactions where rating is not null or liked) where r <= 50""")
+def _(v: Views):
+    """Each film's reviewers by name, twenty a page."""
+    rows = v.interactions.filter("rating is not null or liked")
+    place = F.row_number().over(Window.partitionBy("slug").orderBy("username")) - 1
+    date = F.concat(F.lit('<span class="_nobr"><a href="#">'), F.date_format("scraped_at", "yyyy-MM-dd"), F.lit("</a></span>"))
+    one = F.concat(F.lit('<li class="film-detail"><a class="context" href="/'), "username", F.lit('/">x</a>'), F.when(F.col("rating").isNotNull(), F.concat(F.lit('<span class="rating rated-8"></span>'), date)).otherwise(""), F.lit("</li>"))
+    rows = rows.select("slug", place.alias("place"), one.alias("t")).withColumn("page", F.floor(F.col("place") / 20).cast("int"))
+    html = rows.groupBy("slug", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "t"))), lambda s: s["t"]), "\n").alias("html"))
+    return pages.extract_reviewer_pages(html)
+
+
+@query("extract_activity_pages", "interactions", "select username, count(*)::int as film_count, count(rating) > 0 as has_ratings, bool_or(liked) as recent_activity from interactions group by username")
+def _(v: Views):
+    """Members' pages with the number of their films, a rating band if they rate, and a diary entry if they like a film."""
+    g = v.interactions.groupBy("username").agg(F.count("*").alias("n"), F.count("rating").alias("rated"), F.bool_or("liked").alias("any"))
+    html = F.concat(
+        F.lit('<a class="thousands" href="/'), "username", F.lit('/films/"><span>'), F.format_number("n", 0), F.lit("</span><span>Films</span></a>"),
+        F.when(F.col("rated") > 0, '<a href="/x/films/ratings/rated/4/">4</a>').otherwise(""),
+        F.when(F.col("any"), F.concat(F.lit('<a href="/'), "username", F.lit('/film/one/">One</a>'))).otherwise('<a href="/other/film/one/">One</a>'),
+    )
+    return pages.extract_activity_pages(g.select("username", html.alias("html")))
+
+
 @query("extract_film_pages", "films film_attrs", """select slug, title, year, round(avg_rating::decimal(18, 10), 2)::double as avg_rating, rating_count, coalesce(d, '') as director, coalesce(g, '') as genre
  from films left join (select slug, string_agg(attr_value, ',' order by pos) filter (attr_type = 'director') as d, string_agg(lower(attr_value), ',' order by pos) filter (attr_type = 'genre') as g
    from film_attrs where attr_type in ('director', 'genre') group by slug) using (slug)""", stored=True)

@@ -71,3 +71,27 @@ def test_counts_grids_and_lists(spark):
     pages = spark.createDataFrame([("u", "l", "My Favorites", 1, item % ("a", '<p class="list-number">1.</p>')), ("u", "l", "My Favorites", 2, item % ("b", ""))], "username string, list_slug string, list_name string, page int, html string")
     got = sorted((r["film_slug"], r["position"], r["is_ranked"], r["is_favorites"]) for r in X.extract_list_pages(pages).collect())
     assert got == [("a", 1, True, True), ("b", 2, True, True)]
+
+
+def test_members_pages_and_reviews(spark):
+    item = '<li class="poster-container"><div class="react-component" data-film-slug="%s"></div></li>'
+    own = '<section id="favourites">' + "".join(item % x for x in ("one", "BAD!", "two", "three", "four")) + "</section>" + item % "later"
+    own += '<a class="stat thousands" href="/ann/films/"><span>12,034</span><span>Films</span></a><a href="/ann/films/ratings/rated/2/">2</a><a href="/bob/film/one/">x</a>'
+    df = spark.createDataFrame([("ann", own), ("bob", "<p>nothing</p>"), ("cat", None), ("dan", "Please wait")], "username string, html string")
+    got = sorted((r["username"], r["position"], r["film_slug"]) for r in X.extract_favorite_pages(df).collect())
+    assert got == [("ann", 1, "one"), ("ann", 2, "two"), ("ann", 3, "three")]
+    got = sorted(tuple(r) for r in X.extract_activity_pages(df).collect())
+    assert got == [("ann", 12034, True, False), ("bob", 0, False, False), ("cat", 0, False, False)]
+    review = '<li class="x film-detail"><a class="context" href="%s">n</a>%s</li>'
+    first = review % ("/eve/", '<span class="rating rated-7"></span><span class="date _nobr"><a href="#">3 <b>May</b></a></span>') + review % ("//elsewhere", "") + review % ("/fay/", '<span class="no-rating"></span>')
+    df = spark.createDataFrame([("f", 2, review % ("/gus/", "")), ("f", 1, first), ("g", 1, None)], "slug string, page int, html string")
+    got = sorted(tuple(r) for r in X.extract_reviewer_pages(df, 3).collect())
+    assert got == [("f", 1, "eve", True, "3 May"), ("f", 2, "fay", False, None), ("f", 3, "gus", False, None)]
+    assert X.extract_reviewer_pages(df, 1).count() == 1
+
+
+def test_ratings_of_film_pages_have_three_sources(spark):
+    ld = '<script type="application/ld+json">/* x */ {"name": "n", "aggregateRating": {"ratingValue": 3.25, "ratingCount": 812}} /* y */</script>'
+    rows = [("a", '<meta name="twitter:data2" content="4.5 out of 5">' + ld), ("b", ld + "<a>26K fans</a>"), ("c", '{"ratingValue": 2.5, "ratingCount": "1,024"} 9,876 Fans'), ("d", "no fans")]
+    got = {r["slug"]: (r["avg_rating"], r["rating_count"], r["fan_count"]) for r in X.extract_film_pages(spark.createDataFrame(rows, "slug string, html string")).collect()}
+    assert got == {"a": (4.5, 812, None), "b": (3.25, 812, 26000), "c": (2.5, 1024, 9876), "d": (None, None, None)}

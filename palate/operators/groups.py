@@ -18,6 +18,9 @@ STRATEGIES = {
     "approval": lambda s: F.count_if(s >= APPROVAL) + 0.1 * F.avg(s),
 }
 
+# What a group's mean compatibility is called, from 0.8, 0.6, 0.4 and 0.
+LABELS = ("Excellent match! 🎬", "Good compatibility", "Some differences to navigate", "Diverse tastes - finding common ground...")
+
 
 def group_members(groups: DataFrame, inter: DataFrame) -> DataFrame:
     """(group_id, username, weight, n_members) of members with data, in groups of two or more."""
@@ -76,8 +79,8 @@ def explain_group(compat: DataFrame) -> DataFrame:
     g = compat.withColumn("c", F.round("compatibility", 9)).groupBy("group_id").agg(
         F.avg("c").alias("overall"), F.max(F.struct("c", pair.alias("p"))).alias("best"), F.min(F.struct("c", pair.alias("p"))).alias("worst")
     )
-    label = F.when(F.col("overall") >= 0.8, "Excellent").when(F.col("overall") >= 0.6, "Good").when(F.col("overall") >= 0.4, "Moderate").otherwise("Challenging")
-    return g.select("group_id", "overall", F.concat(label, F.lit(" compatibility")).alias("label"), F.col("best.p").alias("best_pair"), F.when(F.col("worst.c") < 0.4, F.col("worst.p")).alias("challenging_pair"))
+    label = F.when(F.col("overall") >= 0.8, LABELS[0]).when(F.col("overall") >= 0.6, LABELS[1]).when(F.col("overall") >= 0.4, LABELS[2]).otherwise(LABELS[3])
+    return g.select("group_id", "overall", label.alias("label"), F.col("best.p").alias("best_pair"), F.when(F.col("worst.c") < 0.4, F.col("worst.p")).alias("challenging_pair"))
 
 
 def group_hint(compat: DataFrame, consensus: DataFrame, shared: DataFrame) -> DataFrame:

@@ -63,7 +63,8 @@ def _(v: Views):
     return J.pairwise_compatibility(members_of(v), profile_of(v)).select("group_id", "username", "other", *r4("compatibility"))
 
 
-@query("explain_group", GROUPS + "dnorm compat", """select group_id, round(avg(c), 4) as overall, case when avg(c) >= 0.8 then 'Excellent' when avg(c) >= 0.6 then 'Good' when avg(c) >= 0.4 then 'Moderate' else 'Challenging' end || ' compatibility' as label,
+@query("explain_group", GROUPS + "dnorm compat", """select group_id, round(avg(c), 4) as overall, case when avg(c) >= 0.8 then 'Excellent match! 🎬' when avg(c) >= 0.6 then 'Good compatibility'
+ when avg(c) >= 0.4 then 'Some differences to navigate' else 'Diverse tastes - finding common ground...' end as label,
   (max({'c': c, 'p': p})).p as best_pair, case when min(c) < 0.4 then (min({'c': c, 'p': p})).p end as challenging_pair
   from (select group_id, round(compatibility, 9) as c, username || ' & ' || other as p from compat) group by group_id""")
 def _(v: Views):

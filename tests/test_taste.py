@@ -105,9 +105,9 @@ def test_group_strategies(spark):
         df = spark.createDataFrame([("g", "f", float(s)) for s in scores], "group_id string, slug string, score double")
         return J.aggregate_scores(df, strategy).first()["group_score"]
 
-    assert [by(k, [4, 2]) for k in ("least_misery", "most_pleasure", "average", "fairness")] == [2, 4, 3, 2.5]
-    assert by("multiplicative", [2, 2]) == pytest.approx(2) and by("multiplicative", [2, -1]) == 0
-    assert by("approval", [2.5, 1.5]) == pytest.approx(1.2)
+    assert [by(k, [1, 7, 4]) for k in ("least_misery", "most_pleasure", "average", "fairness")] == [1, 7, 4, pytest.approx(4 - 1.5**0.5)]
+    assert by("multiplicative", [1, 8, 27]) == pytest.approx(6) and by("multiplicative", [5, 3, 0]) == 0
+    assert by("approval", [6, 0.5, 3, 1]) == pytest.approx(2.2625)
 
 
 def test_group_weights_parse_leniently(spark):
@@ -138,10 +138,11 @@ def test_upserts_and_normalised_attributes(spark):
 
 
 def test_filters_keep_or_drop_nulls(spark):
-    films = spark.createDataFrame([("a", "a", 1999, 3.0, 1), ("b", "b", 2010, 4.0, 1), ("c", "c", None, None, 1)], FILMS)
-    assert [r["slug"] for r in C.filter_years(films, 2005, 2015).collect()] == ["b"]
-    assert [r["slug"] for r in C.filter_years(films, 2005, 2015, nulls="keep").orderBy("slug").collect()] == ["b", "c"]
-    assert [r["slug"] for r in C.filter_min_rating(films, 3.5).orderBy("slug").collect()] == ["b", "c"]
+    films = spark.createDataFrame([("old", "o", 1931, 2.25, 1), ("edge", "e", 1958, 4.75, 1), ("none", "n", None, None, 1), ("new", "w", 1977, 4.0, 1)], FILMS)
+    names = lambda df: [r["slug"] for r in df.orderBy("slug").collect()]
+    assert names(C.filter_years(films, 1931, 1958)) == ["edge", "old"]
+    assert names(C.filter_years(films, 1958, 1976, nulls="keep")) == ["edge", "none"]
+    assert names(C.filter_min_rating(films, 4.0)) == ["edge", "new", "none"]
 
 
 def test_slugs(spark):
@@ -150,11 +151,12 @@ def test_slugs(spark):
 
 
 def test_queue_adds_each_name_once(spark):
-    cands = spark.createDataFrame([("alice", "film", AT, 1), ("bob", "film", AT, 2), ("bob", "popular", AT, 3), ("carol", "followers", AT, 4)], "username string, source_type string, discovered_at timestamp_ntz, event_id long")
+    found = [("ida", "taste", AT, 5), ("jon", "popular", AT, 9), ("jon", "following", AT, 6), ("lev", "film_reviews", AT, 7), ("lev", "popular", AT, 8)]
+    cands = spark.createDataFrame(found, "username string, source_type string, discovered_at timestamp_ntz, event_id long")
     none = cands.limit(0)
-    inter = spark.createDataFrame([seen("alice", "f")], INTER)
+    inter = spark.createDataFrame([seen("ida", "f")], INTER)
     added = Q.queue_add(cands, none, inter)
-    assert sorted((r["username"], r["priority"]) for r in added.collect()) == [("bob", 50), ("carol", 80)]
+    assert sorted((r["username"], r["priority"]) for r in added.collect()) == [("jon", 80), ("lev", 100)]
     assert Q.queue_add(cands, added, inter).count() == 0
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palate.operators import neighbours as N
+from palate.operators import reasons as R
 from palate.plans.registry import PARTS, query
 from palate.plans.scores import SCORES, recommended
 from palate.plans.taste import r4
@@ -79,7 +80,8 @@ def _(v: Views):
     return N.recommend_collaborative(v.interactions_dense, v.films).select("username", "rank", "slug", *r4("score"))
 
 
-@query("collaborative_reasons", DENSE + "films neigh asym chosen isim collab", """, likes as (
+#: What is said of collaborative recommendations: neighbours that like a film, and favourites that are similar.
+SAID = """, likes as (
   select username, slug, list('Liked by ' || other order by i)[1:3] as l from (select c.username, i.slug, c.other, row_number() over (partition by c.username, i.slug order by sim desc, c.other) as i
     from chosen c join interactions_dense i on i.username = c.other left join films f using (slug)
     where round(case when rating is not null then rating - 2.5 when not liked and not watched and not watchlisted then 0.05
@@ -90,7 +92,10 @@ def _(v: Views):
  top as (select username, slug from (select username, slug, row_number() over (partition by username order by round(sum(sim), 9) desc, slug) as k from own o
    where not exists (select 1 from interactions_dense x where x.username = o.username and x.slug = o.slug) group by username, slug) where k <= 40),
  alike as (select username, slug, list('Similar to ' || anchor order by sim desc, anchor)[1:3] as a from own join top using (username, slug) group by all)
-select username, rank, slug, array_to_string(list_concat(coalesce(l, []), coalesce(a, []))[1:3], '; ') as reasons
+"""
+
+
+@query("collaborative_reasons", DENSE + "films neigh asym chosen isim collab", SAID + """select username, rank, slug, array_to_string(list_concat(coalesce(l, []), coalesce(a, []))[1:3], '; ') as reasons
 from collab left join likes using (username, slug) left join alike using (username, slug)""", stored=True)
 def _(v: Views):
     found = N.recommend_collaborative(v.interactions_dense, v.films, reasons=True)
@@ -110,6 +115,29 @@ def _(v: Views):
     return N.item_recommend(N.item_similarity(inter), inter.filter("rating >= 3.5 or liked"), inter, 10).select("username", "rank", "slug", *r4("score"))
 
 
+ITEM_SAID = """, iown as (select d.username, d.slug as anchor, other as slug, sim from interactions_dense d join isim using (slug) where (rating >= 3.5 or liked)
+   and not exists (select 1 from interactions_dense x where x.username = d.username and x.slug = other)),
+ irec as (select * from (select *, row_number() over (partition by username order by score desc, slug) as rank from (select username, slug, round(sum(sim), 9) as score from iown group by all)) where rank <= 10),
+ ialike as (select username, slug, list('Similar to ' || anchor order by sim desc, anchor)[1:3] as ia from iown join irec using (username, slug) group by all)
+"""
+
+
+def item_recommended(v: Views):
+    """Recommendations by similar films, and what is said of them."""
+    inter = v.interactions_dense
+    sim, anchors = v.once("isim", lambda: N.item_similarity(inter)), inter.filter("rating >= 3.5 or liked")
+    found = v.once("item_recs", lambda: N.item_recommend(sim, anchors, inter, 10))
+    # only what was recommended is explained
+    said = R.similar_to(anchors.select("username", "slug"), sim)
+    return found, said.join(found.select("username", "slug"), ["username", "slug"], "left_semi")
+
+
+@query("item_reasons", "interactions_dense rated isim", ITEM_SAID + "select username, rank, slug, array_to_string(ia, '; ') as reasons from irec join ialike using (username, slug)", stored=True)
+def _(v: Views):
+    found, said = item_recommended(v)
+    return found.join(said, ["username", "slug"]).select("username", "rank", "slug", F.array_join("reasons", "; ").alias("reasons"))
+
+
 @query("popularity_debias", "films", "select slug, round(case when rating_count > 0 then greatest(0.1, 1 - 0.15 * ln(1 + rating_count) / ln(100001)) else 1 end, 4) as factor from films")
 def _(v: Views):
     return v.films.select("slug", F.round(N.popularity_debias(F.col("rating_count")), 4).alias("factor"))
@@ -128,6 +156,18 @@ def _(v: Views):
     return N.fuse_normalized(recommended(v), N.recommend_collaborative(v.interactions_dense, v.films)).select("username", "slug", *r4("score"))
 
 
+@query("fused_reasons", DENSE + "films neigh asym chosen isim collab", SAID + ITEM_SAID + f""", f as ({PARTS["fused"].replace("from metas", "from irec")}),
+ c as (select username, slug, list_concat(coalesce(l, []), coalesce(a, []))[1:3] as said from collab left join likes using (username, slug) left join alike using (username, slug)),
+ t as (select username, slug, score, list_concat(coalesce(ia, []), coalesce(said, [])) as t from f left join ialike using (username, slug) left join c using (username, slug))
+select username, slug, round(score, 4) as score, array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i), '; ') as reasons from t""", stored=True)
+def _(v: Views):
+    """Similar films and similar users fused, with what either side says of a film."""
+    found, said = item_recommended(v)
+    theirs = v.once("collab_said", lambda: N.recommend_collaborative(v.interactions_dense, v.films, reasons=True))
+    fused = N.fuse_normalized(found, theirs).join(R.merge_reasons(said, theirs.select("username", "slug", "reasons")), ["username", "slug"], "left")
+    return fused.select("username", "slug", *r4("score"), F.array_join("reasons", "; ").alias("reasons"))
+
+
 PARTS["recs20"] = PARTS["recs"].replace("rank <= 10", "rank <= 20")
 PARTS["hweights"] = """select username, case when count(*) filter (rating <> 0) < 20 or (select count(distinct username) from interactions_dense) < 10 then 0.7 else 0.6 end as wm
   from interactions_dense group by username"""

@@ -95,3 +95,13 @@ def test_weights_at_a_step_don_t_hang_on_the_order_of_sums(spark):
         assert found[0] == found[1] == found[2]
     exact = P.with_base_weight(df.filter("username = 'u0'"), "normalized").select("rating", "base").distinct().collect()
     assert {(r["rating"], r["base"]) for r in exact} == {(2.5, 1.0), (1.5, -0.5)}  # distances of just 1 and -1
+
+
+def test_merged_reasons_keep_the_sides_order(spark):
+    from palate.operators import reasons as R
+
+    first = spark.createDataFrame([("u", "f", ["b", "a"], ["w"]), ("u", "g", None, ["w"])], "username string, slug string, reasons array<string>, warnings array<string>")
+    second = spark.createDataFrame([("u", "f", ["a", "c", "w"]), ("u", "h", ["z", "z"]), ("x", "h", None)], "username string, slug string, reasons array<string>")
+    got = {(r["username"], r["slug"]): r["reasons"] for r in R.merge_reasons(first, second).collect()}
+    assert got == {("u", "f"): ["b", "a", "w", "c"], ("u", "g"): ["w"], ("u", "h"): ["z"], ("x", "h"): []}
+    assert R.merge_reasons(second).count() == 3

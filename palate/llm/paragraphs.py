@@ -20,10 +20,10 @@ from palate.sources.shared import forget, shared_table
 SHINGLE = 5
 AROUND, ROUNDED = 24, 16  # words to either side that go with a candidate's kept place, and what its ends are rounded to
 SEGMENT = 256  # candidates end here, so that one holds no long stretch without bands
-HEAVY = 8  # a key in so many documents of a slice goes apart, by rows that Spark can split
+HEAVY = 8  # a class of so many places in a slice goes apart, by rows that Spark can split
 _FACTOR = np.array([pow(0x9E3779B97F4A7C15, j, 2**64) for j in range(SHINGLE)], np.uint64)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-FIRST_PASS, FIRST_OF_HEAVY, HEAVY_ROW, OWN_REPEAT = range(4)
+LIGHT, FIRST_OF_CLASS, CLASS, OWN_REPEAT = range(4)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -81,56 +81,126 @@ def band_words(least_words: int, similarity: float) -> int:
     return max(SHINGLE, min(runs))
 
 
+class Bands:
+    """The bands of one text: at each place its key, and the windows of `least` words whose least shingle stands there.
+
+    Each window belongs to one place, found by its content alone, so equal windows meet under one key in any text."""
+
+    def __init__(self, words: list[bytes], band: int, least: int):
+        r = rolled(hashes(words))
+        self.pos = band_minima(r, band)
+        self.key = r[self.pos]
+        sorted_ = np.sort(self.key)
+        self.once = not (sorted_[1:] == sorted_[:-1]).any()  # then no window stands twice either
+        wide = least - SHINGLE + 1
+        if len(r) < wide:
+            at = np.zeros(0, np.int64)
+        else:
+            at = np.lib.stride_tricks.sliding_window_view(r, wide).argmin(axis=1) + np.arange(len(r) - wide + 1)  # ascending
+        whole = np.zeros(len(at), np.uint64)
+        for j in sorted({*range(0, wide - 1, SHINGLE), wide - 1}):
+            whole = (whole ^ r[j : j + len(at)]) * np.uint64(0x9E3779B97F4A7C15)
+            whole ^= whole >> np.uint64(29)
+        self.window, self.at = whole, at
+        end = np.searchsorted(at, self.pos, side="right")
+        begin = np.searchsorted(at, self.pos, side="left")
+        self.begin, self.n = begin, end - begin
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(whole, dtype=np.uint64)])
+        self.same = (self.key + self.n.astype(np.uint64)) * np.uint64(0xFF51AFD7ED558CCD) + total[end] - total[begin]  # equal for equal windows
+
+    def own_repeats(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, words back to where the same key, or the same window, stands first in this text), if `least` or more."""
+        if self.once:
+            return self.pos[:0], self.pos[:0]
+        out = []
+        for what, where, place in ((self.key, self.pos, self.pos), (self.window, np.arange(len(self.window)), self.at)):
+            _, first, which = np.unique(what, return_index=True, return_inverse=True)
+            if len(first) < len(what):
+                back = where - where[first][which]
+                out.append((place[back >= least] << 32) | back[back >= least])
+        both = np.unique(np.concatenate(out))
+        return both >> 32, both & 0xFFFFFFFF
+
+    def needed(self, least: int) -> np.ndarray:
+        """Places to compare with other documents: all but those whose windows are own repeats throughout."""
+        if self.once:
+            return np.arange(len(self.pos))
+        _, first, which = np.unique(self.same, return_index=True, return_inverse=True)
+        return np.flatnonzero(self.pos - self.pos[first][which] < least)
+
+
+def _spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin, begin + 1 ... of n places each."""
+    return np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
+SIGNATURES = pa.schema([
+    ("part", pa.int32()), ("kind", pa.int32()), ("key", pa.list_(pa.int64())), ("doc_id", pa.list_(pa.int64())), ("pos", pa.list_(pa.int32())),
+    ("n", pa.list_(pa.int16())), ("windows", pa.list_(pa.int32())), ("same", pa.list_(pa.int64())),
+])
+
+
+def _lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
 def _signatures(docs: DataFrame, band: int, least: int, parts: int, heavy_from: int) -> DataFrame:
-    """(part, kind, key, doc_id, pos), arrays: the band minima of a slice of texts, dealt to `parts` parts by key.
+    """SIGNATURES: the bands of a slice of texts, dealt to `parts` parts by key, n windows (32 bits of each) at each place.
 
-    A key that many documents of a slice have is heavy: its first place in the slice goes to the key's part, and all its
-    rows go anywhere, to be joined with the first place of all later. own repeats carry their distance as the key."""
+    Places with the same windows are a class. One that a slice has heavy_from times is heavy: its first place in the slice
+    goes to the key's part, and its places go anywhere as one row, to be joined with what is found for the class. Own
+    repeats carry their distance as the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
-            keys, ids, places, own = [], [], [], []
+            found, own = [], []
             for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if doc is None or not text:
                     continue
-                r = rolled(hashes(words_of(text)))
-                pos = band_minima(r, band)
-                key, first, which = np.unique(r[pos], return_index=True, return_inverse=True)
-                keys.append(key)
-                places.append(pos[first])
-                ids.append(np.full(len(key), doc, np.int64))
-                again = pos - pos[first][which]
-                far = again >= least
-                if far.any():
-                    own.append((again[far], np.full(int(far.sum()), doc, np.int64), pos[far]))
-            if not keys:
+                bands = Bands(words_of(text), band, least)
+                at = bands.needed(least)
+                n = bands.n[at]
+                found.append((bands.key[at], np.full(len(at), doc, np.int64), bands.pos[at], n, bands.same[at], bands.window[_spread(bands.begin[at], n)]))
+                place, back = bands.own_repeats(least)
+                if len(place):
+                    own.append((back, np.full(len(place), doc, np.int64), place))
+            if not found:
                 continue
-            key, doc, pos = np.concatenate(keys), np.concatenate(ids), np.concatenate(places)
-            order = np.lexsort((pos, doc, key))
-            key, doc, pos = key[order], doc[order], pos[order]
-            begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
-            size = np.diff(np.append(begin, len(key)))
-            heavy = np.repeat(size >= heavy_from, size)
-            firsts = begin[size >= heavy_from]
-            found = [(FIRST_PASS, key[~heavy], doc[~heavy], pos[~heavy]), (FIRST_OF_HEAVY, key[firsts], doc[firsts], pos[firsts])]
+            key, doc, pos, n, same, window = (np.concatenate(x) for x in zip(*found))
+            begin, window = np.cumsum(n) - n, (window >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            anywhere = TaskContext.get().partitionId() % parts
+            _, which, size = np.unique(same, return_inverse=True, return_counts=True)
+            heavy = np.flatnonzero(size[which] >= heavy_from)
+            heavy = heavy[np.lexsort((pos[heavy], doc[heavy], which[heavy]))]
+            classes = np.array([a for a, _ in _groups(which[heavy])], np.int64)
+            light = np.flatnonzero(size[which] < heavy_from)
+            light = light[np.lexsort((pos[light], doc[light], key[light]))]
+            firsts = heavy[classes]
+            firsts = firsts[np.argsort(key[firsts], kind="stable")]
             rows = []
-            for kind, k, d, p in found:
-                part = (k >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)  # ascending, as keys are
+            for kind, at in ((LIGHT, light), (FIRST_OF_CLASS, firsts)):
+                part = (key[at] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)  # ascending, as keys are
                 for a, b in _groups(part):
-                    rows.append((int(part[a]), kind, k[a:b].view(np.int64), d[a:b], p[a:b].astype(np.int32)))
-            if heavy.any():
-                rows.append((TaskContext.get().partitionId() % parts, HEAVY_ROW, key[heavy].view(np.int64), doc[heavy], pos[heavy].astype(np.int32)))
+                    i = at[a:b]
+                    name = same[i] if kind == FIRST_OF_CLASS else same[:0]
+                    rows.append((int(part[a]), kind, key[i].view(np.int64), doc[i], pos[i], n[i], window[_spread(begin[i], n[i])], name.view(np.int64)))
             if own:
                 k, d, p = (np.concatenate(x) for x in zip(*own))
-                rows.append((TaskContext.get().partitionId() % parts, OWN_REPEAT, k.astype(np.int64), d, p.astype(np.int32)))
+                rows.append((anywhere, OWN_REPEAT, k, d, p, k[:0], window[:0], k[:0]))
             if rows:
                 part, kind, *arrays = zip(*rows)
-                at = pa.array(np.cumsum([0, *map(len, arrays[0])]), pa.int32())
-                lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x))) for x in arrays]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), *lists], names=["part", "kind", "key", "doc_id", "pos"])
+                lists = [_lists(np.concatenate(x), np.cumsum([0, *map(len, x)]), f.type.value_type) for x, f in zip(arrays, list(SIGNATURES)[2:])]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), *lists], schema=SIGNATURES)
+            if len(heavy):
+                each, ends, none = np.arange(len(classes) + 1), np.append(classes, len(heavy)), np.zeros(len(classes) + 1, np.int64)
+                lists = [
+                    _lists(key[:0].view(np.int64), none, pa.int64()), _lists(doc[heavy], ends, pa.int64()), _lists(pos[heavy], ends, pa.int32()),
+                    _lists(n[:0], none, pa.int16()), _lists(window[:0], none, pa.int32()), _lists(same[heavy[classes]].view(np.int64), each, pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(classes), x), pa.int32()) for x in (anywhere, CLASS)] + lists, schema=SIGNATURES)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.mapInArrow(run, "part int, kind int, key array<long>, doc_id array<long>, pos array<int>")
+    return texts.mapInArrow(run, "part int, kind int, key array<long>, doc_id array<long>, pos array<int>, n array<short>, windows array<int>, same array<long>")
 
 
 def _groups(sorted_: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -139,48 +209,75 @@ def _groups(sorted_: np.ndarray) -> Iterator[tuple[int, int]]:
         yield from zip(begin, [*begin[1:], len(sorted_)])
 
 
+MET = pa.schema([
+    ("same", pa.int64()), ("docs", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())),
+    ("doc_id", pa.int64()), ("keep_doc", pa.int64()), ("pos", pa.int32()), ("shift", pa.int32()),
+])
+
+
+def _first_places(key: np.ndarray, n: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, first) of rows sorted by key and place: for each row the first with its key, and the first with each of its windows."""
+    new = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
+    group = np.cumsum(new) - 1
+    row = np.repeat(np.arange(len(key)), n)
+    code = (group[row] << 32) | window.view(np.uint32).astype(np.int64)
+    _, first, which = np.unique(code, return_index=True, return_inverse=True)  # the index is the least
+    pairs = np.concatenate([row * len(key) + row[first][which], np.arange(len(key)) * len(key) + np.flatnonzero(new)[group]])
+    return np.divmod(np.unique(pairs), max(len(key), 1))
+
+
 def _meet(table: pa.Table) -> pa.Table:
-    """One part: each key's rows against its first place. Rows with a key are heavy ones, and first places of heavy keys (no doc_id)."""
+    """One part, as MET: each place against the first place of its key and those of its windows. Rows with `same` are of a
+    heavy class: its places of a slice (pos 0), and the first places that were found for it (pos 1)."""
     kind = table.column("kind").to_numpy()
-    columns = [table.column(c).combine_chunks() for c in ("key", "doc_id", "pos")]
-    size = np.diff(columns[0].offsets.to_numpy())
-    kind = np.repeat(kind, size)
-    key, doc, pos = (c.flatten().to_numpy() for c in columns)
-    at = np.flatnonzero(kind <= FIRST_OF_HEAVY)
-    order = at[np.lexsort((pos[at], doc[at], key[at]))]
-    k, d, p = key[order], doc[order], pos[order]
-    new = np.append(True, k[1:] != k[:-1]) if len(k) else np.zeros(0, bool)
-    begin = np.flatnonzero(new)
-    first = begin[np.cumsum(new) - 1] if len(k) else begin
-    plain = (kind[order] == FIRST_PASS) & (d != d[first])
-    named = np.flatnonzero(np.bitwise_or.reduceat(kind[order] == FIRST_OF_HEAVY, begin)) if len(k) else begin
-    named = begin[named]
-    heavy, own = kind == HEAVY_ROW, kind == OWN_REPEAT
-    none = lambda n: pa.nulls(n, pa.int64())
-    parts = [
-        (none(int(plain.sum())), d[plain], d[first][plain], p[plain], p[plain] - p[first][plain]),
-        (none(int(own.sum())), doc[own], doc[own], pos[own], key[own].astype(np.int32)),
-        (key[heavy], doc[heavy], none(int(heavy.sum())), pos[heavy], np.zeros(int(heavy.sum()), np.int32)),
-        (k[named], none(len(named)), d[named], p[named], np.zeros(len(named), np.int32)),
-    ]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-    chunked = [pa.chunked_array([x if isinstance(x, pa.Array) else pa.array(x, t) for x in c], t) for c, t in zip(zip(*parts), kinds)]
-    return pa.Table.from_arrays(chunked, names=["key", "doc_id", "keep_doc", "pos", "shift"])
+    own, heavy = (table.filter(pa.array(kind == x)) for x in (OWN_REPEAT, CLASS))
+    flat = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy()
+    met = table.filter(pa.array(kind <= FIRST_OF_CLASS))
+    key, doc, pos, n = (flat(met, c) for c in ("key", "doc_id", "pos", "n"))
+    named = np.repeat(kind[kind <= FIRST_OF_CLASS] == FIRST_OF_CLASS, np.diff(met.column("key").combine_chunks().offsets.to_numpy()))
+    same = np.zeros(len(key), np.int64)
+    same[named] = flat(met, "same")
+    n = n.astype(np.int64)
+    begin = np.cumsum(n) - n
+    order = np.lexsort((pos, doc, key))
+    k, d, p, n, named, same = key[order], doc[order], pos[order], n[order], named[order], same[order]
+    row, first = _first_places(k, n, flat(met, "windows")[_spread(begin[order], n)])
+    found = ~named[row] & (d[row] != d[first])
+    light = row[found], first[found]
+    one = np.zeros(len(k), bool)
+    one[np.flatnonzero(named)[np.unique(same[named], return_index=True)[1]]] = True  # slices name a class each
+    row, first = row[one[row]], first[one[row]]
+    ends = np.array([*(a for a, _ in _groups(row)), len(row)], np.int64)
+
+    def rows(size: int, **columns) -> pa.Table:
+        return pa.Table.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in MET], schema=MET)
+
+    at, to = light
+    k, back, where = flat(own, "doc_id"), flat(own, "key"), flat(own, "pos")
+    whole = {c: heavy.column(c).combine_chunks() for c in ("doc_id", "pos")}
+    return pa.concat_tables([
+        rows(len(at), doc_id=d[at], keep_doc=d[to], pos=p[at], shift=p[at] - p[to]), rows(len(k), doc_id=k, keep_doc=k, pos=where, shift=back),
+        rows(len(heavy), same=flat(heavy, "same"), docs=whole["doc_id"], places=whole["pos"], pos=np.zeros(len(heavy))),
+        rows(len(ends) - 1, same=same[row[ends[:-1]]], docs=_lists(d[first], ends, pa.int64()), places=_lists(p[first], ends, pa.int32()), pos=np.ones(len(ends) - 1)),
+    ])
 
 
 def candidates(docs: DataFrame, least: int, similarity: float, heavy_from: int = HEAVY) -> DataFrame:
-    """(doc_id, keep_doc, shift, a, b): words a to b of a segment hold bands whose first place, by document and word, lies
-    `shift` words before in keep_doc. Within one document the places are `least` words apart or more. A shared table.
+    """(doc_id, keep_doc, shift, a, b): words a to b of a segment hold places of bands; `shift` words before, in keep_doc, lies
+    the first place, by document and word, of the band or of a window of `least` words at it. Within one document the
+    places are `least` words apart or more. A shared table.
 
-    A part's keys meet in one task, so the parts follow spark.sql.shuffle.partitions; keys that heavy_from documents of a
-    slice have are joined by rows, which changes no result."""
+    A part's keys meet in one task, so the parts follow spark.sql.shuffle.partitions; classes that a slice has heavy_from
+    times are joined by rows, which changes no result."""
     parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = _signatures(docs, band_words(least, similarity), least, parts, heavy_from)
-    met = shared_table(dealt.groupBy("part").applyInArrow(_meet, "key long, doc_id long, keep_doc long, pos int, shift int"), "bands")
-    firsts = met.filter("doc_id is null").select("key", F.col("keep_doc").alias("keep"), F.col("pos").alias("keep_pos"))
-    heavy = met.filter("keep_doc is null").select("key", "doc_id", "pos").join(firsts, "key").filter("doc_id <> keep")
-    every = met.filter("key is null").select("doc_id", "keep_doc", "pos", "shift").unionByName(
-        heavy.select("doc_id", F.col("keep").alias("keep_doc"), "pos", (F.col("pos") - F.col("keep_pos")).alias("shift"))
+    kinds = "same long, docs array<long>, places array<int>, doc_id long, keep_doc long, pos int, shift int"
+    met = shared_table(dealt.groupBy("part").applyInArrow(_meet, kinds), "bands")
+    firsts = met.filter("same is not null and pos = 1").select("same", F.arrays_zip(F.col("docs").alias("doc"), F.col("places").alias("pos")).alias("first"))
+    heavy = met.filter("same is not null and pos = 0").select("same", F.arrays_zip(F.col("docs").alias("doc"), F.col("places").alias("pos")).alias("place"))
+    heavy = heavy.join(firsts, "same").select(F.explode("place").alias("place"), "first").select("place", F.explode("first").alias("first")).filter("place.doc <> first.doc")
+    every = met.filter("same is null").select("doc_id", "keep_doc", "pos", "shift").unionByName(
+        heavy.select(F.col("place.doc").alias("doc_id"), F.col("first.doc").alias("keep_doc"), "place.pos", (F.col("place.pos") - F.col("first.pos")).alias("shift"))
     )
     found = shared_table(every.groupBy("doc_id", "keep_doc", "shift", F.floor(F.col("pos") / SEGMENT)).agg(F.min("pos").alias("a"), (F.max("pos") + SHINGLE).alias("b")).select("doc_id", "keep_doc", "shift", "a", "b"), "candidates")
     forget(met)
@@ -350,9 +447,9 @@ def cut_passages(docs: DataFrame, least_words: int = 12, similarity: float = 0.8
 
     A passage of least_words words or more goes if an earlier place, by document and word, has it: word for word, or
     with differences up to that Jaccard similarity of five-word shingles. Bands are as short as such pairs need; words
-    are compared by 32-bit hashes. Each band is held against its first place only: where a band's words stand earlier
-    by themselves, the passage around it is found by its other bands, and a passage none of whose bands has its first
-    place in an earlier copy stays."""
+    are compared by 32-bit hashes. A place is held against the first places of its band and of each window of least_words
+    words at it, so equal runs of that length go wherever they stand earlier. Words that differ go with passages of these
+    first places only."""
     place = F.struct("keep_doc", "shift", "from", "words")
     own = docs.select("doc_id", "text")
     id_, later_ = (unused(c, docs.columns) for c in ("_id", "_later"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from palate.llm.common import connected_components, forest, in_blocks, map_sorted_groups, map_texts, unused
 from palate.sources.shared import shared_table
 
+BINS = 64  # of a text's shingles, counted
 SHARD = 2048  # fingerprints in a shard's tree at most
 
 
@@ -175,12 +176,84 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, seed: int
     )
 
 
+def rare_keys(text: str | None, words: int, similarity: float) -> tuple[int, list[int], bytes]:
+    """(m, keys, counts): the number of distinct shingles, the smallest of their hashes and how many fall into each of
+    BINS bins. A text that reaches the similarity has needed() of these keys or more in common with this one."""
+    h = np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, set(shingles(text, words))), np.uint64))
+    m = len(h)
+    keys = h[: m - at_least(similarity * m) + at_least((1 - similarity) / 2 * m)]
+    counts = np.minimum(np.bincount((h & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255)
+    return m, keys.view(np.int64).tolist(), counts.astype(np.uint8).tobytes()
+
+
+def at_least(x: float) -> int:
+    return int(np.ceil(x - 1e-6))
+
+
+def needed(m: int, similarity: float) -> int:
+    """The other text has similarity * m shingles or more, and so kept as many keys beyond what may differ."""
+    return at_least((1 - similarity) / 2 * similarity * m)
+
+
+def shared_keys(docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) that connect any two nodes of different groups with that Jaccard similarity, and others: pairs with a rare
+    key in common, whose sizes and counts allow it. nodes: (id, doc_id, version, group).
+
+    Of two similar texts' smallest hashes so many agree that each has one of the other's among its rarest, all but
+    needed() - 1 of those that any other text has. Links of one key are enough to span its groups."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("version"), "text")
+    texts = texts.join(nodes.select("id", "doc_id", "version"), ["doc_id", "version"]).select("id", "text")
+
+    def work(columns: list[list]) -> list[tuple]:
+        return [(i, *rare_keys(t, words, similarity)) for i, t in zip(*columns)]
+
+    kept = shared_table(map_texts(texts, "id long, m int, keys array<long>, counts binary", work), "keys")
+    keyed = kept.select("id", "m", F.explode("keys").alias("key"))
+    often = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    mine = keyed.join(often, "key").groupBy("id").agg(F.first("m").alias("m"), F.array_sort(F.collect_set(F.struct("n", "key"))).alias("shared"))
+    need = F.greatest(F.ceil(F.col("m") * ((1 - similarity) / 2 * similarity) - 1e-6).cast("int"), F.lit(1))
+    rare = mine.withColumn("need", need).filter("size(shared) >= need").select("id", F.explode(F.expr("slice(shared, 1, size(shared) - need + 1)")).alias("s")).select("id", "s.key")
+    rare = shared_table(rare.join(nodes.select("id", "group"), "id"), "rare")
+    apart = rare.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b")).filter("a < b").select("key")  # what one group has is linked
+    met = in_blocks(rare.join(apart, "key").join(kept.select("id", "m", "counts").dropDuplicates(["id"]), "id"), "key", "id", SHARD)
+    may_differ = (1 - similarity) / (1 + similarity)
+
+    def search(part: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame | None:
+        size = np.diff(np.append(starts, len(part)))
+        keep = np.repeat(size > 1, size)
+        if not keep.any():
+            return None
+        part, size = part[keep], size[size > 1]
+        ids, of, m = part["id"].to_numpy(), part["group"].to_numpy(), part["m"].to_numpy().astype(np.int64)
+        counts = np.frombuffer(b"".join(part["counts"]), np.uint8).reshape(-1, BINS).astype(np.int16)
+        links, last = [], np.repeat(np.cumsum(size), size)  # where each row's key ends
+        for step in range(1, int(size.max())):  # each row with the one so many rows on
+            a = np.flatnonzero((np.arange(len(part)) + step)[: len(part) - step] < last[: len(part) - step])
+            b = a + step
+            ok = of[a] != of[b]
+            a, b = a[ok], b[ok]
+            ok = np.minimum(m[a], m[b]) >= similarity * np.maximum(m[a], m[b]) - 1e-6
+            a, b = a[ok], b[ok]
+            for low in range(0, len(a), 20_000):
+                x, y = a[low : low + 20_000], b[low : low + 20_000]
+                near = np.abs(counts[x] - counts[y]).sum(axis=1, dtype=np.int64) <= may_differ * (m[x] + m[y]) + 1e-6
+                links.append((x[near], y[near]))
+        if not links:
+            return None
+        root = forest(len(ids), np.concatenate([x for x, _ in links]), np.concatenate([y for _, y in links]))
+        own = np.flatnonzero(root != np.arange(len(ids)))
+        return pd.DataFrame({"a": ids[own], "b": ids[root[own]]})
+
+    return map_sorted_groups(met.select("id", "group", "m", "counts", "key", "block_a", "block_b"), ["key", "block_a", "block_b"], search, "a long, b long", least=5000)
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds: tuple[int, int] = (42, 43)) -> DataFrame:
     """(doc_id, version, stays) for each document, an id with a text: whether it is the smallest of its group, linked by a
     Jaccard similarity of their shingles.
 
     128-bit fingerprints give candidates: at that similarity they differ in about angle / pi of the bits, and the radius
-    allows for two standard deviations more. Each candidate group is then linked anew by exact similarities."""
+    allows for two standard deviations more. Pairs that differ in more bits, or meet in no table, are found by shared_keys(),
+    which misses none. Each candidate group is then linked anew by exact similarities."""
     prints = fingerprints(docs, words, seeds, distinct=True).filter("doc_id is not null")
     bits = 64 * len(seeds)
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
@@ -188,8 +261,13 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, see
     nodes = prints.groupBy("content").agg(F.min(F.struct("doc_id", "version")).alias("own"), F.first("fp").alias("fp"))
     nodes = shared_table(nodes.select("content", "own.*", "fp", F.monotonically_increasing_id().alias("id")), "nodes")
     links = link_fingerprints(nodes.select("id", "fp"), sampled_tables(bits, radius, nodes.count()), radius)
-    rough = connected_components(links, "a", "b").join(nodes.select(F.col("id").alias("node"), "doc_id", "version"), "node")
-    exact = connected_components(verify_groups(docs, rough, words, similarity), "a", "b")
+    place = nodes.select(F.col("id").alias("node"), "doc_id", "version")
+    verified = lambda links: verify_groups(docs, connected_components(links, "a", "b").join(place, "node"), words, similarity)
+    near = shared_table(verified(links), "near")
+    found = connected_components(near, "a", "b")
+    grouped = nodes.join(found, nodes["id"] == found["node"], "left").select("id", "doc_id", "version", F.coalesce("component", "id").alias("group"))
+    far = verified(shared_keys(docs, shared_table(grouped, "grouped"), words, similarity))
+    exact = connected_components(near.unionByName(far), "a", "b")
     named = shared_table(nodes.join(exact, nodes["id"] == exact["node"], "left").select("content", "doc_id", "version", F.coalesce("component", "id").alias("group")), "groups")
     first = named.groupBy("group").agg(F.min(F.struct("doc_id", "version")).alias("first"))
     mine = named.join(first, "group").select("content", "first")

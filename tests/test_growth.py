@@ -38,3 +38,15 @@ def test_entries_are_not_copied_for_each_block(spark, ratings):
     many, _ = most_rows(spark, lambda: N.item_similarity(ratings))
     assert sorted(map(tuple, few)) == sorted(map(tuple, many)) and len(many) > 50
     assert most <= 5 * ratings.count()  # 60 blocks were 60 times the entries
+
+
+def test_films_of_equal_tokens_meet_once(spark):
+    rows = [(f"f{i:03d}", "genre", v, p) for i in range(240) for p, v in enumerate(("abc"[i % 3], "xyz"[i % 2]), 1)]
+    vectors = N.tfidf_vectors(spark.createDataFrame(rows, "slug string, attr_type string, attr_value string, pos int"))
+    got, most = most_rows(spark, lambda: N.tfidf_rank(vectors, 4))
+    token = {i: {"abc"[i % 3], "xyz"[i % 2]} for i in range(240)}
+    for r in got:
+        i, j = int(r["slug"][1:]), int(r["other"][1:])
+        alike = [k for k in range(240) if k != i and token[k] == token[i]]
+        assert j == alike[r["rank"] - 1] and r["score"] == 1.0
+    assert len(got) == 960 and most <= 240 * 5

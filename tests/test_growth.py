@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palate.operators import neighbours as N
+from palate.operators import scoring as S
 
 
 def most_rows(spark, make):
@@ -50,3 +51,23 @@ def test_films_of_equal_tokens_meet_once(spark):
         alike = [k for k in range(240) if k != i and token[k] == token[i]]
         assert j == alike[r["rank"] - 1] and r["score"] == 1.0
     assert len(got) == 960 and most <= 240 * 5
+
+
+def test_a_director_s_films_do_not_meet_all_who_like_the_director(spark):
+    films = [(f"f{i:03d}", (i * 37 % 41) / 10 if i % 9 else None, i * 531 % 30_000) for i in range(300)]
+    attrs = [(s, "director", f"d{int(s[1:]) % 3}", 1) for s, _, _ in films]
+    profile = [(f"u{u}", "director", f"d{d}", 2.0 + d, 1) for u in range(40) for d in range(u % 4)]
+    rnd = random.Random(2)
+    best = sorted(films, key=lambda f: (-((f[1] or 0) + min(f[2] / 10_000, 2.0)), f[0]))
+    seen = {(f"u{u}", s) for u in range(40) for s, _, _ in rnd.sample(best[:40], u % 30)}
+    frames = (
+        spark.createDataFrame(profile, "username string, attr_type string, attr_value string, score double, n int"), spark.createDataFrame(sorted(seen), "username string, slug string"),
+        spark.createDataFrame(attrs, "slug string, attr_type string, attr_value string, pos int"), spark.createDataFrame(films, "slug string, avg_rating double, rating_count int"),
+    )
+    got, most = most_rows(spark, lambda: S.director_gaps(*frames))
+    want = {}
+    for u, _, d, _, _ in profile:
+        free = [s for s, _, _ in best if f"d{int(s[1:]) % 3}" == d and (u, s) not in seen]
+        want.update({(u, d, i): s for i, s in enumerate(free[:3], 1)})
+    assert {(r["username"], r["director"], r["rank"]): r["slug"] for r in got} == want
+    assert most <= len(seen) + 3 * len(profile)  # each user met 100 films of each director before

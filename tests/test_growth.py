@@ -71,3 +71,15 @@ def test_a_director_s_films_do_not_meet_all_who_like_the_director(spark):
         want.update({(u, d, i): s for i, s in enumerate(free[:3], 1)})
     assert {(r["username"], r["director"], r["rank"]): r["slug"] for r in got} == want
     assert most <= len(seen) + 3 * len(profile)  # each user met 100 films of each director before
+
+
+def test_single_kinds_need_no_profile_of_all_attributes(spark, monkeypatch):
+    from palate.plans import scores
+    from palate.plans.registry import QUERIES
+
+    def whole(*_):
+        raise AssertionError("the whole profile was asked for")
+
+    monkeypatch.setattr(scores, "profile_of", whole)
+    for name, least in (("decade_rule", 1), ("genre_pair_rule", 0), ("momentum_rule", 0)):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").count() >= least

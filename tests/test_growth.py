@@ -83,3 +83,27 @@ def test_single_kinds_need_no_profile_of_all_attributes(spark, monkeypatch):
     monkeypatch.setattr(scores, "profile_of", whole)
     for name, least in (("decade_rule", 1), ("genre_pair_rule", 0), ("momentum_rule", 0)):
         assert QUERIES[name](spark, "/root/testdata/sf0.001").count() >= least
+
+
+def test_recommended_films_are_explained_without_all_others(spark, ratings):
+    from palate.operators import reasons as R
+
+    sim = N.item_similarity(ratings).cache()
+    anchors = ratings.filter("rating >= 3.5").select("username", "slug")
+    found, most = most_rows(spark, lambda: N.item_recommend(sim, anchors, ratings, 3))
+    pairs = {}
+    seen = {(r["username"], r["slug"]) for r in ratings.collect()}
+    alike = {}
+    for r in sim.collect():
+        alike.setdefault(r["slug"], []).append((r["other"], r["sim"]))
+    mine = {(r["username"], r["slug"]) for r in anchors.collect()}
+    for u, s in mine:
+        for o, x in alike.get(s, ()):
+            if (u, o) not in seen:
+                pairs.setdefault(u, {}).setdefault(o, []).append((-x, s))
+    want = {u: sorted((-round(sum(-x for x, _ in v), 9), o) for o, v in films.items())[:3] for u, films in pairs.items()}
+    assert {(r["username"], r["rank"]): r["slug"] for r in found} == {(u, i): o for u, best in want.items() for i, (_, o) in enumerate(best, 1)}
+    asked = spark.createDataFrame([(r["username"], r["slug"]) for r in found[:40]], "username string, slug string")
+    said, most = most_rows(spark, lambda: R.similar_to(anchors, sim, asked))
+    assert {(r["username"], r["slug"]): r["reasons"] for r in said} == {(r["username"], r["slug"]): [f"Similar to {s}" for _, s in sorted(pairs[r["username"]][r["slug"]])[:3]] for r in found[:40]}
+    assert most < sum(len(v) for films in pairs.values() for v in films.values()) / 2  # all pairs were made before
